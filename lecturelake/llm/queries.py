@@ -8,6 +8,8 @@ from .common import table
 
 #: Bound on the labelled rows that the trusted multinomial and the classifier are fitted on.
 LABELLED_ROWS = 20_000
+#: Ids of a packed sequence, and bytes of text in a shard at most (a range request of a data loader).
+SEQUENCE_IDS, SHARD_BYTES = 2048, 1 << 20
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +24,25 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokens import vocabulary
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE_IDS, end_id=0)
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import token_shards
+    from .tokens import vocabulary
+
+    return token_shards(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+
+
+def op9_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
