@@ -18,6 +18,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"), LABELLED_ROWS))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import language_model_scores
+
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 

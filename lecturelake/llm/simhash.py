@@ -1,4 +1,21 @@
-"""SimHash near-duplicates: fingerprints of word shingles, linked by meeting in the middle."""
+"""SimHash near-duplicates: fingerprints of word shingles, linked by meeting in the middle.
+
+Two fingerprints within ``2k + 1`` bits differ in some block of the bits, so with that block set
+aside they are within ``2k`` on the rest, and the balls of radius ``k`` around them share a
+variant.  Every distinct fingerprint therefore emits, for each of three blocks, all variants of
+the other bits within one bit (k = 1, radius 3), and the variants are shuffled.  Only variants
+that two fingerprints share go on.
+
+Colliding fingerprints are verified without forming pairs: each is expanded to the full 64-bit
+points near it that the shared variant allows.  At a point, whoever is within one bit is linked
+to everyone within two (the distances add up to 3 at most), so one edge from each to the smallest
+of the nearest keeps all links; each pair within 3 bits meets at such a point.
+
+Defined results: a null text is empty; texts without words have fingerprint 0 and are linked like
+any other; equal fingerprints (repeated rows, copies) are one node from the start, so copies cost
+nothing; a null id takes part in links but is never a group's name unless the group has no other;
+an empty table gives an empty result; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +25,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .components import components
 from .tokens import chunks
 
+#: The blocks of bits set aside in turn, as first bit and bit after the last.
+BLOCKS = ((0, 21), (21, 43), (43, 64))
+
 
 def fingerprints_of(texts: list[str | None], words_per_shingle: int = 3, seed: int = 42) -> np.ndarray:
     """The 64-bit fingerprint of every text, as u64."""
@@ -45,3 +68,74 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def _bit(i: int) -> int:
+    """Bit ``i`` as a signed long."""
+    return 1 << i if i < 63 else -(1 << 63)
+
+
+def _masks(*flips: tuple[int, ...]) -> list[int]:
+    return [sum(_bit(i) for i in f) for f in flips]
+
+
+def variants(fps: DataFrame) -> DataFrame:
+    """``fp, block, key, near``: the 132 variants of each; ``near`` is 0 for the unchanged rest."""
+    emitted = []
+    for b, (low, high) in enumerate(BLOCKS):
+        aside = sum(_bit(i) for i in range(low, high))
+        for m in [0, *_masks(*((i,) for i in range(64) if not low <= i < high))]:
+            emitted.append((b, ~aside, m))
+    rows = ", ".join(f"struct({b}, {rest}L, {m}L)" if m >= -(1 << 63) + 1 else f"struct({b}, {rest}L, shiftleft(1L, 63))" for b, rest, m in emitted)
+    shifted = fps.select("fp", F.explode(F.expr(f"array({rows})")).alias("x"))
+    return shifted.select(
+        "fp",
+        F.col("x.col1").cast("byte").alias("block"),
+        F.col("fp").bitwiseAND(F.col("x.col2")).bitwiseXOR(F.col("x.col3")).alias("key"),
+        (F.col("x.col3") != 0).cast("byte").alias("near"),
+    )
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges ``u, v`` between distinct fingerprints within 3 bits; they connect all such pairs."""
+    bucket = W.partitionBy("block", "key")
+    shared = materialize(
+        variants(fps)
+        .withColumn("_n", F.count(F.lit(1)).over(bucket))
+        .withColumn("_exact", F.sum(1 - F.col("near")).over(bucket))
+        .where("_n > 1")
+    )
+    points = []
+    for b, (low, high) in enumerate(BLOCKS):
+        bits = range(low, high)
+        one = _masks(*((i,) for i in bits))
+        two = _masks(*((i, j) for i in bits for j in bits if i < j))
+        rest = ~sum(_bit(i) for i in bits)
+        own = shared.where(F.col("block") == b).select(
+            "fp", "near", "_exact", F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.lit(~rest))).alias("p")
+        )
+        at = F.array([F.lit(m).cast("long") for m in [0, *one]])
+        points.append(own.select("fp", "p", "near", F.explode(at).alias("m")).select(
+            "fp", F.col("p").bitwiseXOR(F.col("m")).alias("p"), (F.col("near") + (F.col("m") != 0).cast("int")).alias("d")
+        ))
+        at = F.array([F.lit(m).cast("long") for m in two])
+        points.append(own.where("near = 0 and _exact > 1").select("fp", "p", F.explode(at).alias("m")).select(
+            "fp", F.col("p").bitwiseXOR(F.col("m")).alias("p"), F.lit(2).alias("d")
+        ))
+    near = points[0]
+    for x in points[1:]:
+        near = near.unionByName(x)
+    least = F.min(F.when(F.col("d") <= 1, F.col("fp"))).over(W.partitionBy("p"))
+    return near.withColumn("v", least).where("v is not null and v <> fp").select(F.col("fp").alias("u"), "v").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: one row per input row."""
+    prints = materialize(fingerprints(docs))
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    label = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
+    joined = materialize(fps.join(label, "fp"))
+    group = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    linked = joined.join(group, "label").select("fp", "component_id")
+    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
