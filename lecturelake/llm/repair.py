@@ -58,24 +58,28 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int, per_pass: int, l
         load[_slots(np.array([0xFFFFFFFF], np.uint32))] = 0
         bar = max(least, int(np.partition(load, -per_pass)[-per_pass]))
         at = np.flatnonzero((load >= bar)[slot])
-        pairs, counts = np.unique(key[at], return_counts=True)
-        best = np.argsort(-counts, kind="stable")[:per_pass]
-        best = best[(counts[best] >= least) & (pairs[best] != 0xFFFFFFFF)][: SYMBOLS - terminals - len(rules)]
+        # Of the pairs that share a slot one is looked at in this pass, and counted exactly.
+        own, pair = slot[at], key[at]
+        of = np.zeros(1 << 20, np.uint32)
+        of[own] = pair
+        same = of[own] == pair
+        at, own = at[same], own[same]
+        counts = np.bincount(own, minlength=1 << 20)
+        best = np.flatnonzero(counts >= least)
+        best = best[np.argsort(-counts[best], kind="stable")][: min(per_pass, SYMBOLS - terminals - len(rules))]
         if not len(best):
             break
-        best = pairs[best]
+        ranks = np.full(1 << 20, -1, np.int32)
+        ranks[best] = np.arange(len(best), dtype=np.int32)
+        best = of[best]
         symbol = np.zeros(len(best), np.uint16)
         for i, pair in enumerate(best.tolist()):
             if pair not in known:
                 known[pair] = terminals + len(rules)
                 rules.append((pair >> 16, pair & 0xFFFF))
             symbol[i] = known[pair]
-        # Of the best pairs that share a slot, the first is replaced in this pass.
-        ranks = np.full(1 << 20, -1, np.int32)
-        ranks[_slots(best)[::-1]] = np.arange(len(best), dtype=np.int32)[::-1]
-        r = ranks[slot[at]]
-        own = (r >= 0) & (best[r] == key[at])
-        at, r = at[own], r[own]
+        r = ranks[own]
+        at, r = at[r >= 0], r[r >= 0]
         # Two marked neighbours overlap: the better rank wins, every other one in a run of equals.
         joint = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(r) == 0)])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(joint, 0, np.arange(len(at))))

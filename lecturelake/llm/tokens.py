@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: Words whose ids a worker keeps before it starts afresh, and bytes of text worked on at once.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 CHUNK_BYTES = 2 << 20
 #: Marks that the vocabularies split from the letters before them.
 MARKS = ".,!?;:*#$%&|"
@@ -28,6 +28,18 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Places(dict):
+    """Numbers words as they are met and keeps the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class Encoder:
     """Ids of texts; ``encode`` returns one flat array and the number of ids of each text."""
 
@@ -43,7 +55,7 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.ends: dict[str, list[int]] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
@@ -57,27 +69,32 @@ class Encoder:
         flat = ids.tolist()
         return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
-    def learn(self, new: list[bytes]) -> None:
-        plain, cores, marks, rest = {}, [], [], []
+    def learn(self) -> None:
+        """Encode the words met since the last call."""
+        new, self.place.new = self.place.new, []
+        k = len(self.place) - len(new)
         texts = [w.decode("utf-8") for w in new]
+        plain, cores, rest = {}, [], []
         for t in texts:
             core = t.rstrip(MARKS)
             if core.isalpha():
-                plain[core] = None
+                at = self.place.get(core.encode("utf-8")) if len(core) < len(t) else None
+                if at is not None and at < k:  # the letters alone are known
+                    plain[core] = self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+                elif core not in plain:
+                    plain[core] = None
                 cores.append(core)
-                marks.append(t[len(core) :])
             else:
                 rest.append(t)
-        for at in range(0, len(keys := list(plain)), 5000):
+                cores.append(None)
+        keys = [c for c, ids in plain.items() if ids is None]
+        for at in range(0, len(keys), 5000):
             own = keys[at : at + 5000]
-            plain.update(zip(own, self.letters(own) or [x.ids for x in self.batch(own, add_special_tokens=False)], strict=True))
-        for m in set(marks) - self.ends.keys():
-            self.ends[m] = self.tokenizer.encode(m, add_special_tokens=False).ids
-        known = {c + m: plain[c] + self.ends[m] for c, m in zip(cores, marks, strict=True)}
-        known.update(zip(rest, [x.ids for x in self.batch(rest, add_special_tokens=False)], strict=True))
-        found = [known[t] for t in texts]
+            plain.update(zip(own, self.letters(own) or self.alone(own), strict=True))
+        known = dict(zip(rest, self.alone(rest), strict=True))
+        found = [known[t] if c is None else plain[c] if len(c) == len(t) else plain[c] + self.marks(t[len(c) :]) for t, c in zip(texts, cores, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        k, n = len(self.place), int(sizes.sum())
+        n = int(sizes.sum())
         while k + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         while self.used + n > len(self.flat):
@@ -86,7 +103,14 @@ class Encoder:
         self.sizes[k : k + len(new)] = sizes
         self.starts[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.used += n
-        self.place.update(zip(new, range(k, k + len(new)), strict=True))
+
+    def alone(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.batch(texts, add_special_tokens=False)]
+
+    def marks(self, run: str) -> list[int]:
+        if run not in self.ends:
+            self.ends[run] = self.alone([run])[0]
+        return self.ends[run]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > WORDS_KEPT:
@@ -96,11 +120,10 @@ class Encoder:
             raw = (t or "").encode("utf-8", "replace")
             # Lower case is what the vocabulary holds; special tokens are told apart by case.
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        new = list(set().union(*split).difference(self.place)) if split else []
-        if new:
-            self.learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.place.new:
+            self.learn()
         sizes = self.sizes[at]
         ids = gather(self.flat, self.starts[at], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)] if len(split) else np.zeros(0, np.int64)
