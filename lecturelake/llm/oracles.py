@@ -46,4 +46,34 @@ FROM d JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.h = f.h
 JOIN n ON n.dep = f.depth AND n.p = d.h >> (60 - f.depth)
 """
 
-ORACLES = {"op6_source_mix": OP6, "op9_hash_shards": OP9}
+OP2 = r"""
+WITH k AS (SELECT page_id AS p, url, html, k, 1700000000000 + page_id * 7919 % 1000003 * 1000 AS d,
+    '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag FROM pages, range(0, 3) t(k)),
+r0 AS (SELECT p * 8 + k AS id, p, k, html, d,
+    d + CASE WHEN k = 0 THEN 0 WHEN p % 7 = 0 THEN -3600000 ELSE k * 86400000 END AS ms,
+    CASE WHEN k = 0 THEN tag WHEN p % 11 = 0 THEN NULL WHEN p % 5 = 0 THEN '"changed"' WHEN p % 5 = 1 THEN NULL
+      WHEN p % 5 = 2 THEN 'W/' || tag ELSE tag END AS etag,
+    CASE WHEN k > 0 AND p % 11 = 0 THEN NULL WHEN k > 0 AND p % 10 = 1 THEN 'day 0'
+      ELSE 'day ' || CAST(d // 86400000 AS VARCHAR) END AS lm,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS bare FROM k),
+r1 AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS q FROM r0),
+r AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS cu FROM r1),
+a AS (SELECT v.id, v.cu, v.etag, v.lm, v.d, v.k, max(struct_pack(ms := w.ms, id := w.id)) AS best
+  FROM r v LEFT JOIN r w ON v.cu = w.cu AND w.k = 0 AND w.ms < v.ms WHERE v.k > 0 GROUP BY ALL),
+b AS (SELECT a.*, w.id AS rid, w.etag AS wtag, w.lm AS wlm, w.html AS whtml, w.d AS wd FROM a LEFT JOIN r w ON a.best.id = w.id AND w.k = 0),
+c AS (SELECT *, CASE WHEN rid IS NULL THEN 'no-response'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = wtag THEN 'resolved' ELSE 'etag-mismatch' END
+    WHEN lm IS NOT NULL THEN CASE WHEN lm = wlm THEN 'resolved' ELSE 'date-mismatch' END
+    ELSE 'no-validator' END AS status FROM b)
+SELECT id AS record_id, cu AS canonical_url, status,
+  CASE WHEN status = 'resolved' THEN rid END AS response_id,
+  CASE WHEN status = 'resolved' THEN concat_ws(chr(10), CASE WHEN k = 1 THEN 'cache-control: max-age=60' END,
+    'content-length: ' || octet_length(encode(whtml)), 'content-type: text/html', 'date: ' || (d + k * 1000),
+    'etag: ' || coalesce(etag, wtag), 'last-modified: ' || coalesce(lm, wlm)) END AS headers
+FROM c
+"""
+
+ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9}

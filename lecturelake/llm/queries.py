@@ -18,6 +18,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"), LABELLED_ROWS))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import archive_of, parse, resolve, serialize
+
+    found = resolve(parse(serialize(archive_of(table(spark, sf_dir, "pages")))))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
+def op3_films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .avi import decode, encode, feature
+
+    found = decode(encode(table(spark, sf_dir, "documents")))
+    return found.withColumn("feature", feature(found["clips"])).drop("clips")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -56,5 +73,13 @@ def op9_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify, grade
+
+    labels = table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", grade(labels["quality"], labels["toxic"]).alias("grade"))
+    return classify(table(spark, sf_dir, "documents"), ratings, rated_rows=LABELLED_ROWS)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
