@@ -77,11 +77,15 @@ def mix(
     cap: float = 2.0,
     seed: str = "mix",
     rows_per_interval: int = 2048,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every document, and its ``source``."""
+    """``doc_id, size, source_size, target, taken`` for every document, its ``source`` and ``key``.
+
+    ``carry`` is one more column that comes along as ``carried``.
+    """
     size = F.size(words(F.col("text"))).cast("long")
-    sized = docs.select("doc_id", "source", "text", size.alias("size")).select(
-        "doc_id", "source", "size",
+    sized = docs.select("doc_id", "source", "text", size.alias("size"), (F.lit(None) if carry is None else carry).alias("carried")).select(
+        "doc_id", "source", "size", *["carried"] * (carry is not None),
         (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key"),
     )
     sized = materialize(sized)
@@ -109,6 +113,18 @@ def mix(
         .select(
             "doc_id", "size", "source_size", "target",
             (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("_run")))).cast("long").alias("taken"),
-            "source", "key",
+            "source", "key", *["carried"] * (carry is not None),
         )
     )
+
+
+def take(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, the border document cut to the
+    words it gives (and ``n_chars``, where there is one, counted anew)."""
+    mixed = mix(docs, carry=F.struct(*docs.columns), **how).where("taken > 0")
+    part = F.array_join(F.slice(words(F.col("carried.text")), 1, (F.col("taken") % F.col("size")).cast("int")), " ")
+    times = F.array_repeat(F.col("carried.text"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    rest = F.when(F.col("taken") % F.col("size") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    rows = mixed.select("carried", F.explode(F.concat(times, rest)).alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .tokens import Places, chunks
+from .tokens import Places, chunks, slices
 
 #: Words whose features a worker keeps before it starts afresh.
 WORDS_KEPT = 500_000
@@ -177,18 +178,30 @@ def classify(
     least_tail: float = 0.6,
 ) -> DataFrame:
     """``doc_id, expected_grade, tail_probability, kept`` for every row of ``docs``."""
+    scored = with_grades(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings, levels, rated_rows, dims)
+    return scored.select(
+        "doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), (F.col("_tail") >= least_tail).alias("kept")
+    )
+
+
+def select(docs: DataFrame, ratings: DataFrame, levels: int = 3, rated_rows: int = 20_000, dims: int = 1 << 18, least_tail: float = 0.6) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose tail probability is large enough."""
+    return with_grades(docs, ratings, levels, rated_rows, dims).where(F.col("_tail") >= least_tail).select(*docs.columns)
+
+
+def with_grades(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dims: int) -> DataFrame:
+    """``docs`` and ``_grade`` (expected) and ``_tail`` (probability of the top grade)."""
     model = train(docs, ratings, levels, rated_rows, dims)
     weights, cuts = model if model else (np.zeros(dims, np.float32), np.full(levels - 1, -np.inf))
     weights = docs.sparkSession.sparkContext.broadcast(weights)  # dims numbers
-    schema = "doc_id long, expected_grade double, tail_probability double"
+    schema = StructType([*docs.schema.fields, StructField("_grade", DoubleType()), StructField("_tail", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, w = features(dims), weights.value
-        for ids, texts in chunks(batches):
-            index, sizes = make(texts)
+        for b in slices(batches):
+            index, sizes = make(b.column("text").to_pylist())
             s = np.add.reduceat(w[index].astype(np.float64), np.cumsum(sizes) - sizes)
             above = 1 - _sigmoid(cuts - s[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["doc_id", "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(above[:, -1])], schema.names)
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    return scored.withColumn("kept", F.col("tail_probability") >= least_tail)
+    return docs.mapInArrow(run, schema)

@@ -34,6 +34,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = docs.select(
         "doc_id",
+        F.xxhash64("text").alias("_hash"),
         words(F.col("text")).alias("_w"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -46,7 +47,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
         lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")),
     )
     df = df.select(
-        "doc_id", "_w", "word_chars", "n_symbols",
+        "doc_id", "_hash", "_w", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.sort_array(hashed).alias("_s"),
     )
@@ -57,7 +58,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
     covered = F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     df = df.select(
-        "doc_id", "_w", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "_hash", "_w", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
         F.size(covered).cast("long").alias("n_repeat_words"),
     )
     return df.withColumn(
@@ -124,10 +125,22 @@ def quality_rules(
 
     ``kept`` is false where the base rule failed, else true when ``llr >= threshold``.
     """
+    return judged(docs, trusted, buckets, alpha, threshold).drop("_hash")
+
+
+def select(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0, threshold: float = -0.1) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep."""
+    kept = judged(docs, trusted, buckets, alpha, threshold).where("kept").select(F.col("doc_id").alias("_d"), "_hash").distinct()
+    rows = docs.withColumn("_th", F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_hash")), "left_semi").drop("_th")
+
+
+def judged(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float, threshold: float) -> DataFrame:
+    """The rows of ``quality_rules`` and a hash of the text, which names it beside its id."""
     ratios = F.broadcast(ratio_table(docs, trusted, buckets, alpha))
     one = ratios.select(F.col("bucket").alias("_b1"), F.col("ratio").alias("_r1"))
     two = ratios.select(F.col("bucket").alias("_b2"), F.col("ratio").alias("_r2"))
-    keys = ["_row", "doc_id", *MEASURES, "base_failed"]
+    keys = ["_row", "doc_id", "_hash", *MEASURES, "base_failed"]
     grams = (
         base_measures(docs)
         .withColumn("_row", F.monotonically_increasing_id())
@@ -148,7 +161,7 @@ def quality_rules(
         )
     )
     llr = F.when(F.col("n_grams") > 0, F.col("_sum") / F.col("n_grams")).otherwise(0.0)
-    return scored.select("doc_id", *MEASURES, "base_failed", llr.alias("llr")).select(
+    return scored.select("doc_id", "_hash", *MEASURES, "base_failed", llr.alias("llr")).select(
         "doc_id", *MEASURES, "base_failed",
-        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr",
+        (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr", "_hash",
     )

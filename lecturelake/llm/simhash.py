@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .tokens import chunks
+from .tokens import slices
 
 #: The blocks of bits set aside in turn, as first bit and bit after the last.
 BLOCKS = ((0, 21), (21, 43), (43, 64))
@@ -60,14 +60,15 @@ def fingerprints_of(texts: list[str | None], words_per_shingle: int = 3, seed: i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long), one row per input row."""
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``text_hash``, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            fp = fingerprints_of(texts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+        for b in slices(batches):
+            fp = fingerprints_of(b.column("text").to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _bit(i: int) -> int:
@@ -129,13 +130,29 @@ def links(fps: DataFrame) -> DataFrame:
     return near.withColumn("v", least).where("v is not null and v <> fp").select(F.col("fp").alias("u"), "v").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id``: one row per input row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, text_hash, component_id, label``; the smallest fingerprint labels a group."""
     prints = materialize(fingerprints(docs))
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     label = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     joined = materialize(fps.join(label, "fp"))
     group = joined.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    linked = joined.join(group, "label").select("fp", "component_id")
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = joined.join(group, "label").select("fp", "label", "component_id")
+    named = fps.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("label", "fp").alias("label")
+    )
+    return prints.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: one row per input row."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the document with the smallest id."""
+    best = grouped(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_h"))
+    rows = docs.withColumn("_th", F.xxhash64("text"))
+    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")
+    return met.dropDuplicates(["doc_id", "_th"]).drop("_th")

@@ -143,18 +143,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def chunks(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
-    """``(doc_ids, texts)`` of Arrow batches of ``doc_id, text``, some megabytes of text at a time."""
+def slices(batches: Iterator) -> Iterator:
+    """Arrow batches with a ``text`` column, cut into parts of some megabytes of text."""
     for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+        texts = b.column("text")
         at, size = 0, 0
         for i in range(len(texts)):
             size += texts[i].as_buffer().size if texts[i].is_valid else 0
             if size >= CHUNK_BYTES or i == len(texts) - 1:
-                yield ids[at : i + 1], texts.slice(at, i + 1 - at).to_pylist()
+                yield b.slice(at, i + 1 - at)
                 at, size = i + 1, 0
 
 
+def chunks(batches: Iterator) -> Iterator[tuple[list, list[str]]]:
+    """``(doc_ids, texts)`` of Arrow batches of ``doc_id, text``, some megabytes of text at a time."""
+    for b in slices(batches):
+        yield b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's ids followed by one end id."""
     return np.insert(ids, np.cumsum(counts), end), counts + 1
