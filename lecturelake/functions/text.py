@@ -6,11 +6,11 @@ and cuts count code points.  All but ``nfkc`` are built-in expressions.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,7 +23,7 @@ SPACE = r"[\s\x1c-\x1f]"
 @F.arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Unicode normalization form KC, a batch at a time."""
-    return pc.utf8_normalize(text, form="NFKC")
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def strip(s: Column) -> Column:

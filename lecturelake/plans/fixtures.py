@@ -21,7 +21,7 @@ MARKS = ["", "。", "吗", "！", "？", "呢", "", "，", "?", ""]
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``video_id, segment_id, n, start_ms, end_ms, src``: sentences of documents as timed speech."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    parts = F.filter(F.transform(F.split("text", r"[.\n]+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.select("doc_id", F.posexplode(parts).alias("_n", "s")).select("doc_id", F.col("_n").cast("long").alias("n"), "s")
     d, n = F.col("doc_id"), F.col("n")
     pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
