@@ -21,9 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
+    from .common import materialize
     from .warc import archive_of, parse, resolve, serialize
 
-    found = resolve(parse(serialize(archive_of(table(spark, sf_dir, "pages")))))
+    archive = materialize(serialize(archive_of(table(spark, sf_dir, "pages"))))
+    found = resolve(parse(archive))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.withColumn("headers", F.array_join(lines, "\n"))
 

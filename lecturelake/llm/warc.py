@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CRLF = "\r\n"
 SPLIT = CRLF + CRLF + "WARC/1.1" + CRLF
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
@@ -62,29 +64,37 @@ def serialize(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF * 2), content).alias("warc"))
 
 
-def _fields(block: Column) -> Column:
-    """Header lines as a map with lower-case names; of repeated names the last counts."""
-    pairs = F.transform(
+def _pairs(block: Column) -> Column:
+    """Header lines as names in lower case and values."""
+    return F.transform(
         F.filter(F.split(block, CRLF), lambda x: x.contains(":")),
-        lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")),
+        lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")),
     )
-    last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])) == 0)
-    return F.map_from_entries(last)
+
+
+def _fields(pairs: str) -> Column:
+    """A column of pairs as a map; of repeated names the last counts."""
+    names = F.transform(pairs, lambda p: p["k"])
+    back = F.reverse(F.col(pairs))
+    distinct = F.size(F.array_distinct(names)) == F.size(names)
+    first = lambda p, i: F.array_position(F.transform(back, lambda q: q["k"]), p["k"]) == i + 1
+    return F.map_from_entries(F.when(distinct, F.col(pairs)).otherwise(F.filter(back, first)))
 
 
 def parse(raw: DataFrame) -> DataFrame:
     """Records from their text (``warc``): ``record_id, kind, url, date_ms, http`` (a map), ``body``."""
-    text = F.col("warc")
-    head = F.substring_index(text, CRLF * 2, 1)
-    cut = raw.select(_fields(head).alias("h"), F.substr(text, F.length(head) + 5).alias("content"))
-    http = F.substring_index("content", CRLF * 2, 1)
+    end = F.instr("warc", CRLF * 2)
+    cut = raw.select(F.left("warc", end - 1).alias("head"), F.substr("warc", end + 4).alias("content"))
+    cut = cut.select(_pairs(F.col("head")).alias("p"), "content", F.instr("content", CRLF * 2).alias("end"))
+    cut = cut.select("p", "content", "end", _pairs(F.when(F.col("end") > 0, F.left("content", F.col("end") - 1)).otherwise(F.col("content"))).alias("q"))
+    cut = cut.select(_fields("p").alias("h"), _fields("q").alias("http"), "content", "end")
     return cut.select(
         F.regexp_extract(F.col("h")["warc-record-id"], r"<urn:record:(-?\d+)>", 1).try_cast("long").alias("record_id"),
         F.col("h")["warc-type"].alias("kind"),
         F.col("h")["warc-target-uri"].alias("url"),
         F.unix_millis(F.try_to_timestamp(F.col("h")["warc-date"])).alias("date_ms"),
-        _fields(http).alias("http"),
-        F.substr("content", F.length(http) + 5).alias("body"),
+        "http",
+        F.when(F.col("end") > 0, F.substr("content", F.col("end") + 4)).otherwise("").alias("body"),
     )
 
 
@@ -105,9 +115,9 @@ def resolve(records: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
     ``etag-mismatch``, ``date-mismatch`` or ``no-validator``; ``response_id`` and ``headers`` (a map)
     are null unless resolved.
     """
-    rows = records.where(F.col("kind").isin("response", "revisit")).select(
-        "record_id", "kind", "date_ms", "http", canonical_url(F.col("url")).alias("canonical_url")
-    )
+    rows = records.select("record_id", "kind", "date_ms", "http", canonical_url(F.col("url")).alias("canonical_url"))
+    # Written once without bodies: parsing is not repeated by the steps below.
+    rows = materialize(rows).where(F.col("kind").isin("response", "revisit"))
     stats = rows.agg(F.count(F.lit(1)), F.min("date_ms"), F.max("date_ms")).first()
     width = max(1, -(-((stats[2] or 0) - (stats[1] or 0) + 1) // max(1, stats[0] // rows_per_slice)))
     entries = F.array_sort(F.map_entries("http"))
