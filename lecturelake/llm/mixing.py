@@ -76,7 +76,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    rows_per_interval: int = 2048,
+    rows_per_interval: int = 1024,
     carry: Column | None = None,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document, its ``source`` and ``key``.

@@ -99,7 +99,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(sized: DataFrame, capacity: int = 2048, rows_per_group: int = 4096) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = 2048, rows_per_group: int = 1024) -> DataFrame:
     """``sized`` (with ``doc_id, piece, length``) plus ``sequence_id`` and ``offset``."""
     spark = sized.sparkSession
     histogram = {r["length"]: r["n"] for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -95,8 +95,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def ease(col: np.ndarray, row: np.ndarray, grades: np.ndarray, count: int) -> np.ndarray:
+    """How freely the weight of each of ``count`` features may move: a third of the standard score by
+    which the mean grade of its texts differs from that of all."""
+    n = np.maximum(np.bincount(col, minlength=count), 1)
+    mean = np.bincount(col, grades[row], count) / n
+    return np.maximum(np.abs(mean - grades.mean()) * np.sqrt(n) / max(grades.std(), 1e-9) / 3, 0.05)
+
+
 def fit(index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, dims: int, levels: int, l2: float, steps: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by full-batch Adam on the penalised likelihood.
+    """Weights and ordered thresholds by full-batch Adam, with falling steps, on the likelihood with
+    a ridge penalty, which is smaller for features that tell grades apart (``ease``).
 
     Features of fewer than ``least`` texts keep weight 0.
     """
@@ -104,6 +113,7 @@ def fit(index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, dims: int, lev
     keep = np.bincount(index, minlength=dims) >= least
     row = np.repeat(np.arange(n), sizes)[keep[index]]
     used, col = np.unique(index[keep[index]], return_inverse=True)
+    penalty = l2 / ease(col, row, grades, len(used)) ** 2
     share = np.cumsum(np.bincount(grades, minlength=levels) + 1.0)[:-1] / (n + levels)
     cut = np.log(share / (1 - share))
     # First threshold, then the logs of the gaps: the order can't be lost.
@@ -119,12 +129,12 @@ def fit(index: np.ndarray, sizes: np.ndarray, grades: np.ndarray, dims: int, lev
         upper, lower = slope[np.arange(n), grades + 1] / p, slope[np.arange(n), grades] / p
         by_cut = np.array([lower[grades == k + 1].sum() - upper[grades == k].sum() for k in range(levels - 1)])
         grad = np.concatenate([
-            np.bincount(col, (upper - lower)[row], len(used)) + l2 * w,
+            np.bincount(col, (upper - lower)[row], len(used)) + penalty * w,
             [by_cut.sum()],
             np.cumsum(by_cut[::-1])[::-1][1:] * gaps,
         ])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        theta = theta - 0.1 * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(dims, np.float32)
     weights[used] = theta[: len(used)]
     cuts = theta[len(used)] + np.concatenate([[0], np.cumsum(np.exp(theta[len(used) + 1 :]))])
@@ -180,21 +190,21 @@ def classify(
     """``doc_id, expected_grade, tail_probability, kept`` for every row of ``docs``."""
     scored = with_grades(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings, levels, rated_rows, dims)
     return scored.select(
-        "doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), (F.col("_tail") >= least_tail).alias("kept")
+        "doc_id", F.col("__lake_grade").alias("expected_grade"), F.col("__lake_tail").alias("tail_probability"), (F.col("__lake_tail") >= least_tail).alias("kept")
     )
 
 
 def select(docs: DataFrame, ratings: DataFrame, levels: int = 3, rated_rows: int = 20_000, dims: int = 1 << 18, least_tail: float = 0.6) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose tail probability is large enough."""
-    return with_grades(docs, ratings, levels, rated_rows, dims).where(F.col("_tail") >= least_tail).select(*docs.columns)
+    return with_grades(docs, ratings, levels, rated_rows, dims).where(F.col("__lake_tail") >= least_tail).select(*docs.columns)
 
 
 def with_grades(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dims: int) -> DataFrame:
-    """``docs`` and ``_grade`` (expected) and ``_tail`` (probability of the top grade)."""
+    """``docs`` and ``__lake_grade`` (expected) and ``__lake_tail`` (probability of the top grade)."""
     model = train(docs, ratings, levels, rated_rows, dims)
     weights, cuts = model if model else (np.zeros(dims, np.float32), np.full(levels - 1, -np.inf))
     weights = docs.sparkSession.sparkContext.broadcast(weights)  # dims numbers
-    schema = StructType([*docs.schema.fields, StructField("_grade", DoubleType()), StructField("_tail", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("__lake_grade", DoubleType()), StructField("__lake_tail", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, w = features(dims), weights.value

@@ -131,8 +131,8 @@ def quality_rules(
 def select(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0, threshold: float = -0.1) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep."""
     kept = judged(docs, trusted, buckets, alpha, threshold).where("kept").select(F.col("doc_id").alias("_d"), "_hash").distinct()
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_hash")), "left_semi").drop("_th")
+    rows = docs.withColumn("__lake_hash", F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("__lake_hash") == F.col("_hash")), "left_semi").drop("__lake_hash")
 
 
 def judged(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float, threshold: float) -> DataFrame:

@@ -153,6 +153,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest id."""
     best = grouped(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("b"))
     kept = best.select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_h"))
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    rows = docs.withColumn("__lake_hash", F.xxhash64("text"))
+    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("__lake_hash") == F.col("_h")), "left_semi")
+    return met.dropDuplicates(["doc_id", "__lake_hash"]).drop("__lake_hash")
