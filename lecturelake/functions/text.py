@@ -7,7 +7,7 @@ and cuts count code points.  All but ``nfkc`` are built-in expressions.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -26,6 +26,11 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     return F.regexp_replace(s, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -50,9 +55,9 @@ def drop_noise(s: Column, fillers: Sequence[str] = lx.FILLERS, tags: Sequence[st
         s = F.regexp_replace(s, f"{left}(?:{any_of(tags)}){right}", "")
     s = F.regexp_replace(s, f"[{lx.HESITATIONS}]{{2,}}", "")
     alone = lambda w: rf"(?:^| )(?:{w})(?:$| )"
-    chain = reduce(lambda x, w: F.regexp_replace(x, alone(any_of([w])), " "), fillers, s)
+    chain = lambda s: reduce(lambda x, w: F.regexp_replace(x, alone(any_of([w])), " "), fillers, s)
     # Most texts hold no filler that stands alone: one look spares them the chain.
-    return squeeze(F.when(s.rlike(alone(any_of(fillers))), chain).otherwise(s))
+    return squeeze(let(s, lambda x: F.when(x.rlike(alone(any_of(fillers))), chain(x)).otherwise(x)))
 
 
 def normalize(s: Column, **how) -> Column:
@@ -85,9 +90,8 @@ def full_width(s: Column) -> Column:
 
 def student_style(s: Column, connectives: Sequence[str] = lx.CONNECTIVES) -> Column:
     """Full-width marks, commas before connectives, no white space, no repeated marks."""
-    s = full_width(s)
-    comma = reduce(lambda x, w: F.regexp_replace(x, f"(?<![，。！？])\\Q{w}\\E", f"，{w}"), connectives, s)
-    s = F.when(contains_any(s, connectives), comma).otherwise(s)
+    comma = lambda s: reduce(lambda x, w: F.regexp_replace(x, f"(?<![，。！？])\\Q{w}\\E", f"，{w}"), connectives, s)
+    s = let(full_width(s), lambda x: F.when(contains_any(x, connectives), comma(x)).otherwise(x))
     return F.regexp_replace(F.regexp_replace(s, f"(?U){SPACE}+", ""), r"([，。！？])\1+", "$1")
 
 
@@ -97,8 +101,8 @@ def finalize(s: Column, style: str = "plain") -> Column:
     The text is NFKC already, so of that form only ？, which closing a sentence may have added, is
     left to change.
     """
-    clean = F.transform(sentences(squeeze(s)), lambda x: autopunct(drop_noise(F.translate(x, "？", "?"))))
-    joined = F.array_join(clean, "")
+    clean = F.transform(sentences(squeeze(s)), lambda x: drop_noise(F.translate(x, "？", "?")))
+    joined = F.array_join(F.transform(clean, autopunct), "")
     return student_style(joined) if style == "student" else joined
 
 
@@ -108,12 +112,14 @@ def _pieces(s: Column) -> Column:
 
 def short_summary(text: Column, max_len: int = 120) -> Column:
     """The first sentence, with the second if it is shorter than 20, cut to ``max_len``."""
-    text = squeeze(text)
-    parts = _pieces(text)
-    first, second = F.get(parts, 0), F.get(parts, 1)
-    key = F.when((F.length(first) < 20) & second.isNotNull(), F.concat(first, F.lit("，"), second)).otherwise(first)
-    cut = F.concat(F.left(key, F.lit(max_len)), F.when(F.length(key) > max_len, "…").otherwise(""))
-    return F.when(F.size(parts) == 0, F.left(text, F.lit(max_len))).otherwise(cut)
+
+    def of(text: Column, parts: Column) -> Column:
+        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        key = F.when((F.length(first) < 20) & second.isNotNull(), F.concat(first, F.lit("，"), second)).otherwise(first)
+        cut = let(key, lambda k: F.concat(F.left(k, F.lit(max_len)), F.when(F.length(k) > max_len, "…").otherwise("")))
+        return F.when(F.size(parts) == 0, F.left(text, F.lit(max_len))).otherwise(cut)
+
+    return let(squeeze(text), lambda t: let(_pieces(t), lambda p: of(t, p)))
 
 
 def by_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -143,7 +149,7 @@ def chapter_bullets(title: Column, text: Column) -> Column:
     found = F.array_compact(
         F.array(*[F.when(both.rlike(p) & (text.rlike(_wide(q)) if q else F.lit(True)), F.lit(x)) for p, q, x in lx.CHAPTER_BULLETS])
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.slice(_pieces(text), 1, 5))
+    return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(_pieces(text), 1, 5)))
 
 
 def chapter_exam(title: Column, text: Column) -> list[Column]:
@@ -202,8 +208,7 @@ def title_tail(text: Column, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> Col
 def json_array(text: Column) -> Column:
     """The JSON array in a model's answer as ``array<variant>``: without code fences, whole or from
     the first ``[`` to the last ``]``; null where there is none."""
-    s = strip(F.regexp_replace(F.regexp_replace(strip(text), "^```json", ""), "```$", ""))
-    inner = F.regexp_extract(s, r"(?s)\[.*\]", 0)
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(text), "^```json", ""), "```$", ""))
     as_list = lambda x: F.try_variant_get(F.try_parse_json(x), "$", "array<variant>")
-    whole = F.when(s.startswith("["), as_list(s))
-    return F.coalesce(whole, F.when(inner != "", as_list(inner)))
+    inner = lambda s: as_list(F.nullif(F.regexp_extract(s, r"(?s)\[.*\]", 0), F.lit("")))
+    return let(bare, lambda s: F.coalesce(F.when(s.startswith("["), as_list(s)), inner(s)))

@@ -71,18 +71,17 @@ def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool =
     found = responses.select("video_id", "paragraph_id", tx.json_array(F.col("content")).alias("_a"))
     rows = rows.join(found, ["video_id", "paragraph_id"], "left")
     fits = F.col("_a").isNotNull() & ((F.size("_a") == F.size("_s")) if strict else F.lit(True))
-    rows = rows.withColumn("_ok", fits)
-    field = lambda n: F.try_variant_get(F.col("_v"), f'$["{n}"]', "string")
     names = ["类别", "总结", "重要性说明", "非重点原因", "type"]
-    model = rows.where("_ok").select(*keys, F.posexplode("_a").alias("_p", "_v")).select(
-        *keys, F.col("_p").cast("long").alias("pos"), F.coalesce(field("句子"), field("text")).alias("sentence"),
-        *[field(n).alias(c) for n, c in zip(names, FIELDS, strict=True)], F.lit("model").alias("origin"),
-    )
-    rule = rows.where("not _ok").select(*keys, F.posexplode("_s").alias("_p", "sentence")).select(
-        *keys, F.col("_p").cast("long").alias("pos"), "sentence",
-        *by_rule(F.col("sentence"), "category" if strict else "type"), F.lit("rule").alias("origin"),
-    )
-    return model.unionByName(rule)
+
+    def model(v: Column) -> Column:
+        field = lambda n: F.try_variant_get(v, f'$["{n}"]', "string")
+        own = [field(n).alias(c) for n, c in zip(names, FIELDS, strict=True)]
+        return F.struct(F.coalesce(field("句子"), field("text")).alias("sentence"), *own, F.lit("model").alias("origin"))
+
+    rule = lambda s: F.struct(s.alias("sentence"), *by_rule(s, "category" if strict else "type"), F.lit("rule").alias("origin"))
+    items = F.when(fits, F.transform("_a", model)).otherwise(F.transform("_s", rule))
+    rows = rows.select(*keys, F.posexplode(items).alias("_p", "_i"))
+    return rows.select(*keys, F.col("_p").cast("long").alias("pos"), "_i.*")
 
 
 def _is_key() -> Column:
