@@ -2,6 +2,7 @@
 
 The model is a folder of flat little-endian arrays in the shared folder, all in hash order:
 
+* ``vocab.base`` and ``pairs.base``: where each shard's places begin.
 * ``vocab-<shard>.u64``: sorted XXH64 hashes of the training words, split by their top bits; a
   word's id is its place over all shards.
 * ``counts-<shard>.u32`` and ``stats-<shard>.f32``: per word, in that order, its count, and four
@@ -43,6 +44,8 @@ from .tokens import chunks
 START, END = b"\n<s>", b"\n</s>"
 #: Entries that a task counts, and words that a worker keeps, before it starts afresh.
 BUFFER, WORDS_KEPT = 3_000_000, 500_000
+#: Files that a worker maps at once.
+MAPS_KEPT = 4096
 
 PACKED = "shard int, data binary"
 
@@ -85,6 +88,14 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
+def parts(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """``(shard, its slice)`` for ascending shard numbers."""
+    shards, first = np.unique(owner, return_index=True)
+    ends = [*first.tolist(), len(owner)]
+    for k, s in enumerate(shards.tolist()):
+        yield s, slice(ends[k], ends[k + 1])
+
+
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -150,10 +161,12 @@ class Counter:
 
 def runs(keys: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """One packed run for each shard that has keys."""
-    cuts = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(cuts)).tolist()
-    data = [pack_run(keys[cuts[s] : cuts[s + 1]], *(c[cuts[s] : cuts[s + 1]] for c in columns)) for s in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
+    yield packed(keys, columns, shard_of(keys, bits))
+
+
+def packed(keys: np.ndarray, columns: list[np.ndarray], owner: np.ndarray) -> pa.RecordBatch:
+    own = [(s, pack_run(keys[at], *(c[at] for c in columns))) for s, at in parts(owner)]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["shard", "data"])
 
 
 def merged(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
@@ -194,41 +207,64 @@ def load(folder: str, name: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
 
 
+class Maps(dict):
+    """Open arrays by name, not too many at once."""
+
+    def __init__(self, folder: str, kind: str, width: int = 1):
+        self.folder, self.kind, self.width = folder, kind, width
+
+    def __missing__(self, name: str) -> np.ndarray:
+        if len(self) >= MAPS_KEPT:
+            self.clear()
+        data = load(self.folder, name, self.kind)
+        out = self[name] = data.reshape(-1, self.width) if self.width > 1 else data
+        return out
+
+
 class Sharded:
     """Sorted keys in files by shard: ``find`` gives places over all shards, -1 where absent."""
 
-    def __init__(self, folder: str, name: str, bits: int, sizes: list[int]):
-        self.folder, self.name, self.bits = folder, name, bits
-        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.keys: dict[int, np.ndarray] = {}
-        self.rows: dict[int, np.ndarray] = {}
-
-    def shard(self, s: int) -> np.ndarray:
-        if s not in self.keys:
-            self.keys[s] = load(self.folder, f"{self.name}-{s}.u64", "<u8")
-        return self.keys[s]
+    def __init__(self, folder: str, name: str, bits: int):
+        self.name, self.bits = name, bits
+        self.base = load(folder, f"{name}.base", "<i8")
+        self.keys, self.u32, self.f32 = Maps(folder, "<u8"), Maps(folder, "<u4"), Maps(folder, "<f4", 4)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """``keys`` must be sorted."""
         out = np.full(len(keys), -1, np.int64)
-        cuts = np.searchsorted(shard_of(keys, self.bits), np.arange((1 << self.bits) + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            own, there = keys[cuts[s] : cuts[s + 1]], self.shard(s)
+        for s, at in parts(shard_of(keys, self.bits)):
+            there = self.keys[f"{self.name}-{s}.u64"]
             if len(there):
-                at = np.minimum(np.searchsorted(there, own), len(there) - 1)
-                out[cuts[s] : cuts[s + 1]] = np.where(there[at] == own, self.base[s] + at, -1)
+                near = np.minimum(np.searchsorted(there, keys[at]), len(there) - 1)
+                out[at] = np.where(there[near] == keys[at], self.base[s] + near, -1)
         return out
 
-    def values(self, places: np.ndarray, file: str, width: int) -> np.ndarray:
-        """Rows of ``width`` f32 at ascending ``places``."""
-        out = np.zeros((len(places), width), np.float32)
-        cuts = np.searchsorted(places, self.base)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if s not in self.rows:
-                self.rows[s] = load(self.folder, f"{file}-{s}.f32", "<f4").reshape(-1, width)
-            out[cuts[s] : cuts[s + 1]] = self.rows[s][places[cuts[s] : cuts[s + 1]] - self.base[s]]
+    def _at(self, places: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+        for s, at in parts(np.searchsorted(self.base, places, "right") - 1):
+            yield s, at, places[at] - self.base[s]
+
+    def counts(self, places: np.ndarray, file: str) -> np.ndarray:
+        """Counts at ascending places."""
+        out = np.zeros(len(places), np.int64)
+        for s, at, near in self._at(places):
+            out[at] = self.u32[f"{file}-{s}.u32"][near]
         return out
 
+    def stats(self, places: np.ndarray) -> np.ndarray:
+        """Four numbers at each of ascending places."""
+        out = np.zeros((len(places), 4))
+        for s, at, near in self._at(places):
+            out[at] = self.f32[f"stats-{s}.f32"][near]
+        return out
+
+
+def save_base(folder: str, name: str, bits: int, shards: np.ndarray, sizes: np.ndarray) -> int:
+    """Write where each shard's places begin; the number of all places."""
+    n = np.zeros((1 << bits) + 1, np.int64)
+    n[shards + 1] = sizes
+    save(folder, f"{name}.base", np.cumsum(n).astype("<i8"))
+    return int(n.sum())
+
 
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts."""
@@ -267,15 +303,14 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
             save(folder, f"counts-{shard}.u32", counts.astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(keys), int(counts.sum()))], ["shard", "n", "total"])
 
-    found = _exchange(rows.mapInArrow(words, PACKED)).mapInArrow(vocabulary, "shard long, n long, total long").collect()
-    sizes = [0] * (1 << bits)
-    for r in found:
-        sizes[r["shard"]] = r["n"]
-    model = {"folder": folder, "bits": bits, "sizes": sizes, "tokens": sum(r["total"] for r in found), "types": sum(sizes)}
-    start = model["types"]  # the id of the start context, after all words
+    # One row of numbers for each shard comes back, and goes into a file that workers map.
+    found = _exchange(rows.mapInArrow(words, PACKED)).mapInArrow(vocabulary, "shard long, n long, total long").toPandas()
+    types = save_base(folder, "vocab", bits, found["shard"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    model = {"folder": folder, "bits": bits, "tokens": int(found["total"].sum()), "types": types}
+    start = types  # the id of the start context, after all words
 
     def pairs(batches):
-        known, counter, vocab = Hashes(), Counter(bits), Sharded(folder, "vocab", bits, sizes)
+        known, counter, vocab = Hashes(), Counter(bits), Sharded(folder, "vocab", bits)
         for _, texts in chunks(batches):
             hashes, counts = token_hashes(texts, known)
             unique, back = np.unique(hashes, return_inverse=True)
@@ -287,6 +322,7 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
 
     def pair_shards(batches):
         """Write each shard's pairs and counts; give what contexts and words gather from it."""
+        base = load(folder, "vocab.base", "<i8")  # what lies past the last word is the start context's
         for shard, keys, (counts,) in merged(batches, 1):
             save(folder, f"pairs-{shard}.u64", keys)
             save(folder, f"counted-{shard}.u32", counts.astype("<u4"))
@@ -296,32 +332,26 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
             both = np.concatenate([ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)])
             own = [np.concatenate([x, none]) for x in (counts, one, two, more)] + [np.concatenate([none, none + 1])]
             keyed, sums = combine(both, own)
-            place = np.searchsorted(base, keyed, "right") - 1
-            cuts = np.searchsorted(place, np.arange(len(base) + 1))
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            data = [pack_run(keyed[cuts[s] : cuts[s + 1]], *(c[cuts[s] : cuts[s + 1]] for c in sums)) for s in full]
+            batch = packed(keyed, sums, np.searchsorted(base, keyed.astype(np.int64), "right") - 1)
             count = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            m = len(full)
-            cols = [pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array([shard] * m, pa.int32()), pa.array([len(keys)] * m, pa.int64())]
+            m = batch.num_rows
+            cols = [*batch.columns, pa.array([shard] * m, pa.int32()), pa.array([len(keys)] * m, pa.int64())]
             cols += [pa.array([c] * m, pa.int64()) for c in count]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "data", "from", "n", "n1", "n2", "n3", "n4"])
 
-    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)  # the last entry is the start context's own shard
     gathered = materialize(
         _exchange(rows.mapInArrow(pairs, PACKED)).mapInArrow(pair_shards, PACKED + ", from int, n long, n1 long, n2 long, n3 long, n4 long")
     )
-    per = gathered.groupBy("from").agg(*[F.first(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]).collect()
-    model["pairs"] = [0] * (1 << bits)
-    for r in per:
-        model["pairs"][r["from"]] = r["n"]
-    model["discounts"] = discounts([sum(r[f"n{k}"] for r in per) for k in (1, 2, 3, 4)])
+    per = gathered.groupBy("from").agg(*[F.first(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]).toPandas()
+    save_base(folder, "pairs", bits, per["from"].to_numpy(np.int64), per["n"].to_numpy(np.int64))
+    model["discounts"] = discounts([int(per[f"n{k}"].sum()) for k in (1, 2, 3, 4)])
 
     def words_low(batches):
         """Per word: context total, backoff weight and continuation count, in hash order."""
-        d = model["discounts"]
+        d, base = model["discounts"], load(folder, "vocab.base", "<i8")
         for shard, keys, (total, one, two, more, left) in merged(batches, 5):
-            n = 1 if shard == len(sizes) else sizes[shard]
-            out, at = np.zeros((n, 4), np.float32), (keys - base[shard]).astype(np.int64)
+            n = 1 if shard == 1 << bits else int(base[shard + 1] - base[shard])
+            out, at = np.zeros((n, 4), np.float32), keys.astype(np.int64) - base[shard]
             out[at, 1] = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(total, 1), 1.0)
             out[at, 2], out[at, 3] = left, total
             save(folder, f"stats-{shard}.f32", out.astype("<f4"))
@@ -341,21 +371,9 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.m, folder, bits = model, model["folder"], model["bits"]
-        self.vocab = Sharded(folder, "vocab", bits, model["sizes"])
-        self.pairs = Sharded(folder, "pairs", bits, model["pairs"])
-        start = load(folder, f"stats-{len(model['sizes'])}.f32", "<f4").reshape(-1, 4)
+        self.vocab, self.pairs = Sharded(folder, "vocab", bits), Sharded(folder, "pairs", bits)
+        start = load(folder, f"stats-{1 << bits}.f32", "<f4").reshape(-1, 4)
         self.start = start[0] if len(start) else np.array([0, 1, 0, 0], np.float32)
-        self.counts: dict[int, np.ndarray] = {}
-
-    def counted(self, places: np.ndarray, table: Sharded, file: str) -> np.ndarray:
-        """u32 counts at ascending places (0 for -1)."""
-        out = np.zeros(len(places), np.int64)
-        cuts = np.searchsorted(places, table.base)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if (file, s) not in self.counts:
-                self.counts[file, s] = load(self.m["folder"], f"{file}-{s}.u32", "<u4")
-            out[cuts[s] : cuts[s + 1]] = self.counts[file, s][places[cuts[s] : cuts[s + 1]] - table.base[s]]
-        return out
 
     def score(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count, its base log10 probability and the model's."""
@@ -366,8 +384,8 @@ class Scorer:
         count, low, backoff, whole = (np.zeros(len(unique)) for _ in range(4))
         backoff += 1.0
         if seen.any():
-            count[seen] = self.counted(place[seen], self.vocab, "counts")
-            stats = self.vocab.values(place[seen], "stats", 4).astype(np.float64)
+            count[seen] = self.vocab.counts(place[seen], "counts")
+            stats = self.vocab.stats(place[seen])
             left, d = stats[:, 2], np.array([0.0, *m["lower"]])
             low[seen] = np.maximum(left - d[np.minimum(left, 3).astype(np.int64)], 0) / max(m["pair_types"], 1)
             backoff[seen], whole[seen] = np.where(stats[:, 3] > 0, stats[:, 1], 1.0), stats[:, 3]
@@ -383,7 +401,7 @@ class Scorer:
         keys, again = np.unique(mix(context[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64)), return_inverse=True)
         at = self.pairs.find(keys)
         found = np.zeros(len(keys))
-        found[at >= 0] = self.counted(at[at >= 0], self.pairs, "counted")
+        found[at >= 0] = self.pairs.counts(at[at >= 0], "counted")
         c = np.zeros(len(ids))
         c[both] = found[again]
         d = np.array([0.0, *m["discounts"]])
