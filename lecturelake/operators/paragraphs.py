@@ -22,10 +22,11 @@ def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int =
     enough to have been closed before.
     """
     clean = segments.select("video_id", *[c.alias(f"_o{i}") for i, c in enumerate(segment_order())], tx.normalize(F.col("src")).alias("t"))
-    clean = clean.where("t <> ''").withColumn("_size", F.length("t") + 1)
+    # Empty ones count nothing and go after the fill: a filter here would clean every text twice.
+    clean = clean.withColumn("_size", F.when(F.coalesce("t", F.lit("")) == "", 0).otherwise(F.length("t") + 1))
     order = [f"_o{i}" for i in range(5)]
     laid = clean.repartition("video_id").sortWithinPartitions("video_id", *order)
-    filled = greedy_fill(laid, "video_id", "_size", min_chars, "paragraph_id")
+    filled = greedy_fill(laid, "video_id", "_size", min_chars, "paragraph_id").where("t <> ''")
     own = F.array_sort(F.collect_list(F.struct(*order, "t")))
     # By lecture first, so that what follows on lectures finds its rows in place.
     merged = filled.repartition("video_id").groupBy("video_id", "paragraph_id").agg(own.alias("s"))

@@ -79,7 +79,7 @@ def test_micro_windows_after_a_pause_and_before_a_long_segment(spark):
 
 
 def test_merge_segments(spark):
-    df = segs(spark, [("v", 0, 1, "a" * 99), ("v", 9000, 9001, "嗯嗯"), ("v", 99_000, 99_001, "b" * 99), ("v", 99_002, 99_003, "好吗"), ("w", 5, 6, "就是")])
+    df = segs(spark, [("v", 0, 1, "a" * 99), ("v", 9000, 9001, "嗯嗯"), ("v", 99_000, 99_001, "b" * 99), ("v", 99_002, 99_003, "好吗"), ("w", 5, 6, "就是"), ("w", 7, 8, None)])
     out = paragraphs.merge_segments(df, style="plain").orderBy("paragraph_id").collect()
     assert [(r["paragraph_id"], r["start_ms"], r["end_ms"]) for r in out] == [(0, 0, 99_001), (1, 99_002, 99_003)]
     assert out[0]["text"] == "a" * 99 + " " + "b" * 99 + "。"
