@@ -25,6 +25,7 @@ is that of a uniform choice between the unknown word and nothing else; further c
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -190,9 +191,9 @@ def merged(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[in
 
 def local(folder: str) -> str:
     """The path of a shared folder as tasks open it."""
-    if "://" in folder and not folder.startswith("file://"):
+    if "://" in folder and not folder.startswith("file:"):
         raise ValueError(f"model files need a shared folder that is mounted, not {folder}")
-    return folder.removeprefix("file://")
+    return re.sub("^file:/*", "/", folder)
 
 
 def save(folder: str, name: str, data: np.ndarray) -> None:
