@@ -27,6 +27,8 @@ from .tokens import chunks
 
 #: Samples of a line, and lines of a frame at most.
 WIDTH, LINES = 64, 64
+#: Lines coded in step.
+BLOCK_LINES = 1 << 16
 FPS = 25
 #: Bins of a histogram; a cut needs this much change, and this many spreads above the mean of as
 #: many changes before it.
@@ -42,6 +44,13 @@ def _chunk(name: bytes, data: bytes) -> bytes:
 
 
 def code_lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_code`` over any number of lines, a block at a time."""
+    done = [_code(x[i : i + BLOCK_LINES]) for i in range(0, len(x), BLOCK_LINES)]
+    before = np.cumsum([0, *(len(data) for data, _ in done)])
+    return np.concatenate([data for data, _ in done]), np.concatenate([ends + at for (_, ends), at in zip(done, before, strict=False)])
+
+
+def _code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entropy-coded bytes of every line of samples, each padded, stuffed and followed by room for
     its restart marker; and where each line ends."""
     n = len(x)
@@ -179,6 +188,18 @@ def code_table(table: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_lines(scans: list[bytes], table: bytes, width: int) -> np.ndarray:
+    """``_decode`` over any number of coded parts, some megabytes at a time."""
+    out, own, size = [], [], 0
+    for i, scan in enumerate(scans):
+        own.append(scan)
+        size += len(scan)
+        if size >= BLOCK_LINES * WIDTH or i == len(scans) - 1:
+            out.append(_decode(own, table, width))
+            own, size = [], 0
+    return np.concatenate(out)
+
+
+def _decode(scans: list[bytes], table: bytes, width: int) -> np.ndarray:
     """Samples of all lines of the coded parts (each up to its end marker), one after the other."""
     raw = np.frombuffer(b"".join(scans) + b"\0\0\0", np.uint8)
     after = np.concatenate([[0], raw[:-1]]) == 255

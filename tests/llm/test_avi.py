@@ -22,6 +22,14 @@ def test_round_trip_of_all_bytes(size):
     assert rate == a.FPS and all(film[s : s + 2] == b"\xff\xd8" and film[s + n - 2 : s + n] == b"\xff\xd9" for s, n in places)
 
 
+def test_blocks_do_not_matter(monkeypatch):
+    payloads = [np.random.default_rng(i).integers(0, 256, 64 * n).astype(np.uint8).tobytes() for i, n in enumerate((1, 64, 65, 300, 7))]
+    whole = a.films(payloads)
+    monkeypatch.setattr(a, "BLOCK_LINES", 50)
+    assert a.films(payloads) == whole
+    assert [r[1] for r in a._read(whole)] == [hashlib.sha256(p).hexdigest() for p in payloads]
+
+
 def test_extreme_differences():
     data = bytes([0, 255] * 32) + bytes([255, 0] * 32) + bytes(64) + bytes([255] * 64)
     assert a._read(a.films([data]))[0][1] == hashlib.sha256(data).hexdigest()
