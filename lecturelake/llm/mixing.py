@@ -76,7 +76,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    rows_per_interval: int = 1024,
+    rows_per_interval: int = 512,
     carry: Column | None = None,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document, its ``source`` and ``key``.
@@ -90,7 +90,8 @@ def mix(
     )
     sized = materialize(sized)
     intervals = max(1, -(-sized.count() // rows_per_interval))
-    part = F.least(F.floor((1 - F.exp(-F.col("key"))) * intervals), F.lit(intervals - 1)).cast("long")
+    # Rising with the key, and no interval gets much more than its share at any weight.
+    part = F.floor(F.col("key") / (1 + F.col("key")) * intervals).cast("long")
     sized = sized.select("*", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), part.alias("_p"))
 
     per = source_targets(sized, weights, share, cap).select(
