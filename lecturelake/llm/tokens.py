@@ -8,6 +8,7 @@ of its words one after the other.  Each worker keeps the ids of words it has met
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,6 +20,11 @@ CHUNK_BYTES = 2 << 20
 #: Marks that the vocabularies split from the letters before them.
 MARKS = ".,!?;:*#$%&|"
 
+#: The characters that stand for bytes: printable ones for themselves, the others from U+0100 on.
+LATIN_END = "\u024f"
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -49,9 +55,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        vocab = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        # Vocabularies that treat letters otherwise go the library's whole way.
+        probes = ["a", "words", "año", "ÉTÉ", "straße", "thing", "ñöüç"]
+        self.plain_letters = [self.letters(w) for w in probes] == self.alone(probes)
         self.reset()
 
     def reset(self) -> None:
@@ -60,14 +67,17 @@ class Encoder:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
-    def letters(self, new: list[str]) -> list[list[int]] | None:
-        """Ids of words that are letters only: encoded as one text and cut at the ends of words."""
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(new):
-            return None
-        flat = ids.tolist()
-        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+    def letters(self, word: str) -> list[int] | None:
+        """Ids of a word of Latin letters, straight from the model; None for other words.
+
+        What the vocabulary's normalizer does to such a word is lower case, and what comes before the
+        model is a character for each byte.
+        """
+        if not word.isascii():
+            if max(word) > LATIN_END or "İ" in word or not unicodedata.is_normalized("NFC", word):
+                return None
+            word = word.lower().encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS)
+        return [x.id for x in self.model.tokenize(word)]
 
     def learn(self) -> None:
         """Encode the words met since the last call."""
@@ -87,10 +97,10 @@ class Encoder:
             else:
                 rest.append(t)
                 cores.append(None)
-        keys = [c for c, ids in plain.items() if ids is None]
-        for at in range(0, len(keys), 5000):
-            own = keys[at : at + 5000]
-            plain.update(zip(own, self.letters(own) or self.alone(own), strict=True))
+        if self.plain_letters:
+            plain.update({c: self.letters(c) for c, ids in plain.items() if ids is None})
+        left = [c for c, ids in plain.items() if ids is None]
+        plain.update(zip(left, self.alone(left), strict=True))
         known = dict(zip(rest, self.alone(rest), strict=True))
         found = [known[t] if c is None else plain[c] if len(c) == len(t) else plain[c] + self.marks(t[len(c) :]) for t, c in zip(texts, cores, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
