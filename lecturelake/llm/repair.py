@@ -53,10 +53,11 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int, per_pass: int, l
             break
         key = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
         key[(seq[:-1] == end) | (seq[1:] == end)] = 0xFFFFFFFF
-        slot = _slots(key)
+        slot = _slots(key).astype(np.intp)
         load = np.bincount(slot, minlength=1 << 20)
         load[_slots(np.array([0xFFFFFFFF], np.uint32))] = 0
-        bar = max(least, int(np.partition(load, -per_pass)[-per_pass]))
+        often = load[load >= least]
+        bar = int(np.partition(often, -per_pass)[-per_pass]) if len(often) > per_pass else least
         at = np.flatnonzero((load >= bar)[slot])
         # Of the pairs that share a slot one is looked at in this pass, and counted exactly.
         own, pair = slot[at], key[at]
@@ -97,17 +98,19 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int, per_pass: int, l
     return seq, np.array(rules, np.int64).reshape(-1, 2)
 
 
-def expansions(rules: np.ndarray, terminals: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expansions(rules: np.ndarray, rule_sizes: np.ndarray, terminals: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every symbol, where its ids start in a flat array and how many they are."""
-    flat: list[np.ndarray] = []
-    ids = np.arange(terminals, dtype=np.int32)
-    ids[-1] = end_id
-    own = [ids[i : i + 1] for i in range(terminals)]
-    for a, b in rules.tolist():
-        own.append(np.concatenate([own[a], own[b]]))
-    flat = np.concatenate(own)
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    return flat, np.cumsum(sizes) - sizes, sizes
+    sizes = np.concatenate([np.ones(terminals, np.int64), rule_sizes.astype(np.int64)])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), np.int32)
+    flat[:terminals] = np.arange(terminals)
+    flat[terminals - 1] = end_id
+    at, n = starts.tolist(), sizes.tolist()
+    for to, (a, b) in zip(at[terminals:], rules.tolist(), strict=True):  # of earlier symbols
+        middle = to + n[a]
+        flat[to:middle] = flat[at[a] : at[a] + n[a]]
+        flat[middle : middle + n[b]] = flat[at[b] : at[b] + n[b]]
+    return flat, starts, sizes
 
 
 def pack_shard(doc_ids: list, counts: np.ndarray, seq: np.ndarray, terminals: int, **how) -> bytes:
@@ -147,7 +150,7 @@ class Shard:
 
         self.doc_ids, self.counts = part("<i8", n), part("<u4", n).astype(np.int64)
         rules, self.rule_sizes, self.symbols = part("<u2", 2 * r).reshape(-1, 2), part("<u4", r), part("<u2", m)
-        self.tables = expansions(rules, terminals, end_id)
+        self.tables = expansions(rules, self.rule_sizes, terminals, end_id)
         self.ends = np.flatnonzero(self.symbols == terminals - 1)
 
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
