@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.select(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels"), LABELLED_ROWS))
+    return quality_rules.select(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,19 +75,23 @@ def _bucket(buckets: int, *parts):
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` ids of documents labelled good and not toxic, by smallest hash."""
+def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ids of all documents labelled good and not toxic; with ``limit``, those of smallest hash."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = good.select("doc_id").distinct()
+    return ids if limit is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
     """``(bucket, ratio)``: the log ratio of the smoothed multinomials, ``buckets`` rows at most.
 
-    ``trusted`` holds ids only and is bounded by its maker, so it is broadcast.
+    ``trusted`` holds ids only, any number of them.  A task's ids are hashed, so texts are dealt out
+    but not sorted; documents without an id can't be trusted and stay where they are.
     """
-    mark = trusted.select(F.col("doc_id").alias("_t")).distinct()
-    marked = docs.select("doc_id", "text").join(F.broadcast(mark), F.col("doc_id") == F.col("_t"), "left")
+    mark = trusted.select(F.col("doc_id").alias("_t")).distinct().hint("shuffle_hash")
+    named, nameless = (docs.where(x).select("doc_id", "text") for x in ("doc_id is not null", "doc_id is null"))
+    marked = named.join(mark, F.col("doc_id") == F.col("_t"), "left")
+    marked = marked.unionByName(nameless.withColumn("_t", F.lit(None).cast(mark.schema["_t"].dataType)))
     grams = marked.select(F.col("_t").isNotNull().cast("long").alias("t"), words(F.col("text")).alias("_w")).select(
         "t", F.explode(_pairs(F.col("_w"))).alias("p")
     )

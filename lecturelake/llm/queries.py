@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Bound on the labelled rows that the trusted multinomial and the classifier are fitted on.
+#: Bound on the labelled rows that the classifier is fitted on.
 LABELLED_ROWS = 20_000
 #: Ids of a packed sequence, and bytes of text in a shard at most (a range request of a data loader).
 SEQUENCE_IDS, SHARD_BYTES = 2048, 1 << 20
@@ -15,7 +15,7 @@ SEQUENCE_IDS, SHARD_BYTES = 2048, 1 << 20
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules, trusted_ids
 
-    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"), LABELLED_ROWS))
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

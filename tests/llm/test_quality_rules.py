@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lecturelake.llm import quality_rules as q
+from lecturelake.llm.queries import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,6 +83,15 @@ def test_selection_keeps_whole_rows(spark, docs):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == kept
 
 
+def test_every_trusted_document_counts(spark, tmp_path):
+    """With all documents trusted both multinomials are the same, however many documents there are."""
+    docs = spark.range(20_400).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 50).cast("string"), F.lit(" x")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (queries()["op1_quality_rules"](spark, str(tmp_path)), q.quality_rules(docs, docs)):
+        assert rows.count() == 20_400 and rows.where(F.abs("llr") > 1e-12).count() == 0
+
+
 @pytest.mark.parametrize("text, n", [("a b c a b c", 6), ("a a a a", 4), ("a b", 0), ("x a b c y a b c z", 6)])
 def test_repeated_windows(spark, text, n):
     assert q.base_measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["n_repeat_words"] == n
