@@ -1,8 +1,8 @@
 """Token shards compressed by a Re-Pair grammar, readable from any document on.
 
 A shard holds documents in ascending id order.  Frequent pairs of neighbouring symbols are
-replaced by nonterminals, again and again; each pass replaces many of the most frequent pairs at
-once, the more frequent one first where two overlap.  The mark that ends a document takes part
+replaced by nonterminals until none is frequent or no symbol is free; each pass replaces many of
+the most frequent pairs at once, the more frequent one first where two overlap.  The mark that ends a document takes part
 in no pair, so every document starts at a symbol and can be expanded alone with the shard's
 rules and expansion lengths.
 
@@ -45,59 +45,89 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint32(2654435761)) >> np.uint32(12)
 
 
-def replace_pairs(seq: np.ndarray, terminals: int, passes: int, per_pass: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shortened sequence and the rules, ``(n, 2)``; ``terminals - 1`` is never replaced."""
-    end, rules, known = terminals - 1, [], {}
-    for _ in range(passes):
-        if len(seq) < 2 or len(rules) >= SYMBOLS - terminals:
-            break
-        key = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
-        key[(seq[:-1] == end) | (seq[1:] == end)] = 0xFFFFFFFF
+def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, per_pass: int = 2500, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The shortened sequence and the rules, ``(n, 2)``; ``terminals - 1`` is never replaced.
+
+    Ends when no pair occurs ``least`` times (or all symbols are used) and no pair that has a rule
+    is left.  ``passes``: an earlier end, for callers that want one.
+    """
+    end, rules, bar = terminals - 1, [], None
+    known, symbols, ruled = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(1 << 20, bool)
+    while len(seq) > 1 and passes != 0:
+        key = seq[:-1].astype(np.uint32)
+        key <<= 16
+        key |= seq[1:]
+        ends = np.flatnonzero(seq == end)
+        key[ends[ends < len(key)]] = key[ends[ends > 0] - 1] = end * 65537
         slot = _slots(key).astype(np.intp)
         load = np.bincount(slot, minlength=1 << 20)
-        load[_slots(np.array([0xFFFFFFFF], np.uint32))] = 0
-        often = load[load >= least]
-        bar = int(np.partition(often, -per_pass)[-per_pass]) if len(often) > per_pass else least
-        at = np.flatnonzero((load >= bar)[slot])
-        # Of the pairs that share a slot one is looked at in this pass, and counted exactly.
-        own, pair = slot[at], key[at]
-        of = np.zeros(1 << 20, np.uint32)
-        of[own] = pair
-        same = of[own] == pair
-        at, own = at[same], own[same]
-        counts = np.bincount(own, minlength=1 << 20)
-        best = np.flatnonzero(counts >= least)
-        best = best[np.argsort(-counts[best], kind="stable")][: min(per_pass, SYMBOLS - terminals - len(rules))]
-        if not len(best):
+        load[_slots(np.array([end * 65537], np.uint32))] -= np.count_nonzero(key == end * 65537)
+        free = SYMBOLS - terminals - len(rules)
+        top = int(load.max())
+        bar = max(least, top // 2 if bar is None else min(bar, top // 2))
+        while True:
+            at = np.flatnonzero(((load >= bar) & bool(free) | ruled)[slot])
+            pairs, counts = np.unique(key[at], return_counts=True)
+            has_rule = _among(pairs, known)[0]
+            chosen = has_rule | ((counts >= bar) & (pairs != end * 65537) & bool(free))
+            if chosen.any() or bar == least or not free:
+                break
+            bar = max(least, bar // 2)
+        if not chosen.any():
             break
-        ranks = np.full(1 << 20, -1, np.int32)
-        ranks[best] = np.arange(len(best), dtype=np.int32)
-        best = of[best]
-        symbol = np.zeros(len(best), np.uint16)
-        for i, pair in enumerate(best.tolist()):
-            if pair not in known:
-                known[pair] = terminals + len(rules)
-                rules.append((pair >> 16, pair & 0xFFFF))
-            symbol[i] = known[pair]
-        r = ranks[own]
-        at, r = at[r >= 0], r[r >= 0]
+        # The most frequent first; equals in mixed order, so that overlapping ones don't queue up.
+        chosen = np.flatnonzero(chosen)
+        chosen = chosen[np.lexsort((_slots(pairs[chosen]), -counts[chosen]))]
+        chosen = chosen[has_rule[chosen] | (np.cumsum(~has_rule[chosen]) <= min(per_pass, 4 * free))]
+        fresh = ~has_rule[chosen]
+        best = pairs[chosen]
+        # Where the chosen pairs are, and their ranks.
+        hit = np.zeros(1 << 20, bool)
+        hit[_slots(best)] = True
+        at = at[hit[slot[at]]]
+        order = np.argsort(best)
+        found, place = _among(key[at], best[order])
+        at, r = at[found], order[place[found]]
         # Two marked neighbours overlap: the better rank wins, every other one in a run of equals.
-        joint = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(r) == 0)])
+        next_to, step = np.diff(at) == 1, np.diff(r)
+        joint = np.concatenate([[False], next_to & (step == 0)])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(joint, 0, np.arange(len(at))))
-        worse_than_left = np.concatenate([[False], (np.diff(at) == 1) & (np.diff(r) > 0)])
-        worse_than_right = np.concatenate([(np.diff(at) == 1) & (np.diff(r) < 0), [False]])
+        worse_than_left = np.concatenate([[False], next_to & (step > 0)])
+        worse_than_right = np.concatenate([next_to & (step < 0), [False]])
         take = (run % 2 == 0) & ~worse_than_left & ~worse_than_right
-        # What is taken never touches what is taken: drop the right one where two still do.
-        clash = np.concatenate([[False], take[1:] & take[:-1] & (np.diff(at) == 1)])
-        take &= ~clash
+        # A new rule must be used about as often as its pair was counted; others wait for the next pass.
+        used = np.bincount(r[take], minlength=len(best))
+        new = fresh & (used >= max(1, min(bar, used[fresh].max(initial=0)) // 2))
+        new &= np.cumsum(new) <= free
+        symbol = np.zeros(len(best), np.uint16)
+        symbol[new] = terminals + len(rules) + np.arange(np.count_nonzero(new))
+        if not fresh.all():
+            symbol[~fresh] = symbols[_among(best[~fresh], known)[1]]
+        rules += [(x >> 16, x & 0xFFFF) for x in best[new].tolist()]
+        ruled[_slots(best[new])] = True
+        known, symbols = np.concatenate([known, best[new]]), np.concatenate([symbols, symbol[new]])
+        order = np.argsort(known)
+        known, symbols = known[order], symbols[order]
+        take &= (new | ~fresh)[r]
         where = at[take]
         seq[where] = symbol[r[take]]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
+        if np.count_nonzero(new) < 256:
+            bar = max(least, bar // 2)
+        passes = None if passes is None else passes - 1
     return seq, np.array(rules, np.int64).reshape(-1, 2)
 
 
+def _among(pairs: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each pair is one of ``ordered`` (ascending), and where."""
+    if not len(ordered):
+        return np.zeros(len(pairs), bool), np.zeros(len(pairs), np.intp)
+    place = np.minimum(np.searchsorted(ordered, pairs), len(ordered) - 1)
+    return ordered[place] == pairs, place
+
+
 def expansions(rules: np.ndarray, rule_sizes: np.ndarray, terminals: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every symbol, where its ids start in a flat array and how many they are."""
     sizes = np.concatenate([np.ones(terminals, np.int64), rule_sizes.astype(np.int64)])
@@ -169,7 +199,7 @@ def write_token_shards(
     vocabulary: str,
     end_id: int = 2,
     shard_ids: int = 1 << 21,
-    passes: int = 6,
+    passes: int | None = None,
     per_pass: int = 2500,
     least: int = 8,
 ) -> None:

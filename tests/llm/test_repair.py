@@ -1,4 +1,6 @@
+import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,6 +33,40 @@ def test_runs_of_one_symbol_shrink():
     assert len(shard_of([[5] * 1024]).symbols) < 40
 
 
+@pytest.mark.parametrize("ids", [range(1, 641), np.random.default_rng(1).integers(1, 900, 640).tolist()])
+def test_each_of_many_copies_becomes_one_symbol(ids):
+    seq, rules = r.replace_pairs(np.array([*ids, 999] * 200, np.uint16), 1000)
+    assert len(seq) == 400 and len(set(seq[::2].tolist())) == 1 and (seq[1::2] == 999).all()
+
+
+def pair_counts(seq):
+    return Counter((a, b) for a, b in itertools.pairwise(seq.tolist()) if 999 not in (a, b))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_frequent_pair_is_left(seed):
+    ids = np.random.default_rng(seed).zipf(1.3, 60_000) % 998
+    seq, rules = r.replace_pairs(np.append(ids, 999).astype(np.uint16), 1000)
+    left = pair_counts(seq)
+    assert max(left.values()) < 8 and not set(left) & set(map(tuple, rules.tolist()))
+
+
+def test_symbols_are_used_up_before_a_frequent_pair_is_left():
+    terminals = r.SYMBOLS - 50
+    ids = np.random.default_rng(3).integers(0, 30, 20_000)
+    seq, rules = r.replace_pairs(np.append(ids, terminals - 1).astype(np.uint16), terminals)
+    assert len(rules) == len(set(map(tuple, rules.tolist()))) == 50
+    assert not {*zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)} & set(map(tuple, rules.tolist()))
+
+
+def test_pairs_that_share_a_slot_are_both_counted():
+    pair = lambda a, b: np.array([a << 16 | b], np.uint32)
+    taken = {int(r._slots(pair(a, b))[0]): (a, b) for a in range(1, 500) for b in range(500, 998)}
+    often, rare = next(((a, b), taken[s]) for a in range(500, 998) for b in range(1, 500) if (s := int(r._slots(pair(a, b))[0])) in taken)
+    seq, rules = r.replace_pairs(np.array([*often, 999] * 20 + [*rare, 999], np.uint16), 1000)
+    assert rules.tolist() == [list(often)] and len(seq) == 43
+
+
 def test_not_a_shard():
     with pytest.raises(ValueError):
         r.Shard(b"XXXX" + bytes(30), 2)
