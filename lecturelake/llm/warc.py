@@ -9,7 +9,8 @@ The as-of join is a running maximum in two levels, so that one URL with very man
 spread over time: inside (URL, time slice) over rows, and over the slices of a URL for what came
 before them.  Only record ids and headers move, never bodies.
 
-Defined results: a null or blank URL resolves to nothing; records of equal date don't count as
+Defined results: a null or blank URL resolves to nothing, and so does a revisit without a date; a
+response without a date is earlier than nothing; records of equal date don't count as
 earlier, and of several responses at the latest date the one with the largest id counts; repeated
 records are kept; an empty table gives an empty result; further columns are ignored.
 """
@@ -125,13 +126,14 @@ def resolve(records: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
     rows = rows.select("*", F.floor((F.col("date_ms") - (stats[1] or 0)) / width).alias("_slice"), full.alias("_full"))
     inside = W.partitionBy("canonical_url", "_slice").orderBy("date_ms").rangeBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("canonical_url").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    placed = "canonical_url is not null and date_ms is not null"
     carried = (
-        rows.where("canonical_url is not null").groupBy("canonical_url", "_slice").agg(F.max("_full").alias("_last"))
+        rows.where(placed).groupBy("canonical_url", "_slice").agg(F.max("_full").alias("_last"))
         .select("canonical_url", "_slice", F.max("_last").over(earlier).alias("_carried"))
     )
-    known = rows.where("canonical_url is not null").withColumn("_near", F.max("_full").over(inside)).where("kind = 'revisit'")
+    known = rows.where(placed).withColumn("_near", F.max("_full").over(inside)).where("kind = 'revisit'")
     found = known.join(carried, ["canonical_url", "_slice"]).withColumn("_r", F.coalesce("_near", "_carried"))
-    lost = rows.where("canonical_url is null and kind = 'revisit'").withColumn("_r", F.col("_full"))
+    lost = rows.where(f"not ({placed}) and kind = 'revisit'").withColumn("_r", F.col("_full"))
     both = found.select("record_id", "canonical_url", "http", "_r").unionByName(lost.select("record_id", "canonical_url", "http", "_r"))
     theirs = F.map_from_entries("_r.http")
     tag = lambda m: F.regexp_replace(m["etag"], "^W/", "")

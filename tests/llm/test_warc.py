@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,27 @@ def test_edges(spark, rows):
     assert rows(w.resolve(df.withColumn("status", F.lit("x")).withColumn("_r", F.lit(1)))) == rows(w.resolve(df))
     pages = spark.createDataFrame([(1, None, None), (None, "http://a/", "x")], "page_id long, url string, html string")
     assert w.resolve(w.parse(w.serialize(w.archive_of(pages)))).count() >= 0
+
+
+def test_records_without_a_date(spark):
+    out = resolved(spark, [
+        (1, "response", "http://a/", None, {"etag": "x"}),
+        (2, "revisit", "http://a/", 5, {"etag": "x"}),
+        (3, "revisit", "http://a/", None, {"etag": "x"}),
+        (4, "response", "http://a/", 7, {"etag": "x"}),
+        (5, "revisit", "http://a/", None, {"etag": "x"}),
+        (6, "revisit", None, None, {"etag": "x"}),
+        (7, "revisit", "http://a/", 9, {"etag": "x"}),
+        (8, "revisit", "http://none.dated/", None, {}),
+    ], rows_per_slice=1)
+    assert {k: v[:2] for k, v in out.items()} == {k: ("no-response", None) for k in (2, 3, 5, 6, 8)} | {7: ("resolved", 4)}
+
+
+def test_pages_without_an_id(spark, tmp_path, agree):
+    pages = spark.createDataFrame([(1, None, None), (None, "http://a/", "x"), (2, "http://a/", "y"), (None, None, None)], "page_id long, url string, html string")
+    out = w.resolve(w.parse(w.serialize(w.archive_of(pages))))
+    assert sorted((r["record_id"] or 0, r["canonical_url"] or "") for r in out.collect()) == [(0, ""), (0, ""), (0, "a"), (0, "a"), (9, ""), (10, ""), (17, "a"), (18, "a")]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    agree(queries()["op2_revisits"](spark, str(tmp_path)), con.sql(ORACLES["op2_revisits"]))
