@@ -17,6 +17,9 @@ records are kept; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,6 +112,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return parse(raw.select(F.concat(F.lit("WARC/1.1" + CRLF), F.regexp_replace("value", "^WARC/1.1\r\n", "")).alias("warc")))
 
 
+def sliced(rows: DataFrame, rows_per_slice: int, intervals: int = 1000) -> DataFrame:
+    """``rows`` with ``_slice``, which never falls as ``date_ms`` grows.
+
+    Borders are approximate quantiles, so that a few odd dates don't draw all others into one slice;
+    where more slices are needed than ``intervals``, each interval is divided evenly.
+    """
+    n, low, high = rows.agg(F.count("date_ms"), F.min("date_ms"), F.max("date_ms")).first()
+    wanted = max(1, n // rows_per_slice)
+    k = min(wanted, intervals)
+    cuts = rows.approxQuantile("date_ms", [i / k for i in range(1, k)], 1 / (4 * intervals)) if k > 1 else []
+    cuts = sorted({int(x) for x in cuts} - {low})
+    if not cuts:
+        return rows.withColumn("_slice", F.lit(0).cast("long"))
+    widths = [max(1, -(-(b - a) * k // wanted)) for a, b in zip([low, *cuts], [*cuts, high + 1], strict=True)]
+    at = Bucketizer(splits=[-math.inf, *map(float, cuts), math.inf], inputCol="date_ms", outputCol="_at", handleInvalid="keep")
+    i = F.col("_at").cast("int")
+    inside = F.floor((F.col("date_ms") - F.get(F.lit([low, *cuts]), i)) / F.get(F.lit(widths), i))
+    return at.transform(rows).withColumn("_slice", F.when(F.col("date_ms").isNotNull(), i.cast("long") * (-(-wanted // k) + 1) + inside)).drop("_at")
+
+
 def resolve(records: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
     """One row per revisit: ``record_id, canonical_url, status, response_id, headers``.
 
@@ -119,11 +142,9 @@ def resolve(records: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
     rows = records.select("record_id", "kind", "date_ms", "http", canonical_url(F.col("url")).alias("canonical_url"))
     # Written once without bodies: parsing is not repeated by the steps below.
     rows = materialize(rows).where(F.col("kind").isin("response", "revisit"))
-    stats = rows.agg(F.count(F.lit(1)), F.min("date_ms"), F.max("date_ms")).first()
-    width = max(1, -(-((stats[2] or 0) - (stats[1] or 0) + 1) // max(1, stats[0] // rows_per_slice)))
     entries = F.array_sort(F.map_entries("http"))
     full = F.when(F.col("kind") == "response", F.struct("date_ms", "record_id", entries.alias("http")))
-    rows = rows.select("*", F.floor((F.col("date_ms") - (stats[1] or 0)) / width).alias("_slice"), full.alias("_full"))
+    rows = sliced(rows, rows_per_slice).withColumn("_full", full)
     inside = W.partitionBy("canonical_url", "_slice").orderBy("date_ms").rangeBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("canonical_url").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     placed = "canonical_url is not null and date_ms is not null"

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -110,3 +111,12 @@ def test_pages_without_an_id(spark, tmp_path, agree):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     agree(queries()["op2_revisits"](spark, str(tmp_path)), con.sql(ORACLES["op2_revisits"]))
+
+
+@pytest.mark.parametrize("intervals", [4, 1000])
+def test_odd_dates_leave_slices_even(spark, intervals):
+    dates = [(1_700_000_000_000 + i * 1000,) for i in range(2000)] + [(0,), (None,), (7_000_000_000_000,)]
+    found = w.sliced(spark.createDataFrame(dates, "date_ms long"), 50, intervals).collect()
+    dated = sorted((r["date_ms"], r["_slice"]) for r in found if r["date_ms"] is not None)
+    assert len(found) == 2003 and [x[1] for x in dated] == sorted(x[1] for x in dated)
+    assert max(Counter(x[1] for x in dated).values()) <= max(150, 2000 // intervals + 50)
