@@ -1,26 +1,31 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
 Each document draws an exponential key ``-ln(u) / quality weight`` (Efraimidis and Spirakis),
-with ``u`` a hash of its id.  Inside its source, documents are taken in key order until the
+with ``u`` a hash of its id and text.  Inside its source, documents are taken in key order until the
 source's word budget is spent: complete epochs over the whole source come first, and only the
 remaining fraction is selected by key.  The document on the border gives its first words.
 
-The running sum is built in two levels, so that a source holding most of the corpus is spread
-over many tasks: sums per (source, key interval), a prefix over intervals, then a running sum
-inside each interval.
+The running sum is built in three levels, so that a source holding most of the corpus is spread
+over many tasks: sums per (source, key interval), a prefix over the intervals of a block of about
+as many intervals as there are blocks, a prefix over blocks, then a running sum inside each
+interval.
 
 Defined results: a null text has size 0 and gives nothing; a null source is a source of its own,
-last in order; equal keys are ordered by id, and repeated rows are taken one after the other;
-an empty table gives an empty result; further columns are ignored.
+last in order; rows without an id are told apart by their texts; equal keys are ordered by id (null
+first), size and a hash of all plain columns, so reruns on any order of rows agree: rows that are
+still equal are interchangeable and taken one after the other (they share one interval); an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from .common import materialize, words
 
@@ -28,9 +33,10 @@ from .common import materialize, words
 MARKS = "#*$%&|<>"
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of a hash of the id."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13)
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of the id and the text."""
+    named = F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))), F.lit(seed))
+    digits = F.substring(F.md5(named), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -76,7 +82,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    rows_per_interval: int = 512,
+    rows_per_interval: int = 128,
     carry: Column | None = None,
 ) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document, its ``source`` and ``key``.
@@ -84,9 +90,12 @@ def mix(
     ``carry`` is one more column that comes along as ``carried``.
     """
     size = F.size(words(F.col("text"))).cast("long")
-    sized = docs.select("doc_id", "source", "text", size.alias("size"), (F.lit(None) if carry is None else carry).alias("carried")).select(
-        "doc_id", "source", "size", *["carried"] * (carry is not None),
-        (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key"),
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    sized = docs.select(
+        "doc_id", "source", "text", size.alias("size"), F.xxhash64(*plain).alias("_tie"), (F.lit(None) if carry is None else carry).alias("carried")
+    ).select(
+        "doc_id", "source", "size", "_tie", *["carried"] * (carry is not None),
+        (-F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality_weight(F.col("text"), F.col("size"))).alias("key"),
     )
     sized = materialize(sized)
     intervals = max(1, -(-sized.count() // rows_per_interval))
@@ -97,13 +106,17 @@ def mix(
     per = source_targets(sized, weights, share, cap).select(
         F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "source_size", "target"
     )
-    ahead = W.partitionBy("_s", "_n").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda keys, by: F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    block = F.floor(F.col("_p") / math.isqrt(intervals)).cast("long")
+    sums = sized.groupBy("_s", "_n", "_p").agg(F.sum("size").alias("_sum")).withColumn("_b", block)
+    blocks = sums.groupBy("_s", "_n", "_b").agg(F.sum("_sum").alias("_sum")).select("_s", "_n", "_b", before(["_s", "_n"], "_b").alias("_blocks"))
     offsets = (
-        sized.groupBy("_s", "_n", "_p").agg(F.sum("size").alias("_sum"))
-        .select("_s", "_n", "_p", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_offset"))
+        sums.select("_s", "_n", "_b", "_p", before(["_s", "_n", "_b"], "_p").alias("_inside"))
+        .join(blocks, ["_s", "_n", "_b"])
+        .select("_s", "_n", "_p", (F.col("_blocks") + F.col("_inside")).alias("_offset"))
         .join(per, ["_s", "_n"])
     )
-    inside = W.partitionBy("_s", "_n", "_p").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_s", "_n", "_p").orderBy("key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, -1)
     run = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = F.round("target").cast("long") - F.col("_epochs") * F.col("source_size")

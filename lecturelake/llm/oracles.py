@@ -7,7 +7,7 @@ SIZES = r"""SELECT doc_id, source, text,
 OP6 = rf"""
 WITH d0 AS ({SIZES}),
 d AS (SELECT doc_id, source, size,
-    -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE)
+    -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE)
         / 4503599627370496.0::DOUBLE)
     / (CAST(size + 1 AS DOUBLE) / CAST(size + 1 + length(coalesce(text, ''))
         - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS DOUBLE)) AS key
@@ -24,7 +24,7 @@ s4 AS (SELECT source, source_size, CASE WHEN full_ THEN lim ELSE
     (total - coalesce(sum(CASE WHEN full_ THEN lim END) OVER (), 0.0)) * w / sum(CASE WHEN NOT full_ THEN w END) OVER ()
     END AS target FROM s3),
 e AS (SELECT d.doc_id, d.size, s4.source_size, s4.target, d.source,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run,
     CASE WHEN s4.source_size > 0 THEN CAST(floor(s4.target / s4.source_size) AS BIGINT) ELSE 0 END AS ep
   FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)

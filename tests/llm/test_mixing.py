@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +73,23 @@ def test_edges(edge, clashing, empty, rows):
     assert m.mix(empty).count() == 0 and m.take(empty).count() == 0
 
 
+def test_rows_of_one_id_do_not_depend_on_their_order(spark):
+    """Repeated and missing ids with texts of other sizes: any order of rows gives the same mix."""
+    given = [(i, "w " * (1 + (7 * k + (i or 0)) % 13), "s") for i in (1, 2, None) for k in range(40)] + [(1, "w " * 5, "s")] * 3
+    frames = [spark.createDataFrame(x, "doc_id long, text string, source string").repartition(n) for x, n in ((given, 1), (given[::-1], 3), (given[60:] + given[:60], 5))]
+    want = [Counter(m.mix(f, share=0.7).select("doc_id", "size", "taken", "key").collect()) for f in frames]
+    assert want[0] == want[1] == want[2] and sum(want[0].values()) == len(given)
+    nameless = [r for r in want[0] if r["doc_id"] is None]
+    assert len({r["key"] for r in nameless}) == len(nameless) == 13
+    texts = [Counter(r["text"] for r in m.take(f, share=0.7).collect()) for f in frames]
+    assert texts[0] == texts[1] == texts[2]
+
+
+def test_levels_of_the_running_sum_do_not_matter(docs):
+    pick = lambda n: sorted((r["doc_id"], r["taken"]) for r in m.mix(docs, rows_per_interval=n).collect())
+    assert pick(1) == pick(3) == pick(10**6)
+
+
 def test_take_repeats_and_cuts(docs):
     out = m.take(docs)
     assert out.columns == docs.columns
