@@ -11,7 +11,8 @@ The fit uses a bounded sample of rated rows (its bound is a parameter), in one t
 over every row, with the weights sent along (``dims`` numbers, whatever the corpus holds).
 
 Defined results: a null or empty text has the class features only; repeated rows are scored
-each on their own, and a repeated rating counts once; rows with a null rating or id don't train;
+each on their own, and a repeated rating counts once; of the rows of one id the one whose text has
+the smallest hash trains; rows with a null rating or id don't train;
 without ratings nothing is rejected (tail probability 1); further columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .tokens import Places, chunks, slices
+from .tokens import Places, slices
 
 #: Words whose features a worker keeps before it starts afresh.
 WORDS_KEPT = 500_000
@@ -147,22 +148,19 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dims: int, l2: float = 3.0, steps: int = 150, least: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fit on at most ``rated_rows`` rows of ``ratings`` (``doc_id, grade``), by smallest hash."""
+    """Fit on at most ``rated_rows`` rows of ``ratings`` (``doc_id, grade``), by smallest hash; each
+    rating trains with one document, so this also bounds what the fitting task reads."""
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rated_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).join(F.broadcast(rated), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = features(dims)
         for b in batches:
-            grades = dict(enumerate(b.column("grade").to_pylist()))
-            at = 0
-            for ids, texts in chunks(iter([b])):
-                index, sizes = make(texts)
+            for part in slices(iter([b])):
+                index, sizes = make(part.column("text").to_pylist())
                 data = [x.astype(np.int32).tobytes() for x in np.split(index, np.cumsum(sizes)[:-1])]
-                own = [grades[at + i] for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["doc_id", "grade", "data"])
-                at += len(ids)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "hash", "grade")), pa.array(data, pa.binary())], ["doc_id", "hash", "grade", "data"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, data = [], []
@@ -174,7 +172,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dim
             weights, cuts = fit(np.concatenate(data), sizes, np.array(grades), dims, levels, l2, steps, least)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([cuts.tolist()], pa.list_(pa.float64()))], ["weights", "cuts"])
 
-    rows = sample.mapInArrow(hashed, "doc_id long, grade int, data binary").repartition(1).sortWithinPartitions("doc_id", "grade")
+    rows = sample.mapInArrow(hashed, "doc_id long, hash long, grade int, data binary")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "grade", "data")).alias("r")).select("doc_id", "r.grade", "r.data")
+    rows = one.repartition(1).sortWithinPartitions("doc_id")
     found = rows.mapInArrow(fitted, "weights binary, cuts array<double>").collect()
     return (np.frombuffer(found[0]["weights"], np.float32), np.array(found[0]["cuts"])) if found else None
 

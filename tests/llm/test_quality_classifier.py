@@ -1,5 +1,9 @@
+import math
+import re
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lecturelake.llm import quality_classifier as c
@@ -61,6 +65,54 @@ def test_probabilities(spark, docs, sf_dir):
     assert out.join(again.withColumnRenamed("tail_probability", "t"), "doc_id").where("abs(t - tail_probability) > 1e-9").count() == 0
 
 
+SPACE = re.compile(rb"[\x20\x09-\x0d]+")
+
+
+def plain_features(text, dims):
+    """Feature numbers of a text, from the definition."""
+    number = lambda kind, value: xxhash.xxh64_intdigest(kind + value) % dims
+    words = [w for w in SPACE.split(re.sub(rb"[A-Z]+", lambda x: x[0].lower(), (text or "").encode())) if w]
+    out, cores, marked = set(), set(), 0
+    for w in words:
+        n = len(w)
+        while n and w[n - 1] in c.MARKS:
+            n -= 1
+        start = 0
+        while start < n and w[start] in c.MARKS:
+            start += 1
+        cores.add(number(b"word ", w[start:n]))
+        out |= {number(b"word ", w[start:n]), number(b"end ", w[n:])}
+        marked += any(x not in b".,;:" for x in w[n:])
+    k, size = max(len(words), 1), math.ceil(math.log2(len(words) + 1))
+    out.add(number(b"distinct ", b"%d of %d" % (10 * len(cores) // k, min(size, 8))))
+    return out | {number(b"size ", b"%d" % size), number(b"marked ", b"%d" % (10 * marked // k))}
+
+
+def test_against_brute_force(spark, docs, sf_dir, texts):
+    """Features by the definition, the fit on them, and the model's formulas, for a whole table."""
+    dims = 1 << 18
+    rated = {r["doc_id"]: r["grade"] for r in ratings(spark, sf_dir).collect() if r["grade"] is not None}
+    own = {d: sorted(plain_features(t, dims)) for d, t in texts.items()}
+    train = sorted(d for d in rated if d in own)
+    w, cuts = c.fit(np.concatenate([own[d] for d in train]), np.array([len(own[d]) for d in train]), np.array([rated[d] for d in train]), dims, 3, 3.0, 150, 3)
+    out = c.classify(docs, ratings(spark, sf_dir)).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        s = math.fsum(float(w[i]) for i in own[r["doc_id"]])
+        above = [1 / (1 + math.exp(x - s)) for x in cuts]
+        assert (r["expected_grade"], r["tail_probability"]) == pytest.approx((sum(above), above[-1]), abs=1e-6)
+        assert r["kept"] == (above[-1] >= 0.6) or abs(above[-1] - 0.6) < 1e-6
+
+
+def test_copies_of_a_row_train_once(spark):
+    """Thousands of rows of two rated ids give the model of two rows."""
+    rated = spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int")
+    one = spark.createDataFrame([(1, "good words here"), (2, "bad stuff there")], "doc_id long, text string")
+    many = one.union(spark.range(3000).select(F.lit(1).cast("long"), F.lit("good words here")))
+    (w, cuts), (v, same) = c.train(one, rated, 3, 10, 1 << 10, least=1), c.train(many.repartition(4), rated, 3, 10, 1 << 10, least=1)
+    assert (w == v).all() and (cuts == same).all()
+
+
 def test_edges(spark, edge, clashing, empty, rows):
     rated = spark.createDataFrame([(1, 2), (1, 2), (5, 0), (None, 1), (3, None), (7, 1)], "doc_id long, grade int")
     out = c.classify(edge, rated)
