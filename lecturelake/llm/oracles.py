@@ -39,11 +39,13 @@ WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT
 n AS (SELECT dep, h >> (60 - dep) AS p, sum(bytes) AS b, count(*) AS n FROM d, range(0, 41) t(dep) GROUP BY ALL),
 f AS (SELECT d.doc_id, d.h, min(dep) AS depth FROM d JOIN n ON d.h >> (60 - n.dep) = n.p
   WHERE n.b <= 1048576 OR n.n = 1 GROUP BY ALL)
-SELECT d.doc_id, d.bytes, f.depth,
+, r AS (SELECT d.doc_id, d.bytes, f.depth,
   CASE WHEN f.depth = 0 THEN '-' ELSE lpad(bin(n.p), CAST(f.depth AS INTEGER), '0') END AS shard,
-  CAST(n.b AS BIGINT) AS shard_bytes, n.n AS shard_docs
+  CAST(n.b AS BIGINT) AS shard_bytes, n.n AS shard_docs, CAST(max(f.depth) OVER () AS BIGINT) AS global_depth
 FROM d JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.h = f.h
-JOIN n ON n.dep = f.depth AND n.p = d.h >> (60 - f.depth)
+JOIN n ON n.dep = f.depth AND n.p = d.h >> (60 - f.depth))
+SELECT *, CASE WHEN global_depth = 0 THEN '' ELSE rpad(replace(shard, '-', ''), CAST(global_depth AS INTEGER), '0') END AS first_slot,
+  CAST(1 AS BIGINT) << (global_depth - depth) AS slots FROM r
 """
 
 OP2 = r"""

@@ -70,9 +70,10 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import assign
+    from .common import materialize
+    from .sharding import assign, with_slots
 
-    return assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return with_slots(materialize(assign(table(spark, sf_dir, "documents"), SHARD_BYTES)))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ their place in the table, once the id's bits are used up.
 
 Defined results: a null text has 0 bytes, a null id is hashed as empty; repeated rows count each;
 one row over the limit is a shard of its own; an empty table gives an empty result; ``columns``
-names what is carried along, whatever else the table holds.
+names what is carried along, whatever else the table holds, and a carried column named like one of
+the result's gets underscores in front until its name is free.
 """
 
 from __future__ import annotations
@@ -31,6 +32,22 @@ def _hash(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, BITS // 4), 16, 10).cast("long")
 
 
+#: What ``assign`` and ``with_slots`` add.
+ADDED = ("bytes", "depth", "shard", "shard_bytes", "shard_docs", "global_depth", "first_slot", "slots")
+
+
+def carried_names(columns: Sequence[str]) -> dict[str, str]:
+    """The names under which ``columns`` are carried along."""
+    out, taken = {}, {c.lower() for c in (*ADDED, *columns)}
+    for c in columns:
+        name = c
+        while name != c and name.lower() in taken or name.lower() in ADDED:
+            name = "_" + name
+        out[c] = name
+        taken.add(name.lower())
+    return out
+
+
 def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), spread: int = 6, more: int = 10) -> DataFrame:
     """``columns`` and ``bytes, depth, shard, shard_bytes, shard_docs`` for every row.
 
@@ -40,7 +57,8 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     place = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
-    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)]
+    names = list(carried_names(columns).values())
+    kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]
     rows = materialize(docs.select(*kept, size.alias("_bytes"), _hash(name).alias("_h0"), _hash(place).alias("_h1"), F.lit("").alias("_base")))
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + spread)
@@ -72,7 +90,7 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
         found = open_rows.join(leaves, ["_base", "_cell"], "left")
         code = F.concat("_base", F.when(F.col("_leaf._d") > 0, F.expr("lpad(bin(_leaf._p), _leaf._d, '0')")).otherwise(""))
         settled = found.where(F.col("_leaf").isNotNull()).select(
-            *[F.col(f"_k{i}").alias(c) for i, c in enumerate(columns)],
+            *[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)],
             F.col("_bytes").alias("bytes"),
             (F.lit(used) + F.col("_leaf._d")).cast("long").alias("depth"),
             F.when(code == "", "-").otherwise(code).alias("shard"),
@@ -88,7 +106,27 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
         used, bits = used + bits, more
 
 
+def with_slots(placed: DataFrame) -> DataFrame:
+    """``placed`` (from ``assign``) with its place in the directory: ``global_depth`` (bits that index
+    it), and the bucket's ``first_slot`` (as bits) and number of ``slots`` (null past a long)."""
+    depth = placed.agg(F.max("depth")).first()[0] or 0
+    spare = F.lit(depth) - F.col("depth")
+    bits = F.when(F.col("shard") == "-", "").otherwise(F.col("shard"))
+    return placed.select(
+        "*",
+        F.lit(depth).cast("long").alias("global_depth"),
+        F.rpad(bits, F.lit(depth), F.lit("0")).alias("first_slot"),
+        F.when(spare < 63, F.expr(f"shiftleft(1L, cast(least(62, {depth} - depth) as int))")).alias("slots"),
+    )
+
+
+def directory(placed: DataFrame) -> DataFrame:
+    """The directory, one row per bucket: runs of slots that share a bucket, in slot order when sorted
+    by ``first_slot``.  Together the buckets hold every slot at most once."""
+    return with_slots(placed.select("shard", "depth", "shard_bytes", "shard_docs").distinct())
+
+
 def write_shards(docs: DataFrame, path: str, limit: int) -> None:
-    """Write the documents as one folder per shard."""
+    """Write the documents as one folder per shard, with all their columns (see ``carried_names``)."""
     placed = assign(docs, limit, docs.columns)
-    placed.select(*docs.columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    placed.select(*carried_names(docs.columns).values(), "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -58,3 +58,30 @@ def test_written_shards(spark, docs, tmp_path):
     s.write_shards(docs, str(tmp_path / "out"), 100_000)
     back = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and set(docs.columns) < set(back.columns)
+
+
+def test_directory(docs):
+    """Every bucket's slots are the ones its documents' hashes begin with, and no slot is two buckets'."""
+    placed = s.assign(docs, 20_000)
+    rows = s.directory(placed).orderBy("first_slot").collect()
+    deep = max(r["depth"] for r in rows)
+    assert {r["global_depth"] for r in rows} == {deep} and deep > 3
+    runs = {r["shard"]: range(int(r["first_slot"], 2), int(r["first_slot"], 2) + r["slots"]) for r in rows}
+    assert len(runs) == len(rows) and all(len(x) == 2 ** (deep - r["depth"]) for x, r in zip(runs.values(), rows, strict=True))
+    order = list(runs.values())
+    assert all(a.stop <= b.start for a, b in zip(order, order[1:], strict=False)) and order[-1].stop <= 2**deep
+    for r in placed.collect():
+        assert int(bits(r["doc_id"])[:deep], 2) in runs[r["shard"]]
+
+
+def test_directory_of_one_bucket(edge, empty):
+    (row,) = s.directory(s.assign(edge, 1 << 30)).collect()
+    assert (row["shard"], row["global_depth"], row["first_slot"], row["slots"]) == ("-", 0, "", 1)
+    assert s.directory(s.assign(empty, 100)).count() == 0
+
+
+def test_carried_columns_keep_clear_of_the_results(clashing, spark, tmp_path):
+    assert s.carried_names(["doc_id", "shard", "_shard", "Bytes"]) == {"doc_id": "doc_id", "shard": "__shard", "_shard": "_shard", "Bytes": "_Bytes"}
+    s.write_shards(clashing, str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == clashing.count() and back.where("_shard = 'x' and _bytes = 'x'").count() == back.count()
