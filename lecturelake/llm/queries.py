@@ -32,8 +32,9 @@ def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_films(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .avi import decode, encode, feature
+    from .common import materialize
 
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = decode(materialize(encode(table(spark, sf_dir, "documents"))))
     return found.withColumn("feature", feature(found["clips"])).drop("clips")
 
 
