@@ -1,21 +1,24 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped for scoring.
 
-The model is a folder of flat little-endian arrays in the shared folder, all in hash order:
+The model is a folder of flat little-endian arrays in the shared folder, all in hash order, 256
+shards to a subfolder:
 
-* ``vocab.base`` and ``pairs.base``: where each shard's places begin.
 * ``vocab-<shard>.u64``: sorted XXH64 hashes of the training words, split by their top bits; a
   word's id is its place over all shards.
-* ``counts-<shard>.u32`` and ``stats-<shard>.f32``: per word, in that order, its count, and four
-  numbers (unused, backoff weight, words seen before it, tokens seen after it).
-* ``pairs-<shard>.u64`` and ``counted-<shard>.u32``: sorted mixed id pairs, split by their top
-  bits, and their counts.
+* ``base-<group>.i64``: where the places of a group's shards begin, within the group; there are at
+  most 4,096 groups, whose own beginnings are part of what ``train`` returns.
+* ``counts-<shard>.u32`` (or ``.u64``, where a count needs it) and ``stats-<shard>.f64``: per word,
+  in that order, its count, and its backoff weight, words seen before it, tokens seen after it.
+* ``pairs-<shard>.u64`` and ``counted-<shard>.u32`` (or ``.u64``): sorted mixed id pairs, split by
+  their top bits, and their counts.
 
 Counting never holds a corpus statistic in one place.  Tasks count words and id pairs in bounded
 buffers, sort and pack them per shard, and Spark shuffles those packed runs by shard; the id pair
 is mixed before it is sharded, so no frequent word gathers its pairs in one task.  A shard's file is
 written under a temporary name and renamed, so that a lost executor's task can simply run again.
 
-Workers map the files they need; memory holds the pages in use and a bounded word cache.
+Workers map the files they need; memory holds the pages in use and a bounded word cache.  An id pair
+fills 64 bits, so there can be 4,294,967,294 distinct words; more of them are an error.
 
 Defined results: a null or empty text is its end token alone; a null id is hashed as the empty
 text and so is held out; repeated rows train and score each; without training rows every score
@@ -45,8 +48,8 @@ from .tokens import chunks
 START, END = b"\n<s>", b"\n</s>"
 #: Entries that a task counts, and words that a worker keeps, before it starts afresh.
 BUFFER, WORDS_KEPT = 3_000_000, 500_000
-#: Files that a worker maps at once.
-MAPS_KEPT = 4096
+#: Files that a worker maps at once, shards of a subfolder, and bits of the number of groups of shards.
+MAPS_KEPT, FOLDER_SHARDS, GROUP_BITS = 4096, 256, 12
 
 PACKED = "shard int, data binary"
 
@@ -103,7 +106,7 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _bytes(a: np.ndarray) -> bytes:
     """Bytes grouped by significance, which packs better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def _array(raw: bytes, kind: str, n: int) -> np.ndarray:
@@ -111,18 +114,21 @@ def _array(raw: bytes, kind: str, n: int) -> np.ndarray:
 
 
 def pack_run(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted keys and u32 columns of one run."""
-    parts = [len(keys).to_bytes(8, "little"), _bytes(np.diff(keys, prepend=keys[:1] * 0))]
-    return zstandard.compress(b"".join([*parts, *(_bytes(c.astype(np.uint32)) for c in columns)]), 1)
+    """Sorted keys and columns of one run; a column has four bytes a number, or eight if one needs them."""
+    wide = [bool(len(c)) and int(c.max()) >= 1 << 32 for c in columns]
+    parts = [len(keys).to_bytes(8, "little"), bytes(wide), _bytes(np.diff(keys, prepend=keys[:1] * 0))]
+    return zstandard.compress(b"".join([*parts, *(_bytes(c.astype("<u8" if w else "<u4")) for c, w in zip(columns, wide, strict=True))]), 1)
 
 
 def open_run(data: bytes, columns: int) -> tuple[np.ndarray, ...]:
     raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    if not n:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * columns)
-    out = [np.cumsum(_array(raw[8 : 8 + 8 * n], "<u8", n), dtype=np.uint64)]
-    return (*out, *(_array(raw[8 + 8 * n + 4 * n * i : 8 + 8 * n + 4 * n * (i + 1)], "<u4", n) for i in range(columns)))
+    n, wide = int.from_bytes(raw[:8], "little"), raw[8 : 8 + columns]
+    at, out = 8 + columns, []
+    for kind in ["<u8", *("<u8" if w else "<u4" for w in wide)]:
+        size = n * int(kind[2])
+        out.append(_array(raw[at : at + size], kind, n) if n else np.zeros(0, kind))
+        at += size
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
 
 
 def combine(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -197,74 +203,108 @@ def local(folder: str) -> str:
 
 
 def save(folder: str, name: str, data: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
     data.tofile(part)
-    os.replace(part, os.path.join(folder, name))
+    os.replace(part, path)
 
 
-def load(folder: str, name: str, kind: str) -> np.ndarray:
-    path = os.path.join(folder, name)
-    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    wide = len(counts) and int(counts.max()) >= 1 << 32
+    save(folder, name + (".u64" if wide else ".u32"), counts.astype("<u8" if wide else "<u4"))
+
+
+def load(folder: str, name: str, *kinds: str) -> np.ndarray:
+    """The mapped array of a file with the ending of one of ``kinds`` (``u32`` and so on); empty if none."""
+    for kind in kinds:
+        path = os.path.join(folder, f"{name}.{kind}")
+        if os.path.exists(path) and os.path.getsize(path):
+            return np.memmap(path, f"<{kind[0]}{int(kind[1:]) // 8}", "r")
+    return np.zeros(0, f"<{kinds[0][0]}8")
+
+
+def file(name: str, shard: int) -> str:
+    return f"{shard // FOLDER_SHARDS}/{name}-{shard}"
 
 
 class Maps(dict):
     """Open arrays by name, not too many at once."""
 
-    def __init__(self, folder: str, kind: str, width: int = 1):
-        self.folder, self.kind, self.width = folder, kind, width
+    def __init__(self, folder: str, *kinds: str):
+        self.folder, self.kinds = folder, kinds
 
     def __missing__(self, name: str) -> np.ndarray:
         if len(self) >= MAPS_KEPT:
             self.clear()
-        data = load(self.folder, name, self.kind)
-        out = self[name] = data.reshape(-1, self.width) if self.width > 1 else data
+        out = self[name] = load(self.folder, name, *self.kinds)
         return out
 
 
 class Sharded:
-    """Sorted keys in files by shard: ``find`` gives places over all shards, -1 where absent."""
+    """Sorted keys in files by shard, and arrays in the same order."""
 
-    def __init__(self, folder: str, name: str, bits: int):
-        self.name, self.bits = name, bits
-        self.base = load(folder, f"{name}.base", "<i8")
-        self.keys, self.u32, self.f32 = Maps(folder, "<u8"), Maps(folder, "<u4"), Maps(folder, "<f4", 4)
+    def __init__(self, model: dict, name: str):
+        folder, self.name, self.bits = model["folder"], name, model["bits"]
+        self.keys, self.numbers, self.stats_of = Maps(folder, "u64"), Maps(folder, "u32", "u64"), Maps(folder, "f64")
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """``keys`` must be sorted."""
-        out = np.full(len(keys), -1, np.int64)
+    def near(self, keys: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """For sorted keys: shard, which keys are its, their places in it, and whether they are there."""
         for s, at in parts(shard_of(keys, self.bits)):
-            there = self.keys[f"{self.name}-{s}.u64"]
+            there = self.keys[file(self.name, s)]
             if len(there):
                 near = np.minimum(np.searchsorted(there, keys[at]), len(there) - 1)
-                out[at] = np.where(there[near] == keys[at], self.base[s] + near, -1)
+                yield s, at, near, there[near] == keys[at]
+
+    def counts(self, keys: np.ndarray, name: str) -> np.ndarray:
+        """Counts of sorted keys, 0 where absent."""
+        out = np.zeros(len(keys), np.int64)
+        for s, at, near, found in self.near(keys):
+            out[at] = np.where(found, self.numbers[file(name, s)][near], 0)
         return out
 
-    def _at(self, places: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
-        for s, at in parts(np.searchsorted(self.base, places, "right") - 1):
-            yield s, at, places[at] - self.base[s]
 
-    def counts(self, places: np.ndarray, file: str) -> np.ndarray:
-        """Counts at ascending places."""
-        out = np.zeros(len(places), np.int64)
-        for s, at, near in self._at(places):
-            out[at] = self.u32[f"{file}-{s}.u32"][near]
-        return out
+class Words(Sharded):
+    """The vocabulary: keys with ids, which are their places over all shards."""
+
+    def __init__(self, model: dict):
+        super().__init__(model, "vocab")
+        self.tops, self.shift = np.array(model["tops"], np.int64), model["shift"]
+        self.bases = Maps(model["folder"], "i64")
+
+    def base(self, group: int) -> np.ndarray:
+        """Where the places of a group's shards begin, and where the last ends."""
+        inside = self.bases[file("base", group)]
+        return self.tops[group] + (inside if len(inside) else np.zeros((1 << self.shift) + 1, np.int64))
 
-    def stats(self, places: np.ndarray) -> np.ndarray:
-        """Four numbers at each of ascending places."""
-        out = np.zeros((len(places), 4))
-        for s, at, near in self._at(places):
-            out[at] = self.f32[f"stats-{s}.f32"][near]
+    def span(self, shard: int) -> tuple[int, int]:
+        base = self.base(shard >> self.shift)
+        at = shard & ((1 << self.shift) - 1)
+        return int(base[at]), int(base[at + 1])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Ids of sorted keys, -1 where absent."""
+        out = np.full(len(keys), -1, np.int64)
+        for s, at, near, found in self.near(keys):
+            out[at] = np.where(found, self.span(s)[0] + near, -1)
         return out
 
+    def owner(self, ids: np.ndarray) -> np.ndarray:
+        """The shards of ascending ids; what lies past the last word has one of its own."""
+        out = np.full(len(ids), 1 << self.bits, np.int64)
+        for g, at in parts(np.searchsorted(self.tops, ids, "right") - 1):
+            if g < len(self.tops) - 1:
+                out[at] = (g << self.shift) + np.searchsorted(self.base(g), ids[at], "right") - 1
+        return out
 
-def save_base(folder: str, name: str, bits: int, shards: np.ndarray, sizes: np.ndarray) -> int:
-    """Write where each shard's places begin; the number of all places."""
-    n = np.zeros((1 << bits) + 1, np.int64)
-    n[shards + 1] = sizes
-    save(folder, f"{name}.base", np.cumsum(n).astype("<i8"))
-    return int(n.sum())
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and three further numbers each, of ascending ids."""
+        counts, stats = np.zeros(len(ids), np.int64), np.zeros((len(ids), 3))
+        for s, at in parts(self.owner(ids)):
+            near = ids[at] - self.span(s)[0]
+            counts[at] = self.numbers[file("counts", s)][near]
+            stats[at] = self.stats_of[file("stats", s)].reshape(-1, 3)[near]
+        return counts, stats
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -291,6 +331,7 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
     rows = _texts(docs.where(crc % 10 != 0))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size // (12 * shard_entries)).bit_length())
+    shift = max(0, bits - GROUP_BITS)
 
     def words(batches):
         known, counter = Hashes(), Counter(bits)
@@ -300,18 +341,37 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
 
     def vocabulary(batches):
         for shard, keys, (counts,) in merged(batches, 1):
-            save(folder, f"vocab-{shard}.u64", keys)
-            save(folder, f"counts-{shard}.u32", counts.astype("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(keys), int(counts.sum()))], ["shard", "n", "total"])
-
-    # One row of numbers for each shard comes back, and goes into a file that workers map.
-    found = _exchange(rows.mapInArrow(words, PACKED)).mapInArrow(vocabulary, "shard long, n long, total long").toPandas()
-    types = save_base(folder, "vocab", bits, found["shard"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-    model = {"folder": folder, "bits": bits, "tokens": int(found["total"].sum()), "types": types}
+            save(folder, file("vocab", shard) + ".u64", keys)
+            save_counts(folder, file("counts", shard), counts)
+            row = (shard >> shift, shard, len(keys), int(counts.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["group", "shard", "n", "total"])
+
+    found = materialize(_exchange(rows.mapInArrow(words, PACKED)).mapInArrow(vocabulary, "group long, shard long, n long, total long"))
+    # Rows of one group come as one list, so that a group is written once and whole.
+    lists = found.groupBy("group").agg(F.collect_list(F.struct("shard", "n")).alias("own"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    def group_bases(batches):
+        for b in batches:
+            for group, own, n, total in zip(*(b.column(c).to_pylist() for c in ("group", "own", "n", "total")), strict=True):
+                sizes = np.zeros((1 << shift) + 1, np.int64)
+                for x in own:
+                    sizes[x["shard"] % (1 << shift) + 1] = x["n"]
+                save(folder, file("base", group) + ".i64", np.cumsum(sizes).astype("<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (group, n, total)], ["group", "n", "total"])
+
+    # At most 4,096 rows of three numbers.
+    groups = lists.mapInArrow(group_bases, "group long, n long, total long").toPandas()
+    sizes = np.zeros((1 << (bits - shift)) + 1, np.int64)
+    sizes[groups["group"].to_numpy(np.int64) + 1] = groups["n"].to_numpy(np.int64)
+    tops = np.cumsum(sizes)
+    types = int(tops[-1])
+    if types >= (1 << 32) - 1:
+        raise ValueError(f"{types} distinct words are more than id pairs of 64 bits can tell apart")
+    model = {"folder": folder, "bits": bits, "shift": shift, "tops": tops.tolist(), "tokens": int(groups["total"].sum()), "types": types}
     start = types  # the id of the start context, after all words
 
     def pairs(batches):
-        known, counter, vocab = Hashes(), Counter(bits), Sharded(folder, "vocab", bits)
+        known, counter, vocab = Hashes(), Counter(bits), Words(model)
         for _, texts in chunks(batches):
             hashes, counts = token_hashes(texts, known)
             unique, back = np.unique(hashes, return_inverse=True)
@@ -323,39 +383,38 @@ def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
 
     def pair_shards(batches):
         """Write each shard's pairs and counts; give what contexts and words gather from it."""
-        base = load(folder, "vocab.base", "<i8")  # what lies past the last word is the start context's
+        vocab = Words(model)
         for shard, keys, (counts,) in merged(batches, 1):
-            save(folder, f"pairs-{shard}.u64", keys)
-            save(folder, f"counted-{shard}.u32", counts.astype("<u4"))
+            save(folder, file("pairs", shard) + ".u64", keys)
+            save_counts(folder, file("counted", shard), counts)
             ids = unmix(keys)
             one, two, more = counts == 1, counts == 2, counts >= 3
             none = np.zeros(len(keys), np.int64)
             both = np.concatenate([ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)])
             own = [np.concatenate([x, none]) for x in (counts, one, two, more)] + [np.concatenate([none, none + 1])]
             keyed, sums = combine(both, own)
-            batch = packed(keyed, sums, np.searchsorted(base, keyed.astype(np.int64), "right") - 1)
+            batch = packed(keyed, sums, vocab.owner(keyed.astype(np.int64)))
             count = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
             m = batch.num_rows
-            cols = [*batch.columns, pa.array([shard] * m, pa.int32()), pa.array([len(keys)] * m, pa.int64())]
+            cols = [*batch.columns, pa.array([shard] * m, pa.int32())]
             cols += [pa.array([c] * m, pa.int64()) for c in count]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "data", "from", "n", "n1", "n2", "n3", "n4"])
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "data", "from", "n1", "n2", "n3", "n4"])
 
     gathered = materialize(
-        _exchange(rows.mapInArrow(pairs, PACKED)).mapInArrow(pair_shards, PACKED + ", from int, n long, n1 long, n2 long, n3 long, n4 long")
+        _exchange(rows.mapInArrow(pairs, PACKED)).mapInArrow(pair_shards, PACKED + ", from int, n1 long, n2 long, n3 long, n4 long")
     )
-    per = gathered.groupBy("from").agg(*[F.first(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]).toPandas()
-    save_base(folder, "pairs", bits, per["from"].to_numpy(np.int64), per["n"].to_numpy(np.int64))
-    model["discounts"] = discounts([int(per[f"n{k}"].sum()) for k in (1, 2, 3, 4)])
+    per = gathered.groupBy("from").agg(*[F.first(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    model["discounts"] = discounts([x or 0 for x in per.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first()])
 
     def words_low(batches):
         """Per word: context total, backoff weight and continuation count, in hash order."""
-        d, base = model["discounts"], load(folder, "vocab.base", "<i8")
+        d, vocab = model["discounts"], Words(model)
         for shard, keys, (total, one, two, more, left) in merged(batches, 5):
-            n = 1 if shard == 1 << bits else int(base[shard + 1] - base[shard])
-            out, at = np.zeros((n, 4), np.float32), keys.astype(np.int64) - base[shard]
-            out[at, 1] = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(total, 1), 1.0)
-            out[at, 2], out[at, 3] = left, total
-            save(folder, f"stats-{shard}.f32", out.astype("<f4"))
+            first, last = (types, types + 1) if shard == 1 << bits else vocab.span(shard)
+            out, at = np.zeros((last - first, 3)), keys.astype(np.int64) - first
+            out[at, 0] = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(total, 1), 1.0)
+            out[at, 1], out[at, 2] = left, total
+            save(folder, file("stats", shard) + ".f64", out.astype("<f8"))
             count = [int((left == k).sum()) for k in (1, 2, 3, 4)] + [int((left >= 3).sum()), int(left.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in count], ["n1", "n2", "n3", "n4", "more", "total"])
 
@@ -371,10 +430,10 @@ class Scorer:
     """Log10 probabilities of token hashes under a model's files."""
 
     def __init__(self, model: dict):
-        self.m, folder, bits = model, model["folder"], model["bits"]
-        self.vocab, self.pairs = Sharded(folder, "vocab", bits), Sharded(folder, "pairs", bits)
-        start = load(folder, f"stats-{1 << bits}.f32", "<f4").reshape(-1, 4)
-        self.start = start[0] if len(start) else np.array([0, 1, 0, 0], np.float32)
+        self.m, self.vocab, self.pairs = model, Words(model), Sharded(model, "pairs")
+        start = load(model["folder"], file("stats", 1 << model["bits"]), "f64")
+        #: Backoff weight and number of texts, for the start of a text.
+        self.start = (float(start[0]), float(start[2])) if len(start) and start[2] else (1.0, 0.0)
 
     def score(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count, its base log10 probability and the model's."""
@@ -385,11 +444,10 @@ class Scorer:
         count, low, backoff, whole = (np.zeros(len(unique)) for _ in range(4))
         backoff += 1.0
         if seen.any():
-            count[seen] = self.vocab.counts(place[seen], "counts")
-            stats = self.vocab.stats(place[seen])
-            left, d = stats[:, 2], np.array([0.0, *m["lower"]])
+            count[seen], stats = self.vocab.of(place[seen])
+            left, d = stats[:, 1], np.array([0.0, *m["lower"]])
             low[seen] = np.maximum(left - d[np.minimum(left, 3).astype(np.int64)], 0) / max(m["pair_types"], 1)
-            backoff[seen], whole[seen] = np.where(stats[:, 3] > 0, stats[:, 1], 1.0), stats[:, 3]
+            backoff[seen], whole[seen] = np.where(stats[:, 2] > 0, stats[:, 0], 1.0), stats[:, 2]
         low += m["unknown"]
         base = np.log10((count + 0.1) / (m["tokens"] + 0.1 * (m["types"] + 1)))
         first = np.cumsum(sizes) - sizes
@@ -397,14 +455,11 @@ class Scorer:
         ids = place[back]
         context = place[before]
         gamma, total = backoff[before], whole[before]
-        context[first], gamma[first], total[first] = m["types"], self.start[1] if self.start[3] else 1.0, self.start[3]
+        context[first], gamma[first], total[first] = m["types"], *self.start
         both = (ids >= 0) & (context >= 0)
         keys, again = np.unique(mix(context[both].astype(np.uint64) << np.uint64(32) | ids[both].astype(np.uint64)), return_inverse=True)
-        at = self.pairs.find(keys)
-        found = np.zeros(len(keys))
-        found[at >= 0] = self.pairs.counts(at[at >= 0], "counted")
         c = np.zeros(len(ids))
-        c[both] = found[again]
+        c[both] = self.pairs.counts(keys, "counted")[again]
         d = np.array([0.0, *m["discounts"]])
         high = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0) / np.maximum(total, 1)
         return count[back], base[back], np.log10(high + gamma * low[back])
