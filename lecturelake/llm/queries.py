@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -21,11 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .common import materialize
-    from .warc import archive_of, parse, resolve, serialize
+    from .common import shared_dir
+    from .warc import archive_of, read_warc, resolve, write_warc
 
-    archive = materialize(serialize(archive_of(table(spark, sf_dir, "pages"))))
-    found = resolve(parse(archive))
+    path = f"{shared_dir(spark)}/lecturelake-warc-{uuid.uuid4().hex}"
+    write_warc(archive_of(table(spark, sf_dir, "pages")), path)
+    found = resolve(read_warc(spark, path, bodies=False))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.withColumn("headers", F.array_join(lines, "\n"))
 

@@ -1,24 +1,35 @@
-"""WARC records, and the resolution of revisits that say "not modified".
+"""WARC files and records, and the resolution of revisits that say "not modified".
+
+Files are written by Spark's text writer, whose line separator is what closes a record, and read
+by the length that each record states; they may be plain or gzipped, whole or a member a record.
 
 A revisit holds headers only.  It is resolved by an as-of join: the latest full response of the
 same canonical URL with an earlier date.  The join counts if a validator agrees (the entity tag
 by weak comparison where both have one, else the modification date), and then the revisit's
 headers are laid over the response's, except those that a 304 answer may not change.
 
-The as-of join is a running maximum in two levels, so that one URL with very many captures is
-spread over time: inside (URL, time slice) over rows, and over the slices of a URL for what came
-before them.  Only record ids and headers move, never bodies.
+The as-of join first leaves one row per (URL, date), so that any number of captures of one URL at
+one time is one row; then a running maximum is taken in two levels, so that one URL with very many
+captures is spread over time: inside (URL, time slice), and over the slices of a URL for what came
+before them; revisits look their date up.  Only record ids and headers move, never bodies.
 
 Defined results: a null or blank URL resolves to nothing, and so does a revisit without a date; a
 response without a date is earlier than nothing; records of equal date don't count as
 earlier, and of several responses at the latest date the one with the largest id counts; repeated
-records are kept; an empty table gives an empty result; further columns are ignored.
+records are kept; an empty table gives an empty result; further columns are ignored.  Of a file
+that is cut off, the whole records before the cut are read; a record without a readable length ends
+where the next one opens.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import math
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CRLF = "\r\n"
-SPLIT = CRLF + CRLF + "WARC/1.1" + CRLF
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 #: Headers that a 304 answer does not change: those of one connection, and those of the body.
@@ -85,31 +95,96 @@ def _fields(pairs: str) -> Column:
     return F.map_from_entries(F.when(distinct, F.col(pairs)).otherwise(F.filter(back, first)))
 
 
-def parse(raw: DataFrame) -> DataFrame:
-    """Records from their text (``warc``): ``record_id, kind, url, date_ms, http`` (a map), ``body``."""
-    end = F.instr("warc", CRLF * 2)
-    cut = raw.select(F.left("warc", end - 1).alias("head"), F.substr("warc", end + 4).alias("content"))
-    cut = cut.select(_pairs(F.col("head")).alias("p"), "content", F.instr("content", CRLF * 2).alias("end"))
-    cut = cut.select("p", "content", "end", _pairs(F.when(F.col("end") > 0, F.left("content", F.col("end") - 1)).otherwise(F.col("content"))).alias("q"))
-    cut = cut.select(_fields("p").alias("h"), _fields("q").alias("http"), "content", "end")
-    return cut.select(
+#: What is cut out of a file for each record: its header, the header of the answer it holds, and the body.
+PARTS = "head string, http string, body binary"
+
+
+def cut_records(stream: io.BufferedIOBase) -> Iterator[tuple[str, str, bytes]]:
+    """``PARTS`` of every record of an open file, by the lengths that records state."""
+    line = stream.readline()
+    while line:
+        if not line.startswith(b"WARC/"):
+            line = stream.readline()
+            continue
+        head, length = [line], None
+        while (line := stream.readline()).strip():
+            head.append(line)
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                length = int(value)
+        if not line:
+            return
+        if length is None:
+            content = []
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                content.append(line)
+            block = b"".join(content)
+        else:
+            block = stream.read(length)
+            if len(block) < length:
+                return
+            line = stream.readline()
+        http, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+        yield b"".join(head).decode("utf-8", "replace"), http.decode("utf-8", "replace"), body
+
+
+def opened(data: bytes) -> io.BufferedIOBase:
+    """A file's bytes as a stream of records, unpacked as it is read where it is gzipped."""
+    raw = io.BytesIO(data)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+
+
+def cut_files(files: DataFrame, bodies: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``PARTS`` of all records of whole files (``content``); without ``bodies`` these are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        kinds = zip((pa.string(), pa.string(), pa.binary()), ("head", "http", "body"), strict=True)
+        types, names = zip(*kinds, strict=True)
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+        for b in batches:
+            for data in b.column("content"):
+                try:
+                    for head, http, body in cut_records(opened(data.as_py())):
+                        held.append((head, http, body if bodies else None))
+                        size += len(head) + len(http) + (len(body) if bodies else 0)
+                        if size >= batch_bytes:
+                            yield batch()
+                            held, size = [], 0
+                except (EOFError, zlib.error, gzip.BadGzipFile):  # cut off
+                    pass
+        if held:
+            yield batch()
+
+    return files.select("content").mapInArrow(run, PARTS)
+
+
+def parse(parts: DataFrame) -> DataFrame:
+    """Records from ``PARTS``: ``record_id, kind, url, date_ms, http`` (a map), ``body``."""
+    lines = parts.select(_pairs(F.col("head")).alias("p"), _pairs(F.col("http")).alias("q"), "body")
+    fields = lines.select(_fields("p").alias("h"), _fields("q").alias("http"), "body")
+    return fields.select(
         F.regexp_extract(F.col("h")["warc-record-id"], r"<urn:record:(-?\d+)>", 1).try_cast("long").alias("record_id"),
         F.col("h")["warc-type"].alias("kind"),
         F.col("h")["warc-target-uri"].alias("url"),
         F.unix_millis(F.try_to_timestamp(F.col("h")["warc-date"])).alias("date_ms"),
         "http",
-        F.when(F.col("end") > 0, F.substr("content", F.col("end") + 4)).otherwise("").alias("body"),
+        "body",
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    serialize(records).select(F.substr("warc", F.lit(len("WARC/1.1" + CRLF) + 1)).alias("value")).write.option("lineSep", SPLIT).text(path)
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", records_per_file: int = 10_000) -> None:
+    """Write ``records`` (as ``serialize`` takes them) as files of a bounded number of records."""
+    lines = serialize(records).select(F.col("warc").alias("value"))
+    lines.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed files; a body must not hold the line that opens a record."""
-    raw = spark.read.option("lineSep", SPLIT).text(path).where(F.length("value") > 0)
-    return parse(raw.select(F.concat(F.lit("WARC/1.1" + CRLF), F.regexp_replace("value", "^WARC/1.1\r\n", "")).alias("warc")))
+def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
+    """Records of files, plain or gzipped; a file is read by one task and must be smaller than 2 GB."""
+    return parse(cut_files(spark.read.format("binaryFile").load(path), bodies))
 
 
 def sliced(rows: DataFrame, rows_per_slice: int, intervals: int = 1000) -> DataFrame:
@@ -145,16 +220,19 @@ def resolve(records: DataFrame, rows_per_slice: int = 2048) -> DataFrame:
     entries = F.array_sort(F.map_entries("http"))
     full = F.when(F.col("kind") == "response", F.struct("date_ms", "record_id", entries.alias("http")))
     rows = sliced(rows, rows_per_slice).withColumn("_full", full)
-    inside = W.partitionBy("canonical_url", "_slice").orderBy("date_ms").rangeBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("canonical_url", "_slice").orderBy("date_ms").rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy("canonical_url").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     placed = "canonical_url is not null and date_ms is not null"
+    times = rows.where(placed).groupBy("canonical_url", "_slice", "date_ms").agg(F.max("_full").alias("_full"))
     carried = (
-        rows.where(placed).groupBy("canonical_url", "_slice").agg(F.max("_full").alias("_last"))
+        times.groupBy("canonical_url", "_slice").agg(F.max("_full").alias("_last"))
         .select("canonical_url", "_slice", F.max("_last").over(earlier).alias("_carried"))
     )
-    known = rows.where(placed).withColumn("_near", F.max("_full").over(inside)).where("kind = 'revisit'")
-    found = known.join(carried, ["canonical_url", "_slice"]).withColumn("_r", F.coalesce("_near", "_carried"))
-    lost = rows.where(f"not ({placed}) and kind = 'revisit'").withColumn("_r", F.col("_full"))
+    near = times.select("canonical_url", "_slice", "date_ms", F.max("_full").over(inside).alias("_near"))
+    as_of = near.join(carried, ["canonical_url", "_slice"]).select("canonical_url", "date_ms", F.coalesce("_near", "_carried").alias("_r"))
+    own = rows.where("kind = 'revisit'").select("record_id", "canonical_url", "date_ms", "http")
+    found = own.where(placed).join(as_of, ["canonical_url", "date_ms"])
+    lost = own.where(f"not ({placed})").withColumn("_r", F.lit(None).cast(as_of.schema["_r"].dataType))
     both = found.select("record_id", "canonical_url", "http", "_r").unionByName(lost.select("record_id", "canonical_url", "http", "_r"))
     theirs = F.map_from_entries("_r.http")
     tag = lambda m: F.regexp_replace(m["etag"], "^W/", "")

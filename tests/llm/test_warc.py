@@ -1,3 +1,4 @@
+import gzip
 import random
 from collections import Counter
 
@@ -68,14 +69,57 @@ def test_hot_url_against_brute_force(spark, rows_per_slice):
             assert got[i] == (max(there)[1] if there else None)
 
 
-def test_text_round_trip(spark, tmp_path):
-    rows = [(1, "response", "http://a/", 1_700_000_000_123, "ETag: x\r\nX: 1\r\nx: 2", "<html>\r\n\r\nbody"), (2, "revisit", "http://a/", 0, "ETag: x", None)]
-    df = spark.createDataFrame(rows, "record_id long, kind string, url string, date_ms long, http string, body string")
-    want = [(1, "response", "http://a/", 1_700_000_000_123, {"etag": "x", "x": "2"}, "<html>\r\n\r\nbody"), (2, "revisit", "http://a/", 0, {"etag": "x"}, "")]
-    assert sorted(map(tuple, w.parse(w.serialize(df)).collect())) == want
-    w.write_warc(df, str(tmp_path / "w"))
-    back = sorted(map(tuple, w.read_warc(spark, str(tmp_path / "w")).collect()))
-    assert [r[:5] for r in back] == [r[:5] for r in want]
+def test_burst_of_captures_at_one_time(spark, rows):
+    """Many captures of one URL at few times are a row a time before they are ordered."""
+    given = [(i, "response" if i % 3 == 0 else "revisit", "http://hot/", 100 + 10 * (i % 2), {"etag": '"e"'}) for i in range(600)]
+    got = resolved(spark, given)
+    late = max(i for i, kind, _, at, _ in given if kind == "response" and at == 100)
+    assert got == {i: ("resolved", late, {"etag": '"e"'}) if at == 110 else ("no-response", None, None) for i, kind, _, at, _ in given if kind == "revisit"}
+
+
+RECORDS = "record_id long, kind string, url string, date_ms long, http string, body string"
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_round_trip(spark, tmp_path, compression):
+    """Bodies may hold what separates records, and what opens one."""
+    body = "<html>\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nünï 你好"
+    rows = [(i, "response", "http://a/", 1_700_000_000_123, "ETag: x\r\nX: 1\r\nx: 2", body * i) for i in range(1, 9)] + [(9, "revisit", "http://a/", 0, "ETag: x", None)]
+    path = str(tmp_path / "w")
+    w.write_warc(spark.createDataFrame(rows, RECORDS).coalesce(1), path, compression, records_per_file=4)
+    assert len([p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]) == 3
+    want = [(i, "response", "http://a/", 1_700_000_000_123, {"etag": "x", "x": "2"}, (body * i).encode()) for i in range(1, 9)] + [(9, "revisit", "http://a/", 0, {"etag": "x"}, b"")]
+    assert sorted(map(tuple, w.read_warc(spark, path).collect())) == want
+    assert sorted(map(tuple, w.read_warc(spark, path, bodies=False).collect())) == [(*r[:5], None) for r in want]
+
+
+def record(kind, block, length=None, end=b"\r\n\r\n"):
+    n = b"" if length is None else b"content-length : %d\r\n" % length
+    return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://h/\r\n" + n + b"\r\n" + block + end
+
+
+def test_files_of_other_makers(spark, tmp_path):
+    """Members of gzip a record, records that hold no answer, binary bodies, lost lengths, cut files."""
+    raw = b"HTTP/1.1 200 OK\r\nETag: q\r\n\r\n\xff\x00\r\n\r\nWARC/1.0\r\n"
+    good = [record(b"warcinfo", b"software: x\r\n", 13), record(b"response", raw, len(raw)), record(b"request", b"GET / HTTP/1.1\r\n\r\n", 18)]
+    lost = [record(b"resource", b"no length\r\n"), record(b"response", raw, len(raw))]
+    files = {
+        "a.warc": b"".join(good),
+        "b.warc.gz": b"".join(map(gzip.compress, good)),
+        "c.warc.gz": gzip.compress(b"".join(good))[:-9],
+        "d.warc": b"".join(good)[:-25],
+        "e.warc": b"".join(lost),
+        "f.warc": b"",
+        "g.warc.gz": b"\x1f\x8bbroken",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    kinds = lambda name: [r["kind"] for r in w.read_warc(spark, str(tmp_path / name)).collect()]
+    assert kinds("a.warc") == kinds("b.warc.gz") == ["warcinfo", "response", "request"]
+    assert kinds("c.warc.gz")[:2] in ([], ["warcinfo", "response"]) and kinds("d.warc") == ["warcinfo", "response"]
+    assert kinds("e.warc") == ["resource", "response"] and kinds("f.warc") == kinds("g.warc.gz") == []
+    r = w.read_warc(spark, str(tmp_path / "b.warc.gz")).where("kind = 'response'").first()
+    assert r["http"] == {"etag": "q"} and bytes(r["body"]) == raw.split(b"\r\n\r\n", 1)[1]
 
 
 def test_edges(spark, rows):
@@ -85,8 +129,6 @@ def test_edges(spark, rows):
     df = spark.createDataFrame(twice, RECORD)
     assert w.resolve(df).count() == 2
     assert rows(w.resolve(df.withColumn("status", F.lit("x")).withColumn("_r", F.lit(1)))) == rows(w.resolve(df))
-    pages = spark.createDataFrame([(1, None, None), (None, "http://a/", "x")], "page_id long, url string, html string")
-    assert w.resolve(w.parse(w.serialize(w.archive_of(pages)))).count() >= 0
 
 
 def test_records_without_a_date(spark):
@@ -105,7 +147,8 @@ def test_records_without_a_date(spark):
 
 def test_pages_without_an_id(spark, tmp_path, agree):
     pages = spark.createDataFrame([(1, None, None), (None, "http://a/", "x"), (2, "http://a/", "y"), (None, None, None)], "page_id long, url string, html string")
-    out = w.resolve(w.parse(w.serialize(w.archive_of(pages))))
+    w.write_warc(w.archive_of(pages), f"{tmp_path}/archive")
+    out = w.resolve(w.read_warc(spark, f"{tmp_path}/archive"))
     assert sorted((r["record_id"] or 0, r["canonical_url"] or "") for r in out.collect()) == [(0, ""), (0, ""), (0, "a"), (0, "a"), (9, ""), (10, ""), (17, "a"), (18, "a")]
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
