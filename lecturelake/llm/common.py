@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and U+0009-U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, GAP, -1), ""), F.array().cast("array<string>"))
 
 
 def shared_dir(spark: SparkSession) -> str:

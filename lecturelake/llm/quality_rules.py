@@ -31,26 +31,31 @@ def base_measures(docs: DataFrame) -> DataFrame:
     Two three-word windows count as equal when their 64-bit hashes are.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     df = docs.select(
         "doc_id",
         F.xxhash64("text").alias("_hash"),
         words(F.col("text")).alias("_w"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
+        F.array_remove(F.split(text, "\n"), "").alias("_lines"),
     )
+    # Lines without a word count only where some line is found twice.
+    twice = F.when(F.size(F.array_distinct("_lines")) < F.size("_lines"), F.col("_lines")).otherwise(F.array().cast("array<string>"))
+    df = df.select(
+        "doc_id", "_hash", "_w", F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols",
+        F.filter(twice, lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("_lines"),
+    )
     w, n = F.col("_w"), F.size("_w")
-    windows = F.arrays_zip(w.alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"))
-    hashed = F.transform(
-        F.slice(windows, 1, F.greatest(n - 2, F.lit(0))),
-        lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")),
-    )
+    starts = F.slice(w, 1, F.greatest(n - 2, F.lit(0)))
+    windows = F.transform(starts, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     df = df.select(
         "doc_id", "_hash", "_w", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(hashed).alias("_s"),
+        windows.alias("_s"),
     )
+    # Only texts with a window found twice are looked at closely.
+    twice = F.when(F.size(F.array_distinct("_s")) < F.size("_s"), F.col("_s")).otherwise(F.array().cast("array<bigint>"))
+    placed = F.transform(twice, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    df = df.select("doc_id", "_hash", "_w", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(placed).alias("_s"))
     s = F.col("_s")
     same = F.filter(
         s,
