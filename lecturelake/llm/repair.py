@@ -45,7 +45,7 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint32(2654435761)) >> np.uint32(12)
 
 
-def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, per_pass: int = 2500, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, per_pass: int = 4000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The shortened sequence and the rules, ``(n, 2)``; ``terminals - 1`` is never replaced.
 
     Ends when no pair occurs ``least`` times (or all symbols are used) and no pair that has a rule
@@ -64,7 +64,7 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         load[_slots(np.array([end * 65537], np.uint32))] -= np.count_nonzero(key == end * 65537)
         free = SYMBOLS - terminals - len(rules)
         top = int(load.max())
-        bar = max(least, top // 2 if bar is None else min(bar, top // 2))
+        bar = max(least, top // 4 if bar is None else min(bar, top // 4))
         while True:
             at = np.flatnonzero(((load >= bar) & bool(free) | ruled)[slot])
             pairs, counts = np.unique(key[at], return_counts=True)
@@ -114,8 +114,8 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-        if np.count_nonzero(new) < 256:
-            bar = max(least, bar // 2)
+        if np.count_nonzero(new) < 1024:
+            bar = max(least, bar // 4)
         passes = None if passes is None else passes - 1
     return seq, np.array(rules, np.int64).reshape(-1, 2)
 
@@ -200,7 +200,7 @@ def write_token_shards(
     end_id: int = 2,
     shard_ids: int = 1 << 21,
     passes: int | None = None,
-    per_pass: int = 2500,
+    per_pass: int = 4000,
     least: int = 8,
 ) -> None:
     """Encode every text, append ``end_id``, and write shards in ascending ``doc_id`` order."""
