@@ -7,6 +7,7 @@ of its words one after the other.  Each worker keeps the ids of words it has met
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -58,68 +59,92 @@ class Encoder:
         self.model = self.tokenizer.model
         # Vocabularies that treat letters otherwise go the library's whole way.
         probes = ["a", "words", "año", "ÉTÉ", "straße", "thing", "ñöüç"]
-        self.plain_letters = [self.letters(w) for w in probes] == self.alone(probes)
         self.reset()
+        self.plain_letters = self.letters(probes)[0] == list(chain.from_iterable(self.alone(probes)))
 
     def reset(self) -> None:
         self.place = Places()
-        self.ends: dict[str, list[int]] = {}
+        self.ends: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
-    def letters(self, word: str) -> list[int] | None:
-        """Ids of a word of Latin letters, straight from the model; None for other words.
+    def letters(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of words of Latin letters, straight from the model, and how many each has (-1: none, as
+        the word has other letters).
 
-        What the vocabulary's normalizer does to such a word is lower case, and what comes before the
+        What the vocabulary's normalizer does to such words is lower case, and what comes before the
         model is a character for each byte.
         """
-        if not word.isascii():
-            if max(word) > LATIN_END or "İ" in word or not unicodedata.is_normalized("NFC", word):
-                return None
-            word = word.lower().encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS)
-        return [x.id for x in self.model.tokenize(word)]
+        latin = [w for w in words if not w.isascii() and max(w) <= LATIN_END and "İ" not in w and unicodedata.is_normalized("NFC", w)]
+        shown = "\n".join(latin).lower().encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[10])
+        as_bytes = dict(zip(latin, shown, strict=True)) if latin else {}
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        for w in words:
+            w = w if w.isascii() else as_bytes.get(w)
+            if w is None:
+                sizes.append(-1)
+                continue
+            found = tokenize(w)
+            sizes.append(len(found))
+            ids += [x.id for x in found]
+        return ids, sizes
 
     def learn(self) -> None:
-        """Encode the words met since the last call."""
+        """Encode the words met since the last call.
+
+        Letters with marks behind them have the ids of the letters, which become known as a word of
+        their own, and then those of the marks.
+        """
         new, self.place.new = self.place.new, []
-        k = len(self.place) - len(new)
-        texts = [w.decode("utf-8") for w in new]
-        plain, cores, rest = {}, [], []
-        for t in texts:
+        first = len(self.place) - len(new)
+        texts = b"\n".join(new).decode("utf-8").split("\n")
+        plain, odd, marked, cores, runs = [], [], [], [], []
+        for i, t in enumerate(texts):
             core = t.rstrip(MARKS)
-            if core.isalpha():
-                at = self.place.get(core.encode("utf-8")) if len(core) < len(t) else None
-                if at is not None and at < k:  # the letters alone are known
-                    plain[core] = self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
-                elif core not in plain:
-                    plain[core] = None
-                cores.append(core)
+            if not core.isalpha():
+                odd.append(i)
+            elif len(core) == len(t):
+                plain.append(i)
             else:
-                rest.append(t)
-                cores.append(None)
-        if self.plain_letters:
-            plain.update({c: self.letters(c) for c, ids in plain.items() if ids is None})
-        left = [c for c, ids in plain.items() if ids is None]
-        plain.update(zip(left, self.alone(left), strict=True))
-        known = dict(zip(rest, self.alone(rest), strict=True))
-        found = [known[t] if c is None else plain[c] if len(c) == len(t) else plain[c] + self.marks(t[len(c) :]) for t, c in zip(texts, cores, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n = int(sizes.sum())
-        while k + len(new) > len(self.starts):
+                marked.append(i)
+                cores.append(self.place[core.encode("utf-8")])
+                runs.append(t[len(core) :])
+        plain += range(len(texts), len(texts) + len(self.place.new))
+        texts += [w.decode("utf-8") for w in self.place.new]
+        self.place.new = []
+        words = [texts[i] for i in plain]
+        ids, sizes = self.letters(words) if self.plain_letters else ([], [-1] * len(words))
+        plain, sizes = np.array(plain, np.int64), np.array(sizes, np.int64)
+        self.keep(first + plain[sizes >= 0], ids, sizes[sizes >= 0])
+        odd += plain[sizes < 0].tolist()
+        found = self.alone([texts[i] for i in odd])
+        self.keep(first + np.array(odd, np.int64), list(chain.from_iterable(found)), list(map(len, found)))
+        if marked:
+            at = np.array([cores, [self.marks(r) for r in runs]]).T
+            self.keep(first + np.array(marked), gather(self.flat, self.starts[at].ravel(), self.sizes[at].ravel()), self.sizes[at].sum(axis=1))
+
+    def keep(self, places: np.ndarray, ids: list[int] | np.ndarray, sizes: list[int] | np.ndarray) -> None:
+        """Note the ids of the words at ``places``, one word after the other."""
+        n, sizes = len(ids), np.asarray(sizes, np.int64)
+        while len(self.place) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.int32, n)
-        self.sizes[k : k + len(new)] = sizes
-        self.starts[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + n] = ids
+        self.starts[places], self.sizes[places] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += n
 
     def alone(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.batch(texts, add_special_tokens=False)]
 
-    def marks(self, run: str) -> list[int]:
+    def marks(self, run: str) -> int:
+        """The place of a run of marks."""
         if run not in self.ends:
-            self.ends[run] = self.alone([run])[0]
+            self.ends[run] = place = self.place[run.encode("utf-8")]
+            if self.place.new:
+                self.place.new = []
+                found = self.alone([run])[0]
+                self.keep(np.array([place]), found, [len(found)])
         return self.ends[run]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +158,14 @@ class Encoder:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.place.new:
-            self.learn()
+            # Very many small objects and no cycles: the collector would only walk over them.
+            running = gc.isenabled()
+            gc.disable()
+            try:
+                self.learn()
+            finally:
+                if running:
+                    gc.enable()
         sizes = self.sizes[at]
         ids = gather(self.flat, self.starts[at], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)] if len(split) else np.zeros(0, np.int64)
