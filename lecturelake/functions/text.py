@@ -48,12 +48,12 @@ def contains_any(s: Column, words: Sequence[str]) -> Column:
     return s.rlike(any_of(words))
 
 
-def drop_noise(s: Column, fillers: Sequence[str] = lx.FILLERS, tags: Sequence[str] = lx.SOUND_TAGS) -> Column:
+def drop_noise(s: Column, fillers: Sequence[str] = lx.FILLERS, tags: Sequence[str] = lx.SOUND_TAGS, hesitations: str = lx.HESITATIONS) -> Column:
     """The part of ``normalize`` after NFKC."""
     s = F.regexp_replace(squeeze(s), f"[{lx.BULLETS}]+", "")
     for left, right in (r"\[", r"\]"), (r"\(", r"\)"):
         s = F.regexp_replace(s, f"{left}(?:{any_of(tags)}){right}", "")
-    s = F.regexp_replace(s, f"[{lx.HESITATIONS}]{{2,}}", "")
+    s = F.regexp_replace(s, f"[{hesitations}]{{2,}}", "")
     alone = lambda w: rf"(?:^| )(?:{w})(?:$| )"
     chain = lambda s: reduce(lambda x, w: F.regexp_replace(x, alone(any_of([w])), " "), fillers, s)
     # Most texts hold no filler that stands alone: one look spares them the chain.
@@ -69,17 +69,17 @@ def ends_with_mark(s: Column) -> Column:
     return s.rlike(f"[{lx.TERMINATORS}]$")
 
 
-def autopunct(s: Column) -> Column:
+def autopunct(s: Column, particles: str = lx.QUESTION_PARTICLES) -> Column:
     """Close an open sentence: with ？ after a question particle, else with 。; empty stays so."""
-    asks = s.rlike(f"[{lx.QUESTION_PARTICLES}]$")
+    asks = s.rlike(f"[{particles}]$")
     return F.when((s == "") | ends_with_mark(s), s).when(asks, F.concat(s, F.lit("？"))).otherwise(F.concat(s, F.lit("。")))
 
 
-def sentences(s: Column) -> Column:
+def sentences(s: Column, particles: str = lx.QUESTION_PARTICLES) -> Column:
     """Each mark closes a sentence; an open rest is closed by ``autopunct``."""
     marks = lx.TERMINATORS
     parts = F.regexp_extract_all(s, F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+$"), F.lit(0))
-    return F.transform(F.filter(F.transform(parts, strip), lambda x: x != ""), autopunct)
+    return F.transform(F.filter(F.transform(parts, strip), lambda x: x != ""), lambda x: autopunct(x, particles))
 
 
 def full_width(s: Column) -> Column:
@@ -95,15 +95,16 @@ def student_style(s: Column, connectives: Sequence[str] = lx.CONNECTIVES) -> Col
     return F.regexp_replace(F.regexp_replace(s, f"(?U){SPACE}+", ""), r"([，。！？])\1+", "$1")
 
 
-def finalize(s: Column, style: str = "plain") -> Column:
+def finalize(s: Column, style: str = "plain", words: lx.Lexicon = lx.DEFAULT) -> Column:
     """Sentences of a normalized text, cleaned and closed again, joined; ``student`` styles them.
 
     The text is NFKC already, so of that form only ？, which closing a sentence may have added, is
     left to change.
     """
-    clean = F.transform(sentences(squeeze(s)), lambda x: drop_noise(F.translate(x, "？", "?")))
-    joined = F.array_join(F.transform(clean, autopunct), "")
-    return student_style(joined) if style == "student" else joined
+    noise, particles = (words.fillers, words.sound_tags, words.hesitations), words.question_particles
+    clean = F.transform(sentences(squeeze(s), particles), lambda x: drop_noise(F.translate(x, "？", "?"), *noise))
+    joined = F.array_join(F.transform(clean, lambda x: autopunct(x, particles)), "")
+    return student_style(joined, words.connectives) if style == "student" else joined
 
 
 def _pieces(s: Column) -> Column:
@@ -127,47 +128,47 @@ def by_rules(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(x)) for p, x in rules]))
 
 
-def exam_points(text: Column) -> Column:
-    return by_rules(text, lx.EXAM_POINTS)
+def exam_points(text: Column, rules: Sequence[tuple[str, str]] = lx.EXAM_POINTS) -> Column:
+    return by_rules(text, rules)
 
 
-def exam_pitfalls(text: Column) -> Column:
-    return by_rules(text, lx.EXAM_PITFALLS)
+def exam_pitfalls(text: Column, rules: Sequence[tuple[str, str]] = lx.EXAM_PITFALLS) -> Column:
+    return by_rules(text, rules)
 
 
-def exam_tips(text: Column) -> Column:
-    return by_rules(text, lx.EXAM_TIPS)
+def exam_tips(text: Column, rules: Sequence[tuple[str, str]] = lx.EXAM_TIPS) -> Column:
+    return by_rules(text, rules)
 
 
 def _wide(pattern: str) -> str:
     return "(?U)" + pattern.replace(r"\s", SPACE)
 
 
-def chapter_bullets(title: Column, text: Column) -> Column:
+def chapter_bullets(title: Column, text: Column, rules: Sequence[tuple] = lx.CHAPTER_BULLETS) -> Column:
     """Bullets of the topic rules over title and text; without any, the first five sentences."""
     both = F.concat(F.coalesce(title, F.lit("")), text)
     found = F.array_compact(
-        F.array(*[F.when(both.rlike(p) & (text.rlike(_wide(q)) if q else F.lit(True)), F.lit(x)) for p, q, x in lx.CHAPTER_BULLETS])
+        F.array(*[F.when(both.rlike(p) & (text.rlike(_wide(q)) if q else F.lit(True)), F.lit(x)) for p, q, x in rules])
     )
     return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(_pieces(text), 1, 5)))
 
 
-def chapter_exam(title: Column, text: Column) -> list[Column]:
+def chapter_exam(title: Column, text: Column, rules: Sequence[tuple] = lx.CHAPTER_EXAM) -> list[Column]:
     """Exam points, question patterns, pitfalls and tips."""
     both = F.concat(F.coalesce(title, F.lit("")), text)
-    return [by_rules(both, [(r[0], r[i]) for r in lx.CHAPTER_EXAM]) for i in range(1, 5)]
+    return [by_rules(both, [(r[0], r[i]) for r in rules]) for i in range(1, 5)]
 
 
-def sentence_type(s: Column) -> Column:
+def sentence_type(s: Column, kinds: Sequence[tuple] = lx.SENTENCE_TYPES) -> Column:
     out = F.lit(lx.OTHER_TYPE)
-    for name, words in reversed(lx.SENTENCE_TYPES):
+    for name, words in reversed(kinds):
         out = F.when(contains_any(s, words), name).otherwise(out)
     return out
 
 
-def focus_item(s: Column) -> list[Column]:
+def focus_item(s: Column, words: Sequence[str] = lx.KEY_WORDS) -> list[Column]:
     """``category, summary, importance, reason`` of a sentence, by key words."""
-    key = contains_any(s, lx.KEY_WORDS)
+    key = contains_any(s, words)
     both = lambda a, b: F.when(key, a).otherwise(b)
     return [
         both(lx.KEY, lx.NOT_KEY).alias("category"),

@@ -1,10 +1,15 @@
-"""Word lists and rules the text operators use by default; every operator takes its own instead.
+"""Word lists and rules the text operators use by default.
+
+Text functions take single lists as arguments; operators and jobs take a whole ``Lexicon``.
 
 Fixed values: results depend on these words and on their order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 #: Spoken fillers, removed when they stand alone, in this order.
 FILLERS = ["然后", "就是", "那么", "那个", "这个", "对吧", "你知道", "我觉得", "其实", "好吧", "呃", "嗯", "啊", "嘛", "吧", "呢"]
 #: Names of sounds that transcripts put into brackets.
@@ -73,3 +78,26 @@ TUTOR = "你是一名专业的助教，回答要简洁、准确。"
 
 #: File endings of media.
 MEDIA_ENDINGS = ["mp4", "mkv", "mov", "avi", "flv"]
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """The lists that operators work with; replace those of another language or subject."""
+
+    fillers: Sequence[str] = tuple(FILLERS)
+    sound_tags: Sequence[str] = tuple(SOUND_TAGS)
+    hesitations: str = HESITATIONS
+    question_particles: str = QUESTION_PARTICLES
+    connectives: Sequence[str] = tuple(CONNECTIVES)
+    chapter_phrases: Sequence[str] = tuple(CHAPTER_PHRASES)
+    title_topics: Sequence[str] = tuple(TITLE_TOPICS)
+    exam_points: Sequence[tuple[str, str]] = tuple(EXAM_POINTS)
+    exam_pitfalls: Sequence[tuple[str, str]] = tuple(EXAM_PITFALLS)
+    exam_tips: Sequence[tuple[str, str]] = tuple(EXAM_TIPS)
+    chapter_bullets: Sequence[tuple] = tuple(CHAPTER_BULLETS)
+    chapter_exam: Sequence[tuple] = tuple(CHAPTER_EXAM)
+    sentence_types: Sequence[tuple] = tuple(SENTENCE_TYPES)
+    key_words: Sequence[str] = tuple(KEY_WORDS)
+
+
+DEFAULT = Lexicon()

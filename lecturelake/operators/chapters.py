@@ -28,11 +28,13 @@ def number_chapters(paragraphs: DataFrame, threshold: int = 2, **how) -> DataFra
     return score_breaks(paragraphs, **how).withColumn("chapter_id", 1 + F.sum(cut).over(so_far))
 
 
-def segment_chapters(paragraphs: DataFrame, threshold: int = 2, **how) -> DataFrame:
+def segment_chapters(
+    paragraphs: DataFrame, threshold: int = 2, phrases: Sequence[str] = lx.CHAPTER_PHRASES, topics: Sequence[str] = lx.TITLE_TOPICS, **how
+) -> DataFrame:
     """Chapters with their paragraphs as ``items``, and a title: the topic of the first paragraph
     that has one, else what follows the first opening phrase, else the number."""
-    rows = number_chapters(paragraphs, threshold, **how).select(
-        "*", tx.title_topic(F.col("text")).alias("_topic"), tx.title_tail(F.col("text")).alias("_tail")
+    rows = number_chapters(paragraphs, threshold, phrases=phrases, **how).select(
+        "*", tx.title_topic(F.col("text"), topics).alias("_topic"), tx.title_tail(F.col("text"), phrases).alias("_tail")
     )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("paragraph_id")))
     item = F.struct("paragraph_id", "start_ms", "end_ms", "text")

@@ -12,22 +12,22 @@ from ..functions import text as tx
 FIELDS = ["category", "summary", "importance", "reason", "type"]
 
 
-def sentence_table(paragraphs: DataFrame) -> DataFrame:
+def sentence_table(paragraphs: DataFrame, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """One row per sentence: ``pos`` from 0 and ``sentence``."""
     keys = ["video_id", "paragraph_id", "start_ms", "end_ms"]
-    return paragraphs.select(*keys, F.posexplode(tx.sentences(F.col("text"))).alias("_p", "sentence")).select(*keys, F.col("_p").cast("long").alias("pos"), "sentence")
+    return paragraphs.select(*keys, F.posexplode(tx.sentences(F.col("text"), words.question_particles)).alias("_p", "sentence")).select(*keys, F.col("_p").cast("long").alias("pos"), "sentence")
 
 
-def by_rule(sentence: Column, kind: str) -> list[Column]:
+def by_rule(sentence: Column, kind: str, words: lx.Lexicon = lx.DEFAULT) -> list[Column]:
     """The fields of a sentence by key words (``category``), by kind of sentence (``type``), or both."""
     none = F.lit(None).cast("string")
-    words = tx.focus_item(sentence) if kind != "type" else [none.alias(c) for c in FIELDS[:4]]
-    return [*words, (tx.sentence_type(sentence) if kind != "category" else none).alias("type")]
+    by_words = tx.focus_item(sentence, words.key_words) if kind != "type" else [none.alias(c) for c in FIELDS[:4]]
+    return [*by_words, (tx.sentence_type(sentence, words.sentence_types) if kind != "category" else none).alias("type")]
 
 
-def focus_items(paragraphs: DataFrame, kind: str = "category") -> DataFrame:
+def focus_items(paragraphs: DataFrame, kind: str = "category", words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """Every sentence with its fields by rule."""
-    return sentence_table(paragraphs).select("*", *by_rule(F.col("sentence"), kind))
+    return sentence_table(paragraphs, words).select("*", *by_rule(F.col("sentence"), kind, words))
 
 
 def group_items(items: DataFrame) -> DataFrame:
@@ -60,17 +60,20 @@ def model_requests(paragraphs: DataFrame, system: str = "", model: str = "model"
     )
 
 
-def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool = True) -> DataFrame:
+def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool = True, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """Sentences with fields from stored model answers (``video_id, paragraph_id, content``).
 
     An answer counts if it is a list, and when ``strict`` only with as many elements as the paragraph
-    has sentences; otherwise the rules speak.  ``origin`` is ``model`` or ``rule``.
+    has sentences; otherwise the rules speak.  ``origin`` is ``model`` or ``rule``.  Of several answers
+    to a paragraph the first in text order that counts is used.
     """
     keys = ["video_id", "paragraph_id", "start_ms", "end_ms"]
-    rows = paragraphs.select(*keys, tx.sentences(F.col("text")).alias("_s")).where(F.size("_s") > 0)
-    found = responses.select("video_id", "paragraph_id", tx.json_array(F.col("content")).alias("_a"))
-    rows = rows.join(found, ["video_id", "paragraph_id"], "left")
-    fits = F.col("_a").isNotNull() & ((F.size("_a") == F.size("_s")) if strict else F.lit(True))
+    # Paragraphs without a sentence give no row by themselves: a filter would split every text twice.
+    rows = paragraphs.select(*keys, tx.sentences(F.col("text"), words.question_particles).alias("_s"))
+    given = responses.groupBy("video_id", "paragraph_id").agg(F.array_sort(F.collect_set("content")).alias("_c"))
+    found = given.select("video_id", "paragraph_id", F.transform("_c", tx.json_array).alias("_c"))
+    fits = lambda a: a.isNotNull() & ((F.size(a) == F.size("_s")) if strict else F.lit(True))
+    rows = rows.join(found, ["video_id", "paragraph_id"], "left").select(*keys, "_s", F.get(F.filter("_c", fits), F.lit(0)).alias("_a"))
     names = ["类别", "总结", "重要性说明", "非重点原因", "type"]
 
     def model(v: Column) -> Column:
@@ -78,13 +81,14 @@ def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool =
         own = [field(n).alias(c) for n, c in zip(names, FIELDS, strict=True)]
         return F.struct(F.coalesce(field("句子"), field("text")).alias("sentence"), *own, F.lit("model").alias("origin"))
 
-    rule = lambda s: F.struct(s.alias("sentence"), *by_rule(s, "category" if strict else "type"), F.lit("rule").alias("origin"))
-    items = F.when(fits, F.transform("_a", model)).otherwise(F.transform("_s", rule))
+    rule = lambda s: F.struct(s.alias("sentence"), *by_rule(s, "category" if strict else "type", words), F.lit("rule").alias("origin"))
+    answered = F.col("_a").isNotNull() & (F.size("_s") > 0)
+    items = F.when(answered, F.transform("_a", model)).otherwise(F.transform("_s", rule))
     rows = rows.select(*keys, F.posexplode(items).alias("_p", "_i"))
     return rows.select(*keys, F.col("_p").cast("long").alias("pos"), "_i.*")
 
 
-def _is_key() -> Column:
+def is_key() -> Column:
     return F.coalesce(F.col("category") == lx.KEY, F.lit(False))
 
 
@@ -97,7 +101,7 @@ def tenths(part: Column, whole: Column) -> Column:
 
 def focus_stats(items: DataFrame) -> DataFrame:
     """Counts and percentages of key sentences per lecture, and over all (``video_id`` null)."""
-    per = items.rollup("video_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(_is_key()).alias("key_count"), F.grouping("video_id").alias("_all"))
+    per = items.rollup("video_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(is_key()).alias("key_count"), F.grouping("video_id").alias("_all"))
     per = per.where("_all = 1 or video_id is not null").withColumn("_t", tenths(F.col("key_count"), F.col("total")))
     return per.select(
         "video_id", "total", "key_count", (F.col("_t") / 10).alias("key_pct"),
@@ -107,7 +111,7 @@ def focus_stats(items: DataFrame) -> DataFrame:
 
 def focus_rank(items: DataFrame) -> DataFrame:
     """``rank`` within a lecture: key sentences first, otherwise in order."""
-    key = _is_key() | F.coalesce(F.col("type") == lx.KEY_TYPE, F.lit(False))
+    key = is_key() | F.coalesce(F.col("type") == lx.KEY_TYPE, F.lit(False))
     rows = items.withColumn("is_key", key)
     order = W.partitionBy("video_id").orderBy(F.col("is_key").desc(), "paragraph_id", "pos")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
@@ -116,12 +120,12 @@ def focus_rank(items: DataFrame) -> DataFrame:
 def key_list(items: DataFrame) -> DataFrame:
     """Key sentences, numbered within each lecture."""
     order = W.partitionBy("video_id").orderBy("paragraph_id", "pos")
-    return items.where(_is_key()).withColumn("number", F.row_number().over(order).cast("long"))
+    return items.where(is_key()).withColumn("number", F.row_number().over(order).cast("long"))
 
 
 def non_key_examples(items: DataFrame, first: int = 10) -> DataFrame:
     """The first other sentences of each lecture, numbered, and ``rest``: how many are left out."""
     lecture = W.partitionBy("video_id")
-    rows = items.where(~_is_key()).withColumn("number", F.row_number().over(lecture.orderBy("paragraph_id", "pos")).cast("long"))
+    rows = items.where(~is_key()).withColumn("number", F.row_number().over(lecture.orderBy("paragraph_id", "pos")).cast("long"))
     rows = rows.withColumn("rest", F.greatest(F.count(F.lit(1)).over(lecture) - first, F.lit(0)).cast("long"))
     return rows.where(F.col("number") <= first)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import lexicon as lx
 from ..functions import text as tx
 from ..functions.helpers import greedy_fill
 from ..schemas import by_segment, segment_order
@@ -15,13 +16,13 @@ def order_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("seq", F.row_number().over(by_segment()).cast("long"))
 
 
-def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int = 1500, style: str = "student") -> DataFrame:
+def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int = 1500, style: str = "student", words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """Paragraphs: cleaned segments are appended until they have ``min_chars`` characters.
 
     ``max_gap_ms`` is accepted and has no effect: a paragraph that a pause could close is long
     enough to have been closed before.
     """
-    clean = segments.select("video_id", *[c.alias(f"_o{i}") for i, c in enumerate(segment_order())], tx.normalize(F.col("src")).alias("t"))
+    clean = segments.select("video_id", *[c.alias(f"_o{i}") for i, c in enumerate(segment_order())], tx.normalize(F.col("src"), fillers=words.fillers, tags=words.sound_tags, hesitations=words.hesitations).alias("t"))
     # Empty ones count nothing and go after the fill: a filter here would clean every text twice.
     clean = clean.withColumn("_size", F.when(F.coalesce("t", F.lit("")) == "", 0).otherwise(F.length("t") + 1))
     order = [f"_o{i}" for i in range(5)]
@@ -37,5 +38,5 @@ def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int =
         "paragraph_id",
         F.get("s", F.lit(0))["_o0"].alias("start_ms"),
         last["_o1"].alias("end_ms"),
-        tx.finalize(tx.finalize(text), style).alias("text"),
+        tx.finalize(tx.finalize(text, words=words), style, words).alias("text"),
     )

@@ -6,11 +6,12 @@ Fixed values: headings and line forms.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
-from .focus import focus_stats, key_list, non_key_examples
+from .focus import is_key, tenths
 
 RULE, NOTHING = "=" * 60, "暂无数据"
 
@@ -122,9 +123,8 @@ def rule_report(rules: DataFrame, style: str = "exam") -> DataFrame:
 
 
 def focus_report(items: DataFrame) -> DataFrame:
-    """Statistics, all key sentences, and the first ten others of each lecture."""
+    """Statistics, all key sentences, and the first ten others of each lecture, in one pass over it."""
     c = F.col
-    stats = focus_stats(items).where("video_id is not null")
     percent = lambda x: F.format_string("%.1f", x)
     top = F.concat(
         _title("🎯 LLM重点分析报告"),
@@ -137,19 +137,27 @@ def focus_report(items: DataFrame) -> DataFrame:
         ),
     )
 
-    def stacked(rows: DataFrame, mark: str, lines: list[tuple[str, str]], rule: int, name: str) -> DataFrame:
-        head = _line(f"【{mark} ", F.format_string("%02d", c("number")), "】 ", tx.minutes(c("start_ms")))
-        block = F.array(head, *[_line(h, F.coalesce(c(n), F.lit(""))) for h, n in lines], F.lit("-" * rule), F.lit(""))
-        own = F.array_sort(F.collect_list(F.struct("number", block.alias("lines"))))
-        rest = F.max(c("rest")) if "rest" in rows.columns else F.lit(0)
-        return rows.groupBy("video_id").agg(F.flatten(F.transform(own, lambda x: x["lines"])).alias(name), rest.alias(f"_rest_{name}"))
+    so_far = W.partitionBy("video_id").orderBy("paragraph_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = items.where("video_id is not null").withColumn("_k", is_key().cast("long")).withColumn("_number", F.sum("_k").over(so_far))
+    rows = rows.withColumn("_number", F.when(c("_k") == 1, c("_number")).otherwise(F.count(F.lit(1)).over(so_far) - c("_number")))
 
-    keys = stacked(key_list(items), lx.KEY, [("📝 原句：", "sentence"), ("💎 总结：", "summary"), ("⭐ 重要性：", "importance")], 40, "_keys")
-    others = stacked(non_key_examples(items), lx.NOT_KEY, [("📝 原句：", "sentence"), ("📄 原因：", "reason")], 30, "_others")
-    rows = stats.join(keys, "video_id", "left").join(others, "video_id", "left")
+    def stacked(mark: str, lines: list[tuple[str, str]], rule: int, where: Column) -> Column:
+        """The lines of the sentences ``where``, in order."""
+        head = _line(f"【{mark} ", F.format_string("%02d", c("_number")), "】 ", tx.minutes(c("start_ms")))
+        block = F.array(head, *[_line(h, F.coalesce(c(n), F.lit(""))) for h, n in lines], F.lit("-" * rule), F.lit(""))
+        own = F.array_sort(F.collect_list(F.when(where, F.struct("_number", block.alias("lines")))))
+        return F.flatten(F.transform(own, lambda x: x["lines"]))
+
+    keys = stacked(lx.KEY, [("📝 原句：", "sentence"), ("💎 总结：", "summary"), ("⭐ 重要性：", "importance")], 40, c("_k") == 1)
+    others = stacked(lx.NOT_KEY, [("📝 原句：", "sentence"), ("📄 原因：", "reason")], 30, (c("_k") == 0) & (c("_number") <= 10))
+    rows = rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"), F.sum("_k").alias("key_count"), keys.alias("_keys"), others.alias("_others"))
+    rows = rows.withColumn("_t", tenths(c("key_count"), c("total"))).select(
+        "*", (c("_t") / 10).alias("key_pct"), ((1000 - c("_t")) / 10).alias("non_key_pct"), (c("total") - c("key_count")).alias("non_key_count")
+    )
     none = F.array().cast("array<string>")
-    part = lambda title, name: F.when(c(name).isNotNull(), F.concat(_lit(title, "=" * 50, ""), c(name))).otherwise(none)
-    more = F.when(c("_rest__others") > 0, F.array(_line("... 还有 ", c("_rest__others").cast("string"), " 个非重点句子未显示"), F.lit(""))).otherwise(none)
+    part = lambda title, name: F.when(F.size(name) > 0, F.concat(_lit(title, "=" * 50, ""), c(name))).otherwise(none)
+    rest = c("non_key_count") - 10
+    more = F.when(rest > 0, F.array(_line("... 还有 ", rest.cast("string"), " 个非重点句子未显示"), F.lit(""))).otherwise(none)
     return rows.select(
         "video_id",
         _join(top, part("🔥 重点内容分析：", "_keys"), part("📝 非重点内容示例（前10个）：", "_others"), more, _lit("✅ 分析完成！建议重点关注标为🔥的内容。")).alias("report"),

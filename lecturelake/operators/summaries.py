@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,38 +23,52 @@ def chapter_summaries(chapters: DataFrame, line: int = 80, paragraph: int = 240)
     )
 
 
-def _found(rules: list[tuple[str, str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(p)), F.lit(x)) for p, x in rules]))
+LISTS = ("exam_points", "pitfalls", "tips")
+
+
+def exam_lists(exam: bool, words: lx.Lexicon) -> list[Column]:
+    """The exam lists over all ``text`` of a group; empty where they are not asked for."""
+    none = F.array().cast("array<string>")
+
+    def found(rules: Sequence[tuple[str, str]]) -> Column:
+        return F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(p)), F.lit(x)) for p, x in rules]))
+
+    own = (words.exam_points, words.exam_pitfalls, words.exam_tips)
+    return [(found(r) if exam and r else F.first(none)).alias(n) for r, n in zip(own, LISTS, strict=True)]
+
+
+def first_sentences(rows: DataFrame, group: list[str], order: list[str], *others: Column) -> DataFrame:
+    """Per group, ``_t``: its ``text`` in order, joined by 。, up to the second sentence; and ``others``.
+
+    That is all of it that a short summary shows.
+    """
+    before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    count = F.size(F.filter(F.split(F.regexp_replace("text", f"(?U)^{tx.SPACE}+", ""), f"(?U)[。！？]{tx.SPACE}*"), lambda x: x != ""))
+    rows = rows.withColumn("_n", F.greatest(count, F.lit(0))).withColumn("_near", F.coalesce(F.sum("_n").over(before), F.lit(0)) < 2)
+    own = F.array_sort(F.collect_list(F.when(F.col("_near"), F.struct(*order, "text"))))
+    per = rows.groupBy(*group).agg(own.alias("_s"), F.bool_and("_near").alias("_whole"), *others)
+    text = F.concat(F.array_join(F.transform("_s", lambda x: x["text"]), "。"), F.when(F.col("_whole"), "").otherwise("。"))
+    return per.withColumn("_t", text).drop("_s", "_whole")
 
 
-def global_summary(chapters: DataFrame, line: int = 100, paragraph: int = 360) -> DataFrame:
-    """One row per lecture: ``one_paragraph``, ``one_line`` and the exam lists over all its text.
+def global_summary(chapters: DataFrame, line: int = 100, paragraph: int = 360, exam: bool = False, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
+    """One row per lecture: ``one_paragraph``, ``one_line`` and, with ``exam``, the exam lists over all
+    its text (empty lists without).
 
     A summary uses two sentences at most, so only the items up to the second sentence are joined,
     and rules, which never span items, are looked for item by item.
     """
     rows = chapters.select("video_id", "chapter_id", F.posexplode("items").alias("pos", "item")).select("video_id", "chapter_id", "pos", F.col("item.text").alias("text"))
     rows = rows.where(F.length("text") > 0)
-    before = W.partitionBy("video_id").orderBy("chapter_id", "pos").rowsBetween(W.unboundedPreceding, -1)
-    count = F.size(F.filter(F.split(F.regexp_replace("text", f"(?U)^{tx.SPACE}+", ""), f"(?U)[。！？]{tx.SPACE}*"), lambda x: x != ""))
-    rows = rows.withColumn("_n", count).withColumn("_near", F.coalesce(F.sum("_n").over(before), F.lit(0)) < 2)
-    own = F.struct("chapter_id", "pos", "text")
-    per = rows.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_near"), own))).alias("_s"),
-        F.bool_and("_near").alias("_whole"),
-        _found(lx.EXAM_POINTS).alias("exam_points"),
-        _found(lx.EXAM_PITFALLS).alias("pitfalls"),
-        _found(lx.EXAM_TIPS).alias("tips"),
-    )
-    text = F.concat(F.array_join(F.transform("_s", lambda x: x["text"]), "。"), F.when(F.col("_whole"), "").otherwise("。"))
+    per = first_sentences(rows, ["video_id"], ["chapter_id", "pos"], *exam_lists(exam, words))
     # A lecture whose chapters hold no text still has its row.
-    per = chapters.select("video_id").distinct().join(per.withColumn("_t", text), "video_id", "left")
+    per = chapters.select("video_id").distinct().join(per, "video_id", "left")
     text, none = F.coalesce("_t", F.lit("")), F.array().cast("array<string>")
     return per.select(
         "video_id",
         tx.short_summary(text, paragraph).alias("one_paragraph"),
         tx.short_summary(text, line).alias("one_line"),
-        *[F.coalesce(c, none).alias(c) for c in ("exam_points", "pitfalls", "tips")],
+        *[F.coalesce(c, none).alias(c) for c in LISTS],
     )
 
 
@@ -68,11 +84,11 @@ def collapse_items(items: Column, max_len: int = 3000) -> Column:
     return F.array_join(F.aggregate(items, start, add)["a"], "。")
 
 
-def rule_summaries(chapters: DataFrame, style: str = "exam", max_len: int = 3000) -> DataFrame:
+def rule_summaries(chapters: DataFrame, style: str = "exam", max_len: int = 3000, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
     """``summary_title`` and ``bullets`` of each chapter; for ``exam`` four lists more."""
     rows = chapters.select("video_id", "chapter_id", "title", collapse_items(F.col("items"), max_len).alias("_t"))
     title, text = F.col("title"), F.col("_t")
     named = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(lx.UNTITLED)
     names = ["exam_points", "question_patterns", "pitfalls", "tips"]
-    exam = [c.alias(n) for c, n in zip(tx.chapter_exam(title, text), names, strict=True)] if style == "exam" else []
-    return rows.select("video_id", "chapter_id", "title", named.alias("summary_title"), tx.chapter_bullets(title, text).alias("bullets"), *exam)
+    exam = [c.alias(n) for c, n in zip(tx.chapter_exam(title, text, words.chapter_exam), names, strict=True)] if style == "exam" else []
+    return rows.select("video_id", "chapter_id", "title", named.alias("summary_title"), tx.chapter_bullets(title, text, words.chapter_bullets).alias("bullets"), *exam)

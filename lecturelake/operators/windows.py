@@ -6,57 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import lexicon as lx
 from ..functions import text as tx
 from ..functions.helpers import step_windows
-from ..schemas import by_segment
+from ..schemas import by_segment, segment_order
+from .summaries import LISTS, exam_lists, first_sentences
 
 
 def number_windows(segments: DataFrame, window_sec: int = 60) -> DataFrame:
     """Segments with ``first_ms``, ``seq`` (from 0) and ``window_idx``.
 
     Windows start with the lecture.  A segment that ends after the current window moves on by
-    exactly one window.  Where ends never go back this has a closed form with a running minimum;
-    lectures where they do go through a helper that steps along.
+    exactly one window, so the number depends on all segments before; a helper steps along rows that
+    one exchange and one sort have laid out, with a constant state.
     """
-    width = window_sec * 1000
-    lecture = W.partitionBy("video_id")
-    rows = segments.select(
+    laid = segments.repartition("video_id").sortWithinPartitions("video_id", *segment_order())
+    rows = laid.select(
         "*",
         (F.row_number().over(by_segment()) - 1).cast("long").alias("seq"),
         F.first("start_ms").over(by_segment().rowsBetween(W.unboundedPreceding, 0)).alias("first_ms"),
-        (F.col("end_ms") < F.lag("end_ms").over(by_segment())).cast("int").alias("_back"),
-    ).withColumn("_any", F.coalesce(F.max("_back").over(lecture), F.lit(0)))
-    need = F.greatest(F.lit(0), F.floor((F.col("end_ms") - F.col("first_ms") + width - 1) / width) - 1)
-    so_far = W.partitionBy("video_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    i = F.col("seq")
-    index = F.least(i + 1, i + F.min(F.col("_need") - i).over(so_far)).cast("long")
-    plain = rows.where("_any = 0").withColumn("_need", need).withColumn("window_idx", index).drop("_need", "_back", "_any")
-    other = rows.where("_any = 1").drop("_back", "_any").repartition("video_id").sortWithinPartitions("video_id", "seq")
-    return plain.unionByName(step_windows(other, "video_id", "start_ms", "end_ms", width, "window_idx"))
+    )
+    return step_windows(rows.sortWithinPartitions("video_id", "seq"), "video_id", "start_ms", "end_ms", window_sec * 1000, "window_idx")
 
 
-def micro_summaries(segments: DataFrame, window_sec: int = 60, max_len: int = 60) -> DataFrame:
-    """One row per window: its bounds, a short summary of its raw text, and the exam lists.
+def micro_summaries(segments: DataFrame, window_sec: int = 60, max_len: int = 60, exam: bool = False, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
+    """One row per window: its bounds, a short summary of its raw text, and with ``exam`` the exam lists
+    (empty lists without).
 
-    A first segment longer than a window leaves an empty window before it.
+    A first segment longer than a window leaves an empty window before it.  Of a window's text only
+    what the summary can show is joined, so a window may hold any number of segments.
     """
     width = window_sec * 1000
-    rows = number_windows(segments, window_sec)
-    found = rows.groupBy("video_id", "window_idx").agg(
-        F.min("first_ms").alias("first_ms"), F.array_sort(F.collect_list(F.struct("seq", "src"))).alias("_s")
-    )
-    text = F.array_join(F.transform("_s", lambda x: x["src"]), "。")
-    found = found.select("video_id", "window_idx", "first_ms", text.alias("text"), (F.get("_s", F.lit(0))["seq"] == 0).alias("_opens"))
+    rows = number_windows(segments, window_sec).withColumnRenamed("src", "text")
+    bounds = F.min("first_ms").alias("first_ms"), (F.min("seq") == 0).alias("_opens")
+    found = first_sentences(rows, ["video_id", "window_idx"], ["seq"], *bounds, *exam_lists(exam, words))
     found = found.withColumn("_w", F.when(F.col("_opens") & (F.col("window_idx") == 1), F.array(F.lit(0).cast("long"), "window_idx")).otherwise(F.array("window_idx")))
-    found = found.select("video_id", "first_ms", F.col("window_idx").alias("_own"), F.explode("_w").alias("window_idx"), "text")
-    text = F.when(F.col("window_idx") == F.col("_own"), F.col("text")).otherwise("")
+    found = found.select(F.col("window_idx").alias("_own"), F.explode("_w").alias("window_idx"), "video_id", "first_ms", "_t", *LISTS)
+    here = F.col("window_idx") == F.col("_own")
     start = F.col("first_ms") + F.col("window_idx") * width
-    return found.select("video_id", "window_idx", start.alias("start_ms"), (start + width).alias("end_ms"), text.alias("text")).select(
-        "video_id", "window_idx", "start_ms", "end_ms",
-        tx.short_summary(F.col("text"), max_len).alias("summary"),
-        tx.exam_points(F.col("text")).alias("exam_points"),
-        tx.exam_pitfalls(F.col("text")).alias("pitfalls"),
-        tx.exam_tips(F.col("text")).alias("tips"),
+    return found.select("video_id", "window_idx", start.alias("start_ms"), (start + width).alias("end_ms"), F.when(here, F.col("_t")).otherwise("").alias("_t"),
+                        *[F.when(here, F.col(c)).otherwise(F.array().cast("array<string>")).alias(c) for c in LISTS]).select(
+        "video_id", "window_idx", "start_ms", "end_ms", tx.short_summary(F.col("_t"), max_len).alias("summary"), *LISTS
     )
-
-

@@ -330,6 +330,8 @@ w AS (SELECT video_id, i, n, CASE WHEN e > start_ms + 60000 THEN 1 ELSE 0 END AS
   UNION ALL SELECT o.video_id, o.i, o.n, w.k + CASE WHEN o.e > w.s + (w.k + 1) * 60000 THEN 1 ELSE 0 END, w.s FROM w JOIN o ON o.video_id = w.video_id AND o.i = w.i + 1)
 SELECT video_id, n, CAST(k AS BIGINT) AS window_idx FROM w""",
         "micro_summaries": seg[:-1] + MICRO + f", {MICRO_OUT} SELECT video_id, window_idx, start_ms, end_ms, summary, {flat('exam_points', 'pitfalls', 'tips')} FROM m3",
+        "micro_summaries_plain": seg[:-1] + MICRO + f", {MICRO_OUT} SELECT video_id, window_idx, start_ms, end_ms, summary, '' AS exam_points, '' AS pitfalls, '' AS tips FROM m3",
+        "global_summary_plain": f"{chs[:-1]}, {GLOBAL} SELECT video_id, one_paragraph, one_line, '' AS exam_points, '' AS pitfalls, '' AS tips FROM g",
         "chapter_summaries": f"{chs[:-1]}, {CHAPTER_SUMS} SELECT * FROM cs",
         "global_summary": f"{chs[:-1]}, {GLOBAL} SELECT video_id, one_paragraph, one_line, {flat('exam_points', 'pitfalls', 'tips')} FROM g",
         "collapsed_text": f"{chs[:-1]}, {collapse(600)} SELECT video_id, chapter_id, x AS text FROM cx",
@@ -370,7 +372,7 @@ SELECT video_id, '《学习笔记》' || chr(10) || chr(10) || '一句话 KPI：
         "chapters_roundtrip": chs + "SELECT video_id, chapter_id, title, n_items, array_to_string(texts, '|') AS texts FROM ch",
         "paragraphs_roundtrip": par + "SELECT video_id, paragraph_id, start_ms, end_ms, text FROM par",
         "report_roundtrip": chs + "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(report, chr(10))) AS line FROM (" + report(["=== 课程章节分割结果 ===", ""], "ch", "chapter_id", CHAPTER_BLOCK) + ")) GROUP BY line",
-        "media_list": "SELECT true AS some, true AS distinct_names, true AS with_bytes",
+        "media_list": "SELECT 'group-' || lpad(CAST(g AS VARCHAR), 2, '0') AS folder, row_number() OVER (ORDER BY g) AS place FROM (SELECT DISTINCT doc_id % 20 AS g FROM documents)",
         "pipeline_chapters": job + chapter_ctes("pp") + " SELECT video_id, chapter_id, title, start_ms, end_ms, n_items FROM ch",
         "pipeline_global": job + chapter_ctes("pp") + f", {GLOBAL} SELECT video_id, one_line, {flat('exam_points')} FROM g",
         "focus_job": f"WITH {ITEMS}{RESPONSES}, al AS (SELECT * FROM (" + aligned("listed AND k = len(ss)", "category / CAST(NULL AS VARCHAR)").split(RESPONSES, 1)[1] + ")) " + stats("al"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..lexicon import DEFAULT, Lexicon
 from ..operators.chapters import segment_chapters
 from ..operators.focus import align_responses, focus_items, focus_rank, focus_stats, key_list, non_key_examples
 from ..operators.paragraphs import merge_segments
@@ -21,28 +22,38 @@ def run_pipeline(
     threshold: int = 2,
     window_sec: int = 60,
     style: str = "student",
+    exam: bool = False,
+    focus: bool = False,
+    responses: DataFrame | None = None,
+    words: Lexicon = DEFAULT,
     hold: Callable[[DataFrame], DataFrame] = DataFrame.persist,
 ) -> dict[str, DataFrame]:
     """Paragraphs, chapters and all summaries from segments.
 
+    ``exam`` fills the exam lists of minute and lecture summaries.  ``focus`` (or ``responses``, stored
+    model answers) adds the results of ``run_focus`` over the paragraphs, as ``focus_items`` and so on.
     ``hold`` keeps what several outputs read (paragraphs and chapters): memory and disk by default;
     pass a function that writes a table where lineage should be cut.
     """
-    paragraphs = hold(merge_segments(segments, min_chars, style=style))
-    chapters = hold(segment_chapters(paragraphs, threshold, min_gap_ms=min_gap_ms, min_len_chars=min_len_chars))
-    return {
+    paragraphs = hold(merge_segments(segments, min_chars, style=style, words=words))
+    lists = {"phrases": words.chapter_phrases, "topics": words.title_topics}
+    chapters = hold(segment_chapters(paragraphs, threshold, min_gap_ms=min_gap_ms, min_len_chars=min_len_chars, **lists))
+    out = {
         "paragraphs": paragraphs,
         "chapters": chapters,
-        "micro_summaries": micro_summaries(segments, window_sec),
+        "micro_summaries": micro_summaries(segments, window_sec, exam=exam, words=words),
         "chapter_summaries": chapter_summaries(chapters),
-        "global_summary": global_summary(chapters),
-        "rules_plain": rule_summaries(chapters, "plain"),
-        "rules_exam": rule_summaries(chapters, "exam"),
+        "global_summary": global_summary(chapters, exam=exam, words=words),
+        "rules_plain": rule_summaries(chapters, "plain", words=words),
+        "rules_exam": rule_summaries(chapters, "exam", words=words),
     }
+    if focus or responses is not None:
+        out |= {f"focus_{k}": v for k, v in run_focus(paragraphs, responses, hold=hold, words=words).items()}
+    return out
 
 
-def run_focus(paragraphs: DataFrame, responses: DataFrame | None = None, strict: bool = True, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> dict[str, DataFrame]:
+def run_focus(paragraphs: DataFrame, responses: DataFrame | None = None, strict: bool = True, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist, words: Lexicon = DEFAULT) -> dict[str, DataFrame]:
     """Sentence analysis by rule, or by stored answers where they fit, with statistics and ranks."""
-    items = focus_items(paragraphs, "category" if strict else "type") if responses is None else align_responses(paragraphs, responses, strict)
+    items = focus_items(paragraphs, "category" if strict else "type", words) if responses is None else align_responses(paragraphs, responses, strict, words)
     items = hold(items)
     return {"items": items, "stats": focus_stats(items), "ranked": focus_rank(items), "keys": key_list(items), "others": non_key_examples(items)}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -25,8 +27,10 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that all tasks see: in the shared folder where one is configured."""
+    """A new folder that all tasks see: in the shared folder; a local session may do without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lectures-{uuid.uuid4().hex}"
 
 
@@ -113,12 +117,20 @@ def micro_windows_stepped(spark, d):
     return windows.number_windows(rows.withColumn("end_ms", back)).select("video_id", "n", "window_idx")
 
 
-def micro_summaries(spark, d):
-    out = windows.micro_summaries(fx.segments(spark, d))
+def _micro(spark, d, exam):
+    out = windows.micro_summaries(fx.segments(spark, d), exam=exam)
     lists = [_flat(c).alias(c) for c in ("exam_points", "pitfalls", "tips")]
     return out.select("video_id", "window_idx", "start_ms", "end_ms", "summary", *lists)
 
 
+def micro_summaries(spark, d):
+    return _micro(spark, d, True)
+
+
+def micro_summaries_plain(spark, d):
+    return _micro(spark, d, False)
+
+
 def _chapters(spark, d):
     return chapters.segment_chapters(fx.paragraphs(spark, d))
 
@@ -127,11 +139,19 @@ def chapter_summaries(spark, d):
     return summaries.chapter_summaries(_chapters(spark, d))
 
 
-def global_summary(spark, d):
-    out = summaries.global_summary(_chapters(spark, d))
+def _global(spark, d, exam):
+    out = summaries.global_summary(_chapters(spark, d), exam=exam)
     return out.select("video_id", "one_paragraph", "one_line", *[_flat(c).alias(c) for c in ("exam_points", "pitfalls", "tips")])
 
 
+def global_summary(spark, d):
+    return _global(spark, d, True)
+
+
+def global_summary_plain(spark, d):
+    return _global(spark, d, False)
+
+
 def collapsed_text(spark, d):
     return _chapters(spark, d).select("video_id", "chapter_id", summaries.collapse_items(F.col("items"), 600).alias("text"))
 
@@ -195,8 +215,11 @@ def model_requests_lines(spark, d):
 
 
 def _aligned(spark, d, strict):
+    """Every answer is stored twice, and one that is no list comes with it."""
     rows = fx.paragraphs(spark, d)
-    out = focus.align_responses(rows, fx.responses(rows), strict)
+    given = fx.responses(rows)
+    other = given.withColumn("content", F.lit('{"text": "no list"}'))
+    out = focus.align_responses(rows, given.unionByName(given).unionByName(other), strict)
     return out.select("video_id", "paragraph_id", "pos", "sentence", "category", "type", "origin")
 
 
@@ -235,7 +258,7 @@ def chapter_report(spark, d):
 
 def summary_report(spark, d):
     segs, chs = fx.segments(spark, d), _chapters(spark, d)
-    parts = (windows.micro_summaries(segs), summaries.chapter_summaries(chs), summaries.global_summary(chs))
+    parts = (windows.micro_summaries(segs, exam=True), summaries.chapter_summaries(chs), summaries.global_summary(chs, exam=True))
     return reports.summary_report(segs, *parts)
 
 
@@ -283,13 +306,15 @@ def report_roundtrip(spark, d):
 
 
 def media_list(spark, d):
-    """The listing of the JSON Lines files of the lectures, taken for media."""
+    """The listing of files of twenty groups of lectures, taken for media: the folder that a path names,
+    and its place in the listing."""
     path = _scratch(spark)
-    jsonl.write_jsonl(fx.media(spark, d), path)
-    found = media.list_media(spark, path, ["json"])
-    return found.agg(
-        (F.count(F.lit(1)) > 0).alias("some"), (F.max("same_name") == 1).alias("distinct_names"), (F.sum("bytes") > 0).alias("with_bytes")
-    )
+    folder = F.concat(F.lit("group-"), F.lpad((F.substr("video_id", F.lit(2)).cast("long") % 20).cast("string"), 2, "0"))
+    fx.media(spark, d).withColumn("folder", folder).repartition("folder").write.partitionBy("folder").json(path)
+    found = media.list_media(spark, path, ["json"]).where("bytes > 0")
+    # A listing has one row a file, so its rows may be numbered in one place.
+    place = F.row_number().over(W.orderBy(F.monotonically_increasing_id()))
+    return found.select(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder"), place.cast("long").alias("place"))
 
 
 def pipeline_chapters(spark, d):
@@ -299,7 +324,7 @@ def pipeline_chapters(spark, d):
 
 
 def pipeline_global(spark, d):
-    out = run_pipeline(fx.segments(spark, d), hold=_keep)["global_summary"]
+    out = run_pipeline(fx.segments(spark, d), exam=True, hold=_keep)["global_summary"]
     return out.select("video_id", "one_line", _flat("exam_points").alias("exam_points"))
 
 

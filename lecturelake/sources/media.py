@@ -13,13 +13,13 @@ from .. import lexicon as lx
 def list_media(spark: SparkSession, root: str, endings: Sequence[str] = lx.MEDIA_ENDINGS) -> DataFrame:
     """``video_id`` (the name without ending), ``path, bytes`` and how many files share the name.
 
-    Only metadata is read.  Order by ``path`` for a listing; empty files are not listed.
+    In order of ``path``.  Only metadata is read; empty files are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     media = files.where(F.lower("path").rlike(rf"\.({'|'.join(endings)})$"))
     media = media.withColumn("video_id", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
     same = media.groupBy("video_id").agg(F.count(F.lit(1)).alias("same_name"))
-    return media.join(same, "video_id").select("video_id", "path", "bytes", "same_name")
+    return media.join(same, "video_id").select("video_id", "path", "bytes", "same_name").orderBy("path")
 
 
 def plan_chunks(media: DataFrame, segment_time: int = 120) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lecturelake import lexicon
 from lecturelake.functions.helpers import greedy_fill, step_windows
 from lecturelake.operators import captions, chapters, chat, focus, paragraphs, reports, summaries, windows
 from lecturelake.plans.pipeline import run_focus, run_pipeline
@@ -110,8 +111,9 @@ def test_summaries_of_chapters(spark):
     df = spark.createDataFrame([("v", i + 1, "", 0, 0, [(0, 0, t) for t in own]) for i, own in enumerate(texts)], f"video_id string, chapter_id long, title string, start_ms long, end_ms long, items array<{item}>")
     out = {r["chapter_id"]: r["one_line"] for r in summaries.chapter_summaries(df).collect()}
     assert out == {1: "短，第二", 2: "周期", 3: ""}
-    whole = summaries.global_summary(df).first()
+    plain, whole = summaries.global_summary(df).first(), summaries.global_summary(df, exam=True).first()
     assert (whole["one_line"], whole["exam_points"]) == ("短，第二 ", ["周期性质相互推出需同时条件"])
+    assert (plain["one_line"], plain["exam_points"], plain["pitfalls"], plain["tips"]) == ("短，第二 ", [], [], [])
     assert [r["summary_title"] for r in summaries.rule_summaries(df).collect()] == ["本章内容"] * 3
     assert df.select(summaries.collapse_items(F.col("items"), 2)).orderBy("chapter_id").first()[0] == "短。第二"
 
@@ -167,6 +169,66 @@ def test_align(spark):
     assert sorted((r["paragraph_id"], r["sentence"], r["type"]) for r in loose.collect())[-1] == (1, "x", "meta")
 
 
+def test_one_answer_a_paragraph_counts(spark):
+    """Retries don't multiply sentences: the first answer that fits is used, whatever the order of rows."""
+    df = spark.createDataFrame([("v", 0, 0, 1, "甲。乙。"), ("v", 1, 0, 1, "")], PARAGRAPH)
+    one = '[{"句子":"a","类别":"重点"},{"句子":"b"}]'
+    answers = [("v", 0, "none"), ("v", 0, '[{"句子":"z"}]'), ("v", 0, one.replace("a", "c")), ("v", 0, one), ("v", 0, one), ("v", 1, one), ("v", 0, None)]
+    for given in (answers, answers[::-1]):
+        frame = spark.createDataFrame(given, "video_id string, paragraph_id long, content string").repartition(3)
+        got = focus.align_responses(df, frame).orderBy("paragraph_id", "pos").collect()
+        assert [(r["paragraph_id"], r["pos"], r["sentence"], r["origin"]) for r in got] == [(0, 0, "a", "model"), (0, 1, "b", "model")]
+
+
+def test_exam_lists_are_asked_for(spark):
+    df = segs(spark, [("v", 0, 1, "导数"), ("v", 1, 2, "奇函数加常数")])
+    plain, exam = windows.micro_summaries(df).first(), windows.micro_summaries(df, exam=True).first()
+    assert plain["summary"] == exam["summary"] == "导数，奇函数加常数"
+    assert [plain[c] for c in ("exam_points", "pitfalls", "tips")] == [[], [], []]
+    assert [len(exam[c]) for c in ("exam_points", "pitfalls", "tips")] == [1, 1, 1]
+    out = run_pipeline(df)
+    assert "🎯" not in reports.micro_report(out["micro_summaries"]).first()["report"]
+    assert "🎯" in reports.micro_report(run_pipeline(df, exam=True)["micro_summaries"]).first()["report"]
+
+
+def test_windows_of_many_segments(spark):
+    """Of a window only what a summary shows is joined; blank texts count nothing."""
+    rows = [("v", 0, 1, "。"), ("v", 1, 2, " "), ("v", 2, 3, "甲"), ("v", 3, 4, "乙乙。丙"), *[("v", 4 + i, 5 + i, "丁") for i in range(3000)]]
+    r = windows.micro_summaries(segs(spark, rows)).first()
+    assert r["summary"] == "甲，乙乙"
+    assert windows.micro_summaries(segs(spark, [("v", 0, 1, "。"), ("v", 1, 2, "。")])).first()["summary"] == "。。。"
+
+
+def test_lexicons_reach_every_step(spark):
+    words = lexicon.Lexicon(
+        fillers=["um"], sound_tags=["noise"], hesitations="h", question_particles="k", connectives=["so"], chapter_phrases=["next part"], title_topics=["limits"],
+        exam_points=[("limit", "P")], exam_pitfalls=[("trap", "F")], exam_tips=[("tip", "T")], chapter_bullets=[("limits", None, "B")],
+        chapter_exam=[("limits", "p", "q", "f", "t")], sentence_types=[("definition", ["limits"])], key_words=["trap"],
+    )
+    df = segs(spark, [("v", 0, 1, "um hhh[noise]limits k"), ("v", 20_000, 30_000, "next part so trap tip 然后")])
+    out = run_pipeline(df, min_chars=1, threshold=2, min_len_chars=1, exam=True, focus=True, words=words)
+    texts = [r["text"] for r in out["paragraphs"].orderBy("paragraph_id").collect()]
+    assert texts == ["limitsk？", "nextpart，sotraptip然后。"]
+    spoken = [r["title"] for r in out["chapters"].orderBy("chapter_id").collect()]
+    assert spoken[0] == "limits" and out["global_summary"].first()["exam_points"] == ["P"]
+    micro = out["micro_summaries"].first()
+    assert (micro["exam_points"], micro["pitfalls"], micro["tips"]) == (["P"], ["F"], ["T"])
+    exam = out["rules_exam"].orderBy("chapter_id").first()
+    assert (exam["bullets"], exam["exam_points"], exam["tips"]) == (["B"], ["p"], ["t"])
+    assert [r["category"] for r in out["focus_items"].orderBy("paragraph_id").collect()] == ["非重点", "重点"]
+    assert [r["type"] for r in focus.focus_items(out["paragraphs"], "type", words).orderBy("paragraph_id").collect()] == ["definition", "meta"]
+
+
+def test_focus_is_an_optional_step(spark):
+    df = segs(spark, [("v", 0, 1, "定义一"), ("v", 1, 2, "没事")])
+    names = {f"focus_{k}" for k in ("items", "stats", "ranked", "keys", "others")}
+    assert not names & run_pipeline(df).keys()
+    out = run_pipeline(df, focus=True)
+    assert names < out.keys() and out["focus_keys"].count() == 1
+    answers = spark.createDataFrame([("v", 0, '[{"句子":"x","类别":"重点"}]')], "video_id string, paragraph_id long, content string")
+    assert [r["sentence"] for r in run_pipeline(df, responses=answers)["focus_keys"].collect()] == ["x"]
+
+
 def test_reports_of_nothing(spark):
     df = segs(spark, [("v", 0, 1, "嗯嗯")])
     out = run_pipeline(df)
