@@ -1,8 +1,10 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes the rows its predecessor kept and is written as Parquet before the next one
-reads them.  The classifier and the vocabulary put the whole beyond SQL, so there is no oracle;
-``tests/llm/test_pipeline.py`` holds every stage against its operator and a brute-force version.
+reads them.  The classifier and the vocabulary put the whole beyond SQL, so there is no oracle.
+``tests/llm/test_pipeline.py`` holds every stage against its operator, and what follows the trained
+classifier (groups, mix, pieces and their places) against plain code on the whole table; the rules
+and the classifier have plain versions in the tests of their operators.
 """
 
 from __future__ import annotations
