@@ -41,7 +41,7 @@ SHARDS = "part int, shard int, n_docs long, n_ids long, first_doc long, last_doc
 
 
 def _slots(pairs: np.ndarray) -> np.ndarray:
-    """A 20-bit hash of each u32 pair, to count them in one small table."""
+    """A 20-bit hash of each u32 pair, to look pairs up in one small table."""
     return (pairs * np.uint32(2654435761)) >> np.uint32(12)
 
 
@@ -52,42 +52,44 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
     is left.  ``passes``: an earlier end, for callers that want one.
     """
     end, rules, bar = terminals - 1, [], None
-    known, symbols, ruled = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(1 << 20, bool)
+    known, symbols, mark = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.uint32(end * 65537)
     while len(seq) > 1 and passes != 0:
         key = seq[:-1].astype(np.uint32)
         key <<= 16
         key |= seq[1:]
         ends = np.flatnonzero(seq == end)
-        key[ends[ends < len(key)]] = key[ends[ends > 0] - 1] = end * 65537
-        slot = _slots(key).astype(np.intp)
-        load = np.bincount(slot, minlength=1 << 20)
-        load[_slots(np.array([end * 65537], np.uint32))] -= np.count_nonzero(key == end * 65537)
+        key[ends[ends < len(key)]] = key[ends[ends > 0] - 1] = mark
         free = SYMBOLS - terminals - len(rules)
-        top = int(load.max())
-        bar = max(least, top // 4 if bar is None else min(bar, top // 4))
-        while True:
-            at = np.flatnonzero(((load >= bar) & bool(free) | ruled)[slot])
-            pairs, counts = np.unique(key[at], return_counts=True)
-            has_rule = _among(pairs, known)[0]
-            chosen = has_rule | ((counts >= bar) & (pairs != end * 65537) & bool(free))
-            if chosen.any() or bar == least or not free:
-                break
-            bar = max(least, bar // 2)
-        if not chosen.any():
-            break
-        # The most frequent first; equals in mixed order, so that overlapping ones don't queue up.
-        chosen = np.flatnonzero(chosen)
-        chosen = chosen[np.lexsort((_slots(pairs[chosen]), -counts[chosen]))]
-        chosen = chosen[has_rule[chosen] | (np.cumsum(~has_rule[chosen]) <= min(per_pass, 4 * free))]
-        fresh = ~has_rule[chosen]
-        best = pairs[chosen]
-        # Where the chosen pairs are, and their ranks.
+        best = np.zeros(0, np.uint32)
+        if free:
+            ordered = np.sort(key)
+            if bar is None:
+                at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                bar = max(least, int(np.diff(at, append=len(ordered))[ordered[at] != mark].max(initial=0)) // 16)
+            best = _often(ordered, bar, known, mark)
+            while not len(best) and bar > least:
+                bar = max(least, bar // 4)
+                best = _often(ordered, bar, known, mark)
+            if len(best) > min(per_pass, 4 * free):
+                counts = np.searchsorted(ordered, best, "right") - np.searchsorted(ordered, best)
+                best = np.sort(best[np.lexsort((_slots(best), -counts))[: min(per_pass, 4 * free)]])
+        # Where these pairs and those that have a rule are.
+        best = np.concatenate([known, best])
+        fresh = np.arange(len(best)) >= len(known)
+        order = np.argsort(best)
+        best, fresh = best[order], fresh[order]
         hit = np.zeros(1 << 20, bool)
         hit[_slots(best)] = True
-        at = at[hit[slot[at]]]
-        order = np.argsort(best)
-        found, place = _among(key[at], best[order])
-        at, r = at[found], order[place[found]]
+        at = np.flatnonzero(hit.take(_slots(key)))
+        found, place = _among(key[at], best)
+        at, place = at[found], place[found]
+        if not len(at):
+            break
+        # The most frequent first; equals in mixed order, so that overlapping ones don't queue up.
+        order = np.lexsort((_slots(best), -np.bincount(place, minlength=len(best))))
+        rank = np.empty(len(best), np.intp)
+        rank[order] = np.arange(len(best))
+        r, best, fresh = rank[place], best[order], fresh[order]
         # Two marked neighbours overlap: the better rank wins, every other one in a run of equals.
         next_to, step = np.diff(at) == 1, np.diff(r)
         joint = np.concatenate([[False], next_to & (step == 0)])
@@ -104,7 +106,6 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         if not fresh.all():
             symbol[~fresh] = symbols[_among(best[~fresh], known)[1]]
         rules += [(x >> 16, x & 0xFFFF) for x in best[new].tolist()]
-        ruled[_slots(best[new])] = True
         known, symbols = np.concatenate([known, best[new]]), np.concatenate([symbols, symbol[new]])
         order = np.argsort(known)
         known, symbols = known[order], symbols[order]
@@ -120,6 +121,15 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
     return seq, np.array(rules, np.int64).reshape(-1, 2)
 
 
+def _often(ordered: np.ndarray, bar: int, known: np.ndarray, mark: np.uint32) -> np.ndarray:
+    """The pairs without a rule that occur ``bar`` times or more, from all pairs in order."""
+    if len(ordered) < bar:
+        return ordered[:0]
+    pairs = ordered[bar - 1 :][ordered[bar - 1 :] == ordered[: len(ordered) - bar + 1]]
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    return pairs[(pairs != mark) & ~_among(pairs, known)[0]]
+
+
 def _among(pairs: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each pair is one of ``ordered`` (ascending), and where."""
     if not len(ordered):
