@@ -35,11 +35,17 @@ def test_fingerprints(edge):
     texts = [r["text"] for r in edge.collect() if len(r["text"] or "") < 1000] + ["A b C", "one", "one two", "a a a a a"]
     assert s.fingerprints_of(texts).tolist() == [plain(t) for t in texts]
     assert s.fingerprints_of([]).tolist() == []
+    # Very long texts, hashed in blocks, beside short ones.
+    rng = random.Random(1)
+    gaps = [" ", "  ", "\n", "\t \r\n", "\x0b"]
+    long = "".join(rng.choice(["Der", "word", "é", "x" * 9]) + rng.choice(gaps) for _ in range(300_000))
+    texts = ["a b c d", long, None, "  " + long[:-1] + "End", " " * (1 << 21), "y" * (1 << 21), "one two"]
+    assert s.fingerprints_of(texts).tolist() == [plain(t) for t in texts]
 
 
-def linked(spark, values):
+def linked(spark, values, in_place=s.COMPARED_IN_PLACE):
     fps = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in sorted(set(values))], "fp long")
-    label = {r["node"]: r["label"] for r in components(s.links(fps)).collect()}
+    label = {r["node"]: r["label"] for r in components(s.links(fps, in_place)).collect()}
     groups = {}
     for v in values:
         k = int(np.uint64(v).astype(np.int64))
@@ -63,7 +69,31 @@ def test_links_find_every_pair_within_three_bits(spark):
     groups = {}
     for v, c in zip(values, brute_components(values), strict=True):
         groups.setdefault(c, set()).add(v)
-    assert linked(spark, values) == sorted(map(sorted, groups.values()))
+    expected = sorted(map(sorted, groups.values()))
+    assert linked(spark, values) == expected
+    assert linked(spark, values, in_place=0) == expected
+
+
+def test_dense_clouds(spark):
+    """Many fingerprints around a few, linked in part: variants that many share, and several groups at one."""
+    rng = random.Random(11)
+    values = set()
+    for spread in (2, 4, 6, 8):
+        at = rng.getrandbits(64)
+        near = rng.sample(range(64), 14)
+        for _ in range(150):
+            v = at
+            for b in rng.sample(near, rng.randint(0, spread)):
+                v ^= 1 << b
+            values.add(v ^ (rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64)))
+            values.add(v)
+    values = sorted(values)
+    groups = {}
+    for v, c in zip(values, brute_components(values), strict=True):
+        groups.setdefault(c, set()).add(v)
+    expected = sorted(map(sorted, groups.values()))
+    assert linked(spark, values) == expected
+    assert linked(spark, values, in_place=0) == expected
 
 
 def test_components(spark):
