@@ -78,4 +78,18 @@ SELECT id AS record_id, cu AS canonical_url, status,
 FROM c
 """
 
-ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9}
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM d, range(1, 100000) t(i)
+  WHERE len(w) > 0 AND i <= greatest(1, len(w) - 4)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT p.x, p.y FROM p JOIN n a ON a.r = p.x JOIN n b ON b.r = p.y WHERE 100 * both_ >= 85 * (a.n + b.n - both_)),
+c(r, top) AS (SELECT r, r FROM d UNION SELECT e.y, c.top FROM c JOIN e ON e.x = c.r),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.top GROUP BY c.r)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id IS NOT DISTINCT FROM m.component_id AS kept
+FROM d LEFT JOIN n ON n.r = d.r JOIN m ON m.r = d.r
+"""
+
+ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9, "op12_minhash": OP12}

@@ -88,5 +88,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), ratings, rated_rows=LABELLED_ROWS)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -1,0 +1,178 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lecturelake.llm import superminhash as s
+from lecturelake.llm.common import materialize
+from lecturelake.llm.oracles import OP12
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def plain_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def plain_groups(texts, percent=85):
+    """For every text the smallest place it reaches, all pairs compared."""
+    sets, top = [plain_set(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def stepped(elements, places):
+    """The published procedure, element by element, from the same draws."""
+    h, order, stamp = [None] * places, [0] * places, [-1] * places
+    for i, e in enumerate(elements):
+        for j in range(places):
+            x = int(s.mixed(np.array([(int(e) + (j + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0])
+            k = j + ((x & 0xFFFFFFFF) * (places - j) >> 32)
+            for at in (j, k):
+                if stamp[at] != i:
+                    stamp[at], order[at] = i, at
+            order[j], order[k] = order[k], order[j]
+            value = j << 32 | x >> 32
+            if h[order[j]] is None or value < h[order[j]]:
+                h[order[j]] = value
+    return h
+
+
+@pytest.mark.parametrize("places", [1, 8, 160])
+def test_signatures_are_those_of_the_stepped_procedure(places):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 2, 7, 40, 300, 0, 1500)]
+    got = s.signatures(sets, places)
+    for own, row in zip(sets, got, strict=True):
+        assert not len(own) or row.tolist() == stepped(own, places)
+    assert (got[5] == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+    assert s.signatures([], 8).shape == (0, 8)
+
+
+def test_signatures_estimate_similarity_with_little_scatter():
+    rng = np.random.default_rng(5)
+    errors = []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, 120).astype(np.uint64)
+        a, b = s.signatures([x[:100], x[20:]], 160)
+        errors.append((a == b).mean() - 80 / 120)
+    assert abs(np.mean(errors)) < 0.01
+    # Independent minima scatter by sqrt(p (1 - p) / places); sets about as large as the signature by less.
+    assert np.std(errors) < 0.9 * np.sqrt(2 / 3 * 1 / 3 / 160)
+
+
+def test_sets(edge):
+    rng = random.Random(1)
+    gaps = [" ", "  ", "\n", "\t \r\n", "\x0b", "\x0c"]
+    long = "".join(rng.choice(["Der", "word", "é", "x" * 9, "ÀB", " "]) + rng.choice(gaps) for _ in range(200_000))
+    texts = [r["text"] for r in edge.collect()] + ["A b C", "a b", "a", "a b c d e", "A B C D E", "a b c d e f", long, "  " + long[:-1] + "End", " " * (1 << 21)]
+    got = s.shingle_sets(texts)
+    assert [len(x) for x in got] == [len(plain_set(t)) for t in texts]
+    for i, t in enumerate(texts):
+        for j, u in enumerate(texts):
+            if len(t or "") < 1000 > len(u or ""):
+                assert (got[i].tolist() == got[j].tolist()) == (plain_set(t) == plain_set(u))
+    a, b = got[-3], got[-2]
+    assert len(np.intersect1d(a, b)) == len(plain_set(long) & plain_set(texts[-2]))
+
+
+def test_shares_enough_at_the_border():
+    of = lambda *x: np.array(sorted(x), np.uint64)
+    assert s.shares_enough(of(*range(17)), of(*range(20)), 85)
+    assert not s.shares_enough(of(*range(17)), of(*range(21)), 85)
+    assert not s.shares_enough(of(), of(), 85)
+    assert s.shares_enough(of(1), of(1), 100)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = rng.choice(LETTERS) * rng.randint(1, 4)
+    return out
+
+
+def near_ones(seed):
+    """Texts in families: copies, near copies around the limit (linked in chains or not at all), short ones."""
+    rng, texts = random.Random(seed), [None, "", " \n", "a", "a", "a b c d e", "A b C d e", "a b c d e f g", "a b c d e f g h"]
+    for _ in range(6):
+        words = [rng.choice(LETTERS) + rng.choice(LETTERS) + str(rng.randrange(50)) for _ in range(rng.choice([8, 40, 120, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(12):
+            texts.append(" ".join(edited(rng, words, rng.choice([0, 1, 2, 3, 5]))))
+        walk = words
+        for _ in range(6):
+            walk = edited(rng, walk, 1)
+            texts.append(" ".join(walk))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("seed,first", [(1, 1), (2, 64)])
+def test_groups_are_those_of_all_pairs(spark, seed, first):
+    texts = near_ones(seed)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in s.near_duplicates(df, first=first).collect()}
+    want = plain_groups(texts)
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(plain_set(t)) for t in texts]
+    assert [got[i]["kept"] for i in range(len(texts))] == [i == w for i, w in enumerate(want)]
+
+
+def test_a_dense_group_below_the_limit_needs_several_rounds(spark):
+    """Everyone shares most bands with everyone, and hardly anyone is near enough."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(rng, words, 3)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(df).collect()}
+    want = plain_groups(texts)
+    assert len(set(want)) > 10
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_hot_group_makes_few_pairs(spark):
+    """A third of all texts are near copies of one: each is held against few others."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = s.signed(df)
+    classes = materialize(rows.select("doc_id", "text_hash", "n_shingles", "bands", F.monotonically_increasing_id().alias("node")))
+    pairs, plain = [], s.verified
+    try:
+        s.verified = lambda p, *how: pairs.append(p.count()) or plain(p, *how)
+        edges = s.links(df, classes, 85, 5)
+    finally:
+        s.verified = plain
+    assert sum(pairs) < 30 * len(texts)
+    assert len({r["v"] for r in edges.collect()}) == 1 and edges.count() == 600
+
+
+def test_edges(spark, edge, empty, clashing, rows):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in s.near_duplicates(edge).collect()}
+    n = len(plain_set(edge.where("doc_id = 5").first()["text"]))
+    assert got == {(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, n, 5, True), (None, 1, None, True), (6, 2, 1, False), (7, 2, 7, True)}
+    assert rows(s.near_duplicates(clashing)) == rows(s.near_duplicates(edge))
+    assert s.near_duplicates(empty).collect() == []
+    # A null id is no name for a group that has another, and nameless copies are a group.
+    texts = [(None, "x y z"), (9, "x y z"), (None, "q"), (None, "q")]
+    got = rows(s.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted([(None, 1, 9, False), (9, 1, 9, True), (None, 1, None, True), (None, 1, None, True)], key=repr)
+
+
+def test_query_agrees_with_sql(spark, duck, sf_dir, agree):
+    from lecturelake.llm.queries import op12_minhash
+
+    agree(op12_minhash(spark, sf_dir), duck.sql(OP12))
