@@ -92,4 +92,25 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM d LEFT JOIN n ON n.r = d.r JOIN m ON m.r = d.r
 """
 
-ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9, "op12_minhash": OP12}
+OP13_ROUND = """
+a{i} AS MATERIALIZED (SELECT z.r, z.p, min(struct_pack(d := list_sum(list_transform(range(1, len(z.x) + 1), lambda j: (z.x[j] - c.c[j]) * (z.x[j] - c.c[j]))), e := c.e)) AS b
+  FROM z JOIN c{i} c ON z.p = c.p GROUP BY z.r, z.p),
+s{i} AS (SELECT z.p, a.b.e AS e, j, sum(z.x[j]) AS s, count(*) AS n FROM z JOIN a{i} a ON z.r = a.r AND z.p = a.p, range(1, 1000) t(j)
+  WHERE j <= len(z.x) GROUP BY ALL),
+c{k} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.c, c.c) AS c FROM c{i} c LEFT JOIN
+  (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{i} GROUP BY ALL) n ON c.p = n.p AND c.e = n.e),"""
+
+OP13 = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS MATERIALIZED (SELECT r, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x FROM k, range(0, 8) t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM z WHERE r <= 16),
+{"".join(OP13_ROUND.format(i=i, k=i + 1) for i in range(7))}
+f AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY p) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a6 GROUP BY r),
+l AS (SELECT k.vec_id, f.code, f.error, k.label FROM k JOIN f ON k.r = f.r),
+h AS (SELECT sha256(string_agg(CAST(c[j] AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM c6, range(1, 1000) t(j) WHERE j <= len(c))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM l, h
+"""
+
+ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9, "op12_minhash": OP12, "op13_vector_codes": OP13}
