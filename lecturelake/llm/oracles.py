@@ -78,6 +78,28 @@ SELECT id AS record_id, cu AS canonical_url, status,
 FROM c
 """
 
+#: crc32 of the decimal digits of conv_id, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(0, 8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))))"""
+
+OP11 = rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o,
+    struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+a AS (SELECT c.conv_id, 0 AS own, o, said FROM c JOIN t ON t.conv_id = c.base AND o <= h
+  UNION ALL SELECT c.conv_id, 1, o, said FROM c JOIN t ON t.conv_id = c.conv_id AND o > h),
+w AS (SELECT c.conv_id, coalesce(list(said ORDER BY own, o) FILTER (said IS NOT NULL), []) AS w FROM c LEFT JOIN a ON a.conv_id = c.conv_id GROUP BY c.conv_id),
+r AS (SELECT conv_id, d, w[1 : d] AS path, d = len(w) AS ends FROM w, range(0, 100000) t(d) WHERE d <= len(w)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM r GROUP BY path, d),
+k AS (SELECT path[1 : d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.path AND n.d = k.d),
+u AS (SELECT path[1 : e] AS path, e AS d, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum(saved) AS saved FROM f, range(0, 100000) t(e) WHERE e <= d GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, sha256(f.ids) AS ends_sha256
+FROM f JOIN u ON f.path = u.path AND f.d = u.d LEFT JOIN f p ON p.path = f.path[1 : f.d - 1] AND p.d = f.d - 1
+"""
+
 OP12 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -113,4 +135,4 @@ h AS (SELECT sha256(string_agg(CAST(c[j] AS VARCHAR), ',' ORDER BY p, e, j)) AS
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM l, h
 """
 
-ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9, "op12_minhash": OP12, "op13_vector_codes": OP13}
+ORACLES = {"op2_revisits": OP2, "op6_source_mix": OP6, "op9_hash_shards": OP9, "op11_prefix_trie": OP11, "op12_minhash": OP12, "op13_vector_codes": OP13}

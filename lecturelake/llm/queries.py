@@ -88,6 +88,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), ratings, rated_rows=LABELLED_ROWS)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superminhash import near_duplicates
 
