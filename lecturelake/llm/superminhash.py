@@ -12,7 +12,9 @@ banded.  Candidates are verified on the full sets, without forming the pairs of
 each bucket's members are held against a few pivots of it, those in its group already left out.  A
 pivot has then met everyone, so it leaves the bucket, and a bucket whose members are in one
 group is done.  Rounds go on with more pivots until all buckets are; near copies are joined in the
-first, and nothing is ever capped.
+first, and nothing is ever capped.  Before the full sets are read, two bits of every place of both
+signatures are compared: a pair goes on unless more places differ than six standard deviations
+beyond what the limit allows.
 
 Defined results: a null or empty text, or one without words, has the empty set and is a group of its
 own; texts of fewer words than a shingle have one shingle, all their words; repeated rows and
@@ -23,13 +25,14 @@ are ignored.  A very long text is hashed in blocks of words, so it costs a small
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -42,8 +45,8 @@ BANDS, PLACES = 32, 5
 WORDS_KEPT = 1_000_000
 #: Texts of more bytes than this are hashed alone, this many words at a time.
 LONG_TEXT, HASHED_AT_ONCE = 1 << 20, 1 << 16
-#: Pivots of the rounds of verification; later rounds take eight times as many as the one before.
-FIRST_PIVOTS, MORE_PIVOTS = 1, 8
+#: Pivots of the rounds of verification; later rounds take so many times as many as the one before.
+FIRST_PIVOTS, MORE_PIVOTS = 1, 64
 
 _GOLDEN, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASHES: list[WordHashes] = []
@@ -160,6 +163,19 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of every place, as signed longs."""
+    bits = (mixed(sig ^ _GOLDEN) & np.uint64(3)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 32))).reshape(len(sig), -1, 4)
+    return np.ascontiguousarray(bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6).view(np.int64)
+
+
+def places_apart(percent: int, places: int) -> int:
+    """So many places of the sketches of two sets of this similarity differ at most (six standard deviations)."""
+    p = 0.75 * (1 - percent / 100)
+    return math.ceil(places * p + 6 * math.sqrt(places * p * (1 - p)))
+
+
 def shares_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 times the intersection reaches ``percent`` times the union."""
     if len(a) > len(b):
@@ -171,20 +187,21 @@ def shares_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signed(docs: DataFrame, words_per_shingle: int = 5, bands: int = BANDS, places: int = PLACES) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, s1, s2`` (two hashes of the set) and ``bands``, one row per input row."""
+    """``doc_id, text_hash, n_shingles, s1, s2`` (two hashes of the set), ``bands`` and ``sketch``, one row per input row."""
+    names = ["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands", "sketch"]
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = shingle_sets(b.column("text").to_pylist(), words_per_shingle)
-            keys = band_keys(signatures(sets, bands * places), bands)
-            names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            names = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            own = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, np.int32)), pa.array(keys.ravel()))
-            columns = [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), own]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands"])
+            sig = signatures(sets, bands * places)
+            named = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets)
+            named = np.frombuffer(named, np.int64).reshape(-1, 2)
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array([len(x) for x in sets], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, lists(band_keys(sig, bands)), lists(sketches(sig))], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return own.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, named: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -216,24 +233,34 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "_a", "_c").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int, words_per_shingle: int, first: int = FIRST_PIVOTS) -> DataFrame | None:
+def _differing(a: Column, b: Column) -> Column:
+    """How many pairs of bits of two longs differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def links(docs: DataFrame, classes: DataFrame, percent: int, words_per_shingle: int, apart: int, first: int = FIRST_PIVOTS) -> DataFrame | None:
     """Edges ``u, v`` from classes to the smallest of their group; groups are what pairs that share
-    enough connect.  ``classes``: ``node, doc_id, text_hash, n_shingles, bands``.  None if no bucket has
-    two members."""
+    enough connect.  ``classes``: ``node, doc_id, text_hash, n_shingles, bands, sketch``.  ``apart``: places
+    of two sketches that may differ.  None if no bucket has two members."""
     # Different sets are near only if the smaller can be the larger's part: 6 of 7 at 85 percent.
     least = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
     laid = classes.where(F.col("n_shingles") >= least).select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     many = laid.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band", "key")
-    members = materialize(laid.join(many, ["band", "key"]).withColumn("label", F.col("node")))
-    named = members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
+    members = laid.join(many, ["band", "key"])
+    shared = materialize(members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash", "sketch"), "node"))
+    members = materialize(members.join(shared.select("node", "sketch"), "node").withColumn("label", F.col("node")))
+    named = shared.select("node", "doc_id", "text_hash")
+    longs = len(shared.select("sketch").first()["sketch"]) if shared.limit(1).count() else 0
     sets, edges, pivots = materialize(sets_of(docs, named, words_per_shingle)), None, first
     while members.limit(1).count():
         # The smallest member of each of so many parts of a bucket.
         part = F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("_part")
-        chosen = materialize(members.groupBy("band", "key", part).agg(F.min(F.struct("node", "label", "n_shingles")).alias("p")).select("band", "key", "p.*"))
-        other = chosen.select("band", "key", F.col("node").alias("v"), F.col("label").alias("_l"), F.col("n_shingles").alias("_m"))
+        chosen = materialize(members.groupBy("band", "key", part).agg(F.min(F.struct("node", "label", "n_shingles", "sketch")).alias("p")).select("band", "key", "p.*"))
+        other = chosen.select("band", "key", F.col("node").alias("v"), F.col("label").alias("_l"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_s"))
         sized = (100 * F.least("n_shingles", "_m") >= percent * F.greatest("n_shingles", "_m")) & (F.col("label") != F.col("_l"))
-        met = members.join(other, ["band", "key"]).where(sized).select("node", "v")
+        differ = sum((_differing(F.get("sketch", F.lit(i)), F.get("_s", F.lit(i))) for i in range(longs)), F.lit(0))
+        met = members.join(other, ["band", "key"]).where(sized & (differ <= apart)).select("node", "v")
         found = verified(met.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), sets, percent)
         found = materialize(found)
         if edges is None or found.limit(1).count():
@@ -258,10 +285,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, words_per_shingle:
 def near_duplicates(docs: DataFrame, percent: int = 85, words_per_shingle: int = 5, bands: int = BANDS, places: int = PLACES, first: int = FIRST_PIVOTS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per input row."""
     rows = materialize(signed(docs, words_per_shingle, bands, places))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash", "n_shingles", "bands"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash", "n_shingles", "bands", "sketch"))
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(best.alias("b"))
-    classes = materialize(classes.select("s1", "s2", "b.doc_id", "b.text_hash", "b.n_shingles", "b.bands", F.monotonically_increasing_id().alias("node")))
-    edges = links(docs, classes, percent, words_per_shingle, first)
+    classes = materialize(classes.select("s1", "s2", "b.doc_id", "b.text_hash", "b.n_shingles", "b.bands", "b.sketch", F.monotonically_increasing_id().alias("node")))
+    edges = links(docs, classes, percent, words_per_shingle, places_apart(percent, bands * places), first)
     own = classes.select("s1", "s2", "node", F.col("doc_id").alias("_first"))
     if edges is None:
         named = own.select("s1", "s2", F.col("_first").alias("component_id"))
@@ -270,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_per_shingle: int =
         group = labelled.groupBy("label").agg(F.min("_first").alias("_least"))
         linked = labelled.join(group, "label").select("node", "_least")
         named = own.join(linked, "node", "left").select("s1", "s2", F.coalesce("_least", "_first").alias("component_id"))
-    full = rows.where("n_shingles > 0").drop("bands").join(named, ["s1", "s2"])
+    full = rows.where("n_shingles > 0").drop("bands", "sketch").join(named, ["s1", "s2"])
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id"]
     both = full.select(*columns).unionByName(empty.select(*columns))

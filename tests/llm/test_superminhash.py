@@ -73,6 +73,18 @@ def test_signatures_estimate_similarity_with_little_scatter():
     assert np.std(errors) < 0.9 * np.sqrt(2 / 3 * 1 / 3 / 160)
 
 
+def test_sketches_of_near_sets_stay_within_their_bound():
+    rng = np.random.default_rng(6)
+    bound, found = s.places_apart(85, 160), []
+    for i in range(300):
+        x = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        sets = [x[:370], x[30:]] if i % 2 else [x[:260], x[140:]]  # similarities 0.85 and 0.3
+        a, b = s.sketches(s.signatures(sets, 160)).view(np.uint64)
+        d = a ^ b
+        found.append(int(np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()))
+    assert max(found[1::2]) <= bound < min(found[::2])
+
+
 def test_sets(edge):
     rng = random.Random(1)
     gaps = [" ", "  ", "\n", "\t \r\n", "\x0b", "\x0c"]
@@ -149,11 +161,11 @@ def test_a_hot_group_makes_few_pairs(spark):
     texts = [" ".join(edited(rng, words, 1)) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = s.signed(df)
-    classes = materialize(rows.select("doc_id", "text_hash", "n_shingles", "bands", F.monotonically_increasing_id().alias("node")))
+    classes = materialize(rows.select("doc_id", "text_hash", "n_shingles", "bands", "sketch", F.monotonically_increasing_id().alias("node")))
     pairs, plain = [], s.verified
     try:
         s.verified = lambda p, *how: pairs.append(p.count()) or plain(p, *how)
-        edges = s.links(df, classes, 85, 5)
+        edges = s.links(df, classes, 85, 5, s.places_apart(85, 160))
     finally:
         s.verified = plain
     assert sum(pairs) < 30 * len(texts)
@@ -163,7 +175,7 @@ def test_a_hot_group_makes_few_pairs(spark):
 def test_edges(spark, edge, empty, clashing, rows):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in s.near_duplicates(edge).collect()}
     n = len(plain_set(edge.where("doc_id = 5").first()["text"]))
-    assert got == {(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, n, 5, True), (None, 1, None, True), (6, 2, 1, False), (7, 2, 7, True)}
+    assert got == {(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, n, 5, True), (None, 1, None, True), (6, 2, 1, False), (7, 3, 7, True)}
     assert rows(s.near_duplicates(clashing)) == rows(s.near_duplicates(edge))
     assert s.near_duplicates(empty).collect() == []
     # A null id is no name for a group that has another, and nameless copies are a group.
