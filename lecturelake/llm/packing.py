@@ -113,13 +113,20 @@ def pack(sized: DataFrame, capacity: int = 2048, rows_per_group: int = 1024) ->
     grouped = sized.join(F.broadcast(groups), "length").withColumn(
         "_g", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_groups"))
     )
-    ahead = W.partitionBy("length").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
+    counts = grouped.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / rows_per_group))
+    if counts.where(F.col("_parts") > 4).limit(1).count():
+        # Rows of one id, or of none, meet in a group: such groups are split by the rows' places in the table.
+        part = F.when(F.col("_parts") > 4, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts"))).otherwise(0)
+        grouped = materialize(grouped.join(counts.drop("_n"), ["length", "_g"]).withColumn("_part", part).drop("_parts"))
+    else:
+        grouped = grouped.withColumn("_part", F.lit(0).cast("long"))
+    ahead = W.partitionBy("length").orderBy("_g", "_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        grouped.groupBy("length", "_g").agg(F.count(F.lit(1)).alias("_n"))
-        .select("length", "_g", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+        grouped.groupBy("length", "_g", "_part").agg(F.count(F.lit(1)).alias("_n"))
+        .select("length", "_g", "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     )
-    ranked = grouped.join(offsets, ["length", "_g"]).withColumn(
-        "_rank", F.col("_ahead") + F.row_number().over(W.partitionBy("length", "_g").orderBy("doc_id", "piece")) - 1
+    ranked = grouped.join(offsets, ["length", "_g", "_part"]).withColumn(
+        "_rank", F.col("_ahead") + F.row_number().over(W.partitionBy("length", "_g", "_part").orderBy("doc_id", "piece")) - 1
     )
     j = F.col("_rank") - F.col("_from")
     on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))

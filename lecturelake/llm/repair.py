@@ -242,8 +242,11 @@ def write_token_shards(
             yield flush()
 
     names = [x.split()[0] for x in SHARDS.split(", ")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(path)
+    # Rows of one id, or of none, are told apart by their texts and places, so that they spread as well.
+    keys = ["doc_id", "_hash", "_row"]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = own.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "text").mapInArrow(run, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str, end_id: int = 2, keep_ids: bool = False) -> DataFrame:

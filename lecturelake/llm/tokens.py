@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -57,6 +58,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.model = self.tokenizer.model
+        # Special tokens are found in the text as it stands; all else is lower-cased first.
+        names = sorted((t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()), reverse=True)
+        self.special = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")") if names else None
+        self.hint = os.path.commonprefix([x.lower() for x in names])
         # Vocabularies that treat letters otherwise go the library's whole way.
         probes = ["a", "words", "año", "ÉTÉ", "straße", "thing", "ñöüç"]
         self.reset()
@@ -101,7 +106,8 @@ class Encoder:
         plain, odd, marked, cores, runs = [], [], [], [], []
         for i, t in enumerate(texts):
             core = t.rstrip(MARKS)
-            if not core.isalpha():
+            if not core.isalpha() or not core.isascii() and not unicodedata.normalize("NFC", core).lower()[-1].isalpha():
+                # Not letters, or what they become ends in a sign, which belongs to the marks behind.
                 odd.append(i)
             elif len(core) == len(t):
                 plain.append(i)
@@ -147,14 +153,26 @@ class Encoder:
                 self.keep(np.array([place]), found, [len(found)])
         return self.ends[run]
 
+    def words(self, raw: bytes) -> list[bytes]:
+        """The words of a text in lower case, which is what the vocabulary holds, and its special tokens.
+
+        A word that only lower case turns into a special token keeps its own case.
+        """
+        low = raw.lower()
+        if self.special is None or self.hint not in low or not self.special.search(low):
+            return low.split()
+        out = []
+        for i, part in enumerate(self.special.split(raw)):
+            if i % 2:
+                out.append(part)
+            else:
+                out += [w if self.special.search(w.lower()) else w.lower() for w in part.split()]
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > WORDS_KEPT:
             self.reset()
-        split = []
-        for t in texts:
-            raw = (t or "").encode("utf-8", "replace")
-            # Lower case is what the vocabulary holds; special tokens are told apart by case.
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+        split = [self.words((t or "").encode("utf-8", "replace")) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.place.new:

@@ -108,6 +108,7 @@ def test_encoder_equals_the_library(texts, edge, monkeypatch):
 
     enc = Encoder(vocabulary())
     odd = ["<|endoftext|> Hi<|STARTOFTEXT|>X", "NO\x1dsep é É ́x İI ΑΣ", "İSTANBUL Straße ﬁne é!! ..., a.b,c", "ÀÉ*** x|y| z|", "a　b c", "กำ हिन्दी", "a\x00b", "''s don't"]
+    odd += ["<| Hello", "F# code: xs <| List.map", "BELEDİYESİ.", "<|ENDOFTEXT|> a<|endoftext|>b <|EndOfText|>c <|startoftext|>. İ. İ", "\u0958. \u0958", "A<|startoftext|>B<|", "K. Å;"]
     every = [None, "", *odd, *[r["text"] for r in edge.collect()], *list(texts.values())[:80]]
     monkeypatch.setattr(t, "WORDS_KEPT", 50)
     for part in (every, every[::-1]):
@@ -116,3 +117,22 @@ def test_encoder_equals_the_library(texts, edge, monkeypatch):
         for text, n in zip(part, counts.tolist(), strict=True):
             assert ids[at : at + n].tolist() == enc.tokenizer.encode(text or "", add_special_tokens=False).ids
             at += n
+
+
+def test_encoder_equals_the_library_on_random_strings():
+    enc, rng = Encoder(vocabulary()), random.Random(5)
+    letters = [*"<|>.,!?;:*#$%&'sStTdD aAzZ İıéÉ ß\u0307\u0301\u0958K İ ñ你好👍3٣\n\x1c", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|EndOfText|>", "Hello", "İS", "'ll"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    for k in range(0, len(texts), 1000):
+        ids, counts = enc.encode(texts[k : k + 1000])
+        found = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert found == [x.ids for x in enc.tokenizer.encode_batch(texts[k : k + 1000], add_special_tokens=False)]
+
+
+def test_pieces_of_one_id_are_split_over_groups(spark):
+    """One id (or none) holds nearly all pieces, equal in every column."""
+    rows = [(None, 0, 5)] * 300 + [(1, 0, 5)] * 200 + [(i, 0, 7) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(4)
+    out = p.pack(df, 16, 10).collect()
+    assert len(out) == 520 and layout(out, 16)
+    assert Counter(r["doc_id"] for r in out if r["length"] == 5) == {None: 300, 1: 200}

@@ -92,3 +92,14 @@ def test_edges(edge, clashing, empty, rows):
     assert sorted((tuple(x) for x in r.token_shards(edge, vocabulary()).collect()), key=key) == expected(edge)
     assert rows(r.token_shards(clashing, vocabulary())) == rows(r.token_shards(edge, vocabulary()))
     assert r.token_shards(empty, vocabulary()).count() == 0
+
+
+def test_special_tokens_capitals_and_one_id_for_many_rows(spark):
+    texts = ["<| Hello", "F# code: xs <| List.map", "BELEDİYESİ.", "x <|ENDOFTEXT|>", "A<|endoftext|>B", "plain Words"]
+    df = spark.createDataFrame([(i % 2 or None, texts[i % 6]) for i in range(60)], "doc_id long, text string").repartition(6)
+    got = sorted((tuple(x) for x in r.token_shards(df, vocabulary(), shard_ids=40).collect()), key=lambda x: x[1])
+    tok = encoder(vocabulary()).tokenizer
+    want = [(i % 2 or None, zlib.crc32(np.array([*tok.encode(texts[i % 6], add_special_tokens=False).ids, 2], "<u4").tobytes())) for i in range(60)]
+    assert Counter((x[0], x[3]) for x in got) == Counter(want)
+    assert [x[1] for x in got] == [0, *itertools.accumulate(x[2] for x in got)][:-1]
+    assert [x[0] for x in got] == [None] * 30 + [1] * 30
