@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,17 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, GAP, -1), ""), F.array().cast("array<string>"))
 
 
+def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
+    """``wanted``, each with underscores in front until no column has its name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

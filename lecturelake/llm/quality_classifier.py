@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import free_names
 from .tokens import Places, slices
 
 #: Words whose features a worker keeps before it starts afresh.
@@ -188,23 +189,23 @@ def classify(
     least_tail: float = 0.6,
 ) -> DataFrame:
     """``doc_id, expected_grade, tail_probability, kept`` for every row of ``docs``."""
-    scored = with_grades(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings, levels, rated_rows, dims)
-    return scored.select(
-        "doc_id", F.col("__lake_grade").alias("expected_grade"), F.col("__lake_tail").alias("tail_probability"), (F.col("__lake_tail") >= least_tail).alias("kept")
-    )
+    names = ["expected_grade", "tail_probability"]
+    scored = with_grades(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratings, levels, rated_rows, dims, names)
+    return scored.select("doc_id", *names, (F.col("tail_probability") >= least_tail).alias("kept"))
 
 
 def select(docs: DataFrame, ratings: DataFrame, levels: int = 3, rated_rows: int = 20_000, dims: int = 1 << 18, least_tail: float = 0.6) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose tail probability is large enough."""
-    return with_grades(docs, ratings, levels, rated_rows, dims).where(F.col("__lake_tail") >= least_tail).select(*docs.columns)
+    grade, tail = free_names(docs.columns, "_grade", "_tail")
+    return with_grades(docs, ratings, levels, rated_rows, dims, [grade, tail]).where(F.col(tail) >= least_tail).drop(grade, tail)
 
 
-def with_grades(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dims: int) -> DataFrame:
-    """``docs`` and ``__lake_grade`` (expected) and ``__lake_tail`` (probability of the top grade)."""
+def with_grades(docs: DataFrame, ratings: DataFrame, levels: int, rated_rows: int, dims: int, names: list[str]) -> DataFrame:
+    """``docs`` and, under the two ``names``, the expected grade and the probability of the top grade."""
     model = train(docs, ratings, levels, rated_rows, dims)
     weights, cuts = model if model else (np.zeros(dims, np.float32), np.full(levels - 1, -np.inf))
     weights = docs.sparkSession.sparkContext.broadcast(weights)  # dims numbers
-    schema = StructType([*docs.schema.fields, StructField("__lake_grade", DoubleType()), StructField("__lake_tail", DoubleType())])
+    schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, w = features(dims), weights.value

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import free_names, materialize, words
 
 #: Characters that count as symbols, and those that separate words.
 SYMBOLS = "#*$%&|<>"
@@ -80,11 +80,10 @@ def _bucket(buckets: int, *parts):
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ids of all documents labelled good and not toxic; with ``limit``, those of smallest hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
     good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col("doc_id").isNotNull())
-    ids = good.select("doc_id").distinct()
-    return ids if limit is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return good.select("doc_id").distinct()
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float) -> DataFrame:
@@ -139,9 +138,10 @@ def quality_rules(
 
 def select(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 16, alpha: float = 1.0, threshold: float = -0.1) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep."""
-    kept = judged(docs, trusted, buckets, alpha, threshold).where("kept").select(F.col("doc_id").alias("_d"), "_hash").distinct()
-    rows = docs.withColumn("__lake_hash", F.xxhash64("text"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("__lake_hash") == F.col("_hash")), "left_semi").drop("__lake_hash")
+    d, h, own = free_names(docs.columns, "_d", "_h", "_own")
+    kept = judged(docs, trusted, buckets, alpha, threshold).where("kept").select(F.col("doc_id").alias(d), F.col("_hash").alias(h)).distinct()
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left_semi").drop(own)
 
 
 def judged(docs: DataFrame, trusted: DataFrame, buckets: int, alpha: float, threshold: float) -> DataFrame:

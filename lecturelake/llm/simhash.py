@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_names, materialize
 from .components import components
 from .tokens import slices
 
@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest id."""
     best = grouped(docs).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("b"))
-    kept = best.select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_h"))
-    rows = docs.withColumn("__lake_hash", F.xxhash64("text"))
-    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("__lake_hash") == F.col("_h")), "left_semi")
-    return met.dropDuplicates(["doc_id", "__lake_hash"]).drop("__lake_hash")
+    d, h, own = free_names(docs.columns, "_d", "_h", "_own")
+    kept = best.select(F.col("b.doc_id").alias(d), F.col("b.text_hash").alias(h))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left_semi")
+    return met.dropDuplicates(["doc_id", own]).drop(own)

@@ -32,7 +32,10 @@ def clashing(edge):
     """The same rows with columns named like those the operations make."""
     from pyspark.sql import functions as F
 
-    names = ["size", "key", "kept", "fp", "shard", "bytes", "length", "taken", "score", "n_words", "_w", "_row", "media", "label", "carried", "piece"]
+    names = """size key kept fp shard bytes length taken score n_words media label carried piece bucket ratio raw target depth node band
+        bands sketch n_shingles component_id u v p m x s1 s2 sums code error upper near block first_doc grade hash data sequence_id offset start
+        _w _row _d _h _own _hash _grade _tail _g _n _s _t _p _b _part _parts _rank _from _to _bin _text _null _first _least _low _exact _linked
+        __lake_hash __lake_grade __lake_tail __d __own""".split()
     return edge.select("*", *[F.lit("x").alias(n) for n in names])
 
 

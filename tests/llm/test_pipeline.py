@@ -151,4 +151,16 @@ def test_registered():
     import __spark_entry__ as e
 
     found = e.queries()
-    assert {"pipeline", *(k for k in found if k.startswith("op"))} <= set(found) and len([k for k in found if k.startswith("op")]) == 10
+    assert {"pipeline", *(k for k in found if k.startswith("op"))} <= set(found) and len([k for k in found if k.startswith("op")]) == 13
+
+
+def test_stages_keep_rows_and_columns_with_clashing_names(spark, sf_dir, docs, clashing, rows):
+    """Columns named like any helper of any stage come through, and decide nothing."""
+    more = [c for c in clashing.columns if c not in docs.columns]
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in more])
+    for name, stage in p.STAGES[:-1]:
+        plain, kept = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert kept.columns == wide.columns, name
+        assert rows(kept.select(*docs.columns)) == rows(plain), name
+        assert kept.where(" and ".join(f"`{c}` = concat('{c}', doc_id)" for c in more)).count() == kept.count() > 0, name
+    assert rows(p.pack(spark, wide, sf_dir)) == rows(p.pack(spark, docs, sf_dir))

@@ -76,7 +76,7 @@ def test_without_trusted_rows_only_the_base_rule_decides(spark, docs):
 
 
 def test_selection_keeps_whole_rows(spark, docs):
-    ids = q.trusted_ids(spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int"), 50)
+    ids = q.trusted_ids(spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int"))
     assert ids.count() == 50
     kept = {r["doc_id"] for r in q.quality_rules(docs, ids).where("kept").collect()}
     out = q.select(docs, ids)
