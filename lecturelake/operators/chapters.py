@@ -10,22 +10,49 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
-from ..schemas import by_paragraph
+from ..functions.scans import KEYS, along, before, block_rows, by_number, deal, inside
+
+
+def _scored(paragraphs: DataFrame, min_gap_ms: int, min_len_chars: int, phrases: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Dealt paragraphs with ``_before`` (the end before, inside the block) and ``_points`` (the score without
+    the pause), and one row per block with where it begins, and the end before it in the lecture."""
+    point = lambda c: c.cast("int")
+    dealt = deal(paragraphs, by_number())
+    points = point(F.length("text") >= min_len_chars) + point(tx.contains_any(F.col("text"), phrases))
+    own = dealt.select("*", F.row_number().over(inside("paragraph_id")).alias("_i"), F.lag("end_ms").over(inside("paragraph_id")).alias("_before"), points.alias("_points"))
+    return own, own.withColumn("_gap", point(F.col("start_ms") - F.col("_before") >= min_gap_ms))
+
+
+def _borders(rows: DataFrame, threshold: int, min_gap_ms: int) -> DataFrame:
+    """For each block the end before it (``_end``), and how many breaks come before it (``_breaks``)."""
+    cut = F.coalesce(F.col("_gap") + F.col("_points") >= threshold, F.lit(False)).cast("long")
+    first = lambda c: F.min_by(c, "_i")
+    blocks = block_rows(rows, F.sum(cut).alias("_own"), first("start_ms").alias("_start"), first("_points").alias("_first"), F.max_by("end_ms", "_i").alias("_last"))
+    blocks = blocks.select("*", F.lag("_last").over(along()).alias("_end"))
+    # The first paragraph of a block breaks by the pause since the block before.
+    opens = F.coalesce((F.col("_start") - F.col("_end") >= min_gap_ms).cast("int") + F.col("_first") >= threshold, F.lit(False)).cast("long")
+    return blocks.withColumn("_all", F.col("_own") + opens).select(*KEYS, "_end", F.coalesce(F.sum("_all").over(before()), F.lit(0)).alias("_breaks"))
+
+
+def _placed(paragraphs: DataFrame, threshold: int, min_gap_ms: int, min_len_chars: int, phrases: Sequence[str]) -> DataFrame:
+    """Dealt paragraphs with ``score`` and ``_breaks``."""
+    own, rows = _scored(paragraphs, min_gap_ms, min_len_chars, phrases)
+    met = own.join(_borders(rows, threshold, min_gap_ms), KEYS)
+    since = F.col("start_ms") - F.when(F.col("_i") == 1, F.col("_end")).otherwise(F.col("_before"))
+    return met.withColumn("score", ((since >= min_gap_ms).cast("int") + F.col("_points")).cast("long"))
 
 
 def score_breaks(paragraphs: DataFrame, min_gap_ms: int = 10000, min_len_chars: int = 100, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:
     """``score``: a long pause before, a long text, a phrase that opens chapters; null at the start."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(by_paragraph())
-    point = lambda c: c.cast("int")
-    score = point(gap >= min_gap_ms) + point(F.length("text") >= min_len_chars) + point(tx.contains_any(F.col("text"), phrases))
-    return paragraphs.withColumn("score", score.cast("long"))
+    return _placed(paragraphs, 0, min_gap_ms, min_len_chars, phrases).select(*paragraphs.columns, "score")
 
 
-def number_chapters(paragraphs: DataFrame, threshold: int = 2, **how) -> DataFrame:
-    """Paragraphs with ``chapter_id`` from 1: a new one at each score of ``threshold`` or more."""
-    so_far = by_paragraph().rowsBetween(W.unboundedPreceding, 0)
+def number_chapters(paragraphs: DataFrame, threshold: int = 2, min_gap_ms: int = 10000, min_len_chars: int = 100, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:
+    """Paragraphs with ``score`` and ``chapter_id`` from 1: a new one at each score of ``threshold`` or more."""
     cut = F.coalesce(F.col("score") >= threshold, F.lit(False)).cast("long")
-    return score_breaks(paragraphs, **how).withColumn("chapter_id", 1 + F.sum(cut).over(so_far))
+    so_far = F.sum(cut).over(inside("paragraph_id").rowsBetween(W.unboundedPreceding, 0))
+    rows = _placed(paragraphs, threshold, min_gap_ms, min_len_chars, phrases)
+    return rows.select(*paragraphs.columns, "score", (1 + F.col("_breaks") + so_far).alias("chapter_id"))
 
 
 def segment_chapters(

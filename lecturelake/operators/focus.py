@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
+from ..functions.scans import by_number, numbered
 
 FIELDS = ["category", "summary", "importance", "reason", "type"]
 
@@ -113,19 +113,16 @@ def focus_rank(items: DataFrame) -> DataFrame:
     """``rank`` within a lecture: key sentences first, otherwise in order."""
     key = is_key() | F.coalesce(F.col("type") == lx.KEY_TYPE, F.lit(False))
     rows = items.withColumn("is_key", key)
-    order = W.partitionBy("video_id").orderBy(F.col("is_key").desc(), "paragraph_id", "pos")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long"))
+    block = F.when(F.col("is_key"), 0).otherwise(1 << 50) + by_number()
+    return numbered(rows, block, [F.col("is_key").desc(), "paragraph_id", "pos"], "rank")
 
 
 def key_list(items: DataFrame) -> DataFrame:
     """Key sentences, numbered within each lecture."""
-    order = W.partitionBy("video_id").orderBy("paragraph_id", "pos")
-    return items.where(is_key()).withColumn("number", F.row_number().over(order).cast("long"))
+    return numbered(items.where(is_key()), by_number(), ["paragraph_id", "pos"], "number")
 
 
 def non_key_examples(items: DataFrame, first: int = 10) -> DataFrame:
     """The first other sentences of each lecture, numbered, and ``rest``: how many are left out."""
-    lecture = W.partitionBy("video_id")
-    rows = items.where(~is_key()).withColumn("number", F.row_number().over(lecture.orderBy("paragraph_id", "pos")).cast("long"))
-    rows = rows.withColumn("rest", F.greatest(F.count(F.lit(1)).over(lecture) - first, F.lit(0)).cast("long"))
-    return rows.where(F.col("number") <= first)
+    rows = numbered(items.where(~is_key()), by_number(), ["paragraph_id", "pos"], "number", "rest")
+    return rows.where(F.col("number") <= first).withColumn("rest", F.greatest(F.col("rest") - first, F.lit(0)))

@@ -1,0 +1,180 @@
+"""What runs along a lecture, spread over blocks, against plain loops."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lecturelake import lexicon as lx
+from lecturelake.functions import helpers
+from lecturelake.functions.scans import BLOCK, KEYS, by_number, by_time, deal, numbered
+from lecturelake.operators import chapters, focus, paragraphs, windows
+
+SEGMENT = "video_id string, segment_id string, start_ms long, end_ms long, src string"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fill_functions_compose_to_the_stepping_fill(seed):
+    """For every size held before: what a run of rows leaves, whole or cut anywhere."""
+    rng = np.random.default_rng(seed)
+    least = int(rng.choice([1, 2, 17, 60]))
+    sizes = rng.choice([0, 1, 3, 15, 70], rng.integers(0, 80)).astype(np.int64)
+    cut = int(rng.integers(0, len(sizes) + 1))
+    whole, (h, c) = helpers.fill_function(sizes, least), helpers.fill_function(sizes[:cut], least)
+    h2, c2 = helpers.fill_function(sizes[cut:], least)
+    for held in range(least):
+        now, closed = held, 0
+        for x in sizes.tolist():
+            now += x
+            if now >= least:
+                now, closed = 0, closed + 1
+        assert (whole[0][held], whole[1][held]) == (now, closed)
+        assert (h2[h[held]], c[held] + c2[h[held]]) == (now, closed)
+
+
+def talk(rng, v, n, pause=1_200_000, back=False):
+    """Segments of one lecture over many hours; texts of several lengths."""
+    at, out = rng.randint(0, 5000), []
+    for i in range(n):
+        start = at
+        at += rng.choice([0, 500, 3000, 70_000, 400_000])
+        out.append((v, f"{i // 16}_{i % 16}", start, at - (rng.choice([0, 60_000]) if back and i % 5 == 0 else 0), rng.choice(["ab", "就是", "x" * 40, "y" * 230, "[音乐]", "a b c"])))
+        at += rng.choice([0, 0, 1000, pause])
+    return out
+
+
+def talks(seed, back=False):
+    rng = random.Random(seed)
+    rows = [r for v in range(12) for r in talk(rng, f"v{v}", rng.randint(1, 120), back=back and v % 2 == 0)]
+    rows += [(None, None, 0, 0, "z" * 150)] * 5 + [("unknown", None, 0, 0, "q" * 90)] * 7
+    rng.shuffle(rows)
+    return rows
+
+
+def in_order(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    key = lambda r: (r[2], r[3], *(tuple(map(int, r[1].split("_"))) if r[1] else (-1, -1)))
+    return {v: sorted(own, key=key) for v, own in by.items()}
+
+
+def normalized(spark, rows):
+    from lecturelake.functions import text as tx
+
+    texts = sorted({r[4] for r in rows})
+    df = spark.createDataFrame([(t,) for t in texts], "src string")
+    return {r["src"]: r["t"] or "" for r in df.select("src", tx.normalize(F.col("src")).alias("t")).collect()}
+
+
+@pytest.mark.parametrize("least", [1, 30, 200])
+def test_paragraphs_are_those_of_one_pass(spark, least):
+    rows = talks(least)
+    clean, want = normalized(spark, rows), []
+    for v, own in in_order(rows).items():
+        held, number, open_ = 0, 0, []
+        for r in own:
+            if not clean[r[4]]:
+                continue
+            open_.append(r)
+            held += len(clean[r[4]]) + 1
+            if held >= least:
+                want.append((v, number, open_[0][2], open_[-1][3]))
+                held, number, open_ = 0, number + 1, []
+        if open_:
+            want.append((v, number, open_[0][2], open_[-1][3]))
+    got = paragraphs.merge_segments(spark.createDataFrame(rows, SEGMENT).repartition(5), least)
+    assert sorted((tuple(r[:4]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_one_lecture_is_filled_by_many_tasks(spark):
+    rows = talk(random.Random(5), "v", 900)
+    dealt = deal(spark.createDataFrame(rows, SEGMENT), by_time())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # of these few rows, the engine would make one task
+    per = dealt.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert dealt.select(BLOCK).distinct().count() > 40 and len(per) > 1 and max(r["count"] for r in per) < 700
+    plan = plan_of(paragraphs.merge_segments(spark.createDataFrame(rows, SEGMENT)))
+    assert len(set(re.findall(r"hashpartitioning\(__lecture#\d+, __block#\d+L, \d+\), REPARTITION_BY_COL", plan))) == 2  # the second is the first, reused at run time
+
+
+def test_the_dealt_rows_are_made_once(spark):
+    rows = talks(3)
+    df = spark.createDataFrame(rows, SEGMENT)
+    for made in (paragraphs.order_segments(df), paragraphs.merge_segments(df), windows.number_windows(df)):
+        made.write.format("noop").mode("overwrite").save()
+        made.count()
+    found = paragraphs.merge_segments(df)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed,back", [(1, False), (2, False), (3, True), (4, True)])
+def test_windows_are_those_of_stepping(spark, seed, back):
+    rows, want = talks(seed, back), {}
+    for v, own in in_order(rows).items():
+        now, close = 0, own[0][2] + 60_000
+        for i, r in enumerate(own):
+            if r[3] > close:
+                now, close = now + 1, close + 60_000
+            want.setdefault((v, i), (r[2], r[3], own[0][2], now))
+    got = windows.number_windows(spark.createDataFrame(rows, SEGMENT).repartition(4)).collect()
+    assert {(r["video_id"], r["seq"]): (r["start_ms"], r["end_ms"], r["first_ms"], r["window_idx"]) for r in got} == want and len(got) == len(rows)
+
+
+def test_lectures_whose_ends_rise_are_not_stepped(spark):
+    """The stepping stage stands in the plan for the others, and gets no row of these."""
+    rows = [r for r in talks(7) if r[0] and r[0] != "unknown"]
+    df = spark.createDataFrame(rows, SEGMENT)
+    own = [(F.row_number().over(windows.inside("start_ms", "end_ms")) - 1).alias("_j"), F.first("start_ms").over(windows.inside("start_ms", "end_ms")).alias("_from"), F.lag("end_ms").over(windows.inside("start_ms", "end_ms")).alias("_before")]
+    assert windows._carried(deal(df, by_time()).select("*", *own), 60_000).where("_odd").count() == 0
+
+
+def test_numbers_over_blocks(spark):
+    rng = random.Random(2)
+    rows = [(f"v{i % 2}" if i % 7 else None, rng.randrange(5000), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "video_id string, paragraph_id long, pos long").repartition(3)
+    got = numbered(df, by_number(), ["paragraph_id", "pos"], "n", "all").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r[1:]):
+        by.setdefault(r[0], []).append(r)
+    assert {(r["video_id"], r["paragraph_id"], r["pos"], r["n"], r["all"]) for r in got} == {(*r, i + 1, len(own)) for own in by.values() for i, r in enumerate(own)}
+    assert numbered(df.limit(0), by_number(), ["pos"], "n").collect() == []
+
+
+def test_chapters_over_blocks(spark):
+    """Breaks inside blocks of paragraph numbers and at their borders."""
+    rng, rows, at = random.Random(4), [], 0
+    for i in range(2600):
+        start = at + rng.choice([0, 500, 12_000])
+        at = start + 1000
+        rows.append(("v", i, start, at, rng.choice(["short", "x" * 120, lx.CHAPTER_PHRASES[0] + "y" * 20])))
+    want, chapter, last = {}, 1, None
+    for _, i, start, end, text in rows:
+        score = None if last is None else int(start - last >= 10_000) + int(len(text) >= 100) + int(lx.CHAPTER_PHRASES[0] in text)
+        chapter += score is not None and score >= 2
+        want[i], last = (score, chapter), end
+    df = spark.createDataFrame(rows, "video_id string, paragraph_id long, start_ms long, end_ms long, text string").repartition(4)
+    got = chapters.number_chapters(df).collect()
+    assert {r["paragraph_id"]: (r["score"], r["chapter_id"]) for r in got} == want
+    assert {r["paragraph_id"]: r["score"] for r in chapters.score_breaks(df).collect()} == {i: s for i, (s, _) in want.items()}
+
+
+def test_only_block_rows_meet_by_lecture(spark):
+    """Windows by lecture alone stand above the sums of blocks, never above the rows themselves."""
+    seg = spark.createDataFrame(talks(1), SEGMENT)
+    items = spark.createDataFrame([("v", 1, 0, "s", "重点", "key_content")], "video_id string, paragraph_id long, pos long, sentence string, category string, type string")
+    para = spark.createDataFrame([("v", 1, 0, 5, "t")], "video_id string, paragraph_id long, start_ms long, end_ms long, text string")
+    for made in (paragraphs.order_segments(seg), windows.number_windows(seg), chapters.number_chapters(para), focus.focus_rank(items), focus.key_list(items), focus.non_key_examples(items)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        for line in re.findall(r"Window \[.*", plan):
+            spec = line.rsplit("], [", 2) if line.count("], [") > 1 else line.rsplit("], [", 1)
+            assert "__block" in line or "__lecture" in spec[-1], line
+            assert not re.search(r"\], \[video_id#\d+\]", line), line
+    assert KEYS == ["__lecture", "__block"]
