@@ -47,6 +47,8 @@ WORDS_KEPT = 1_000_000
 LONG_TEXT, HASHED_AT_ONCE = 1 << 20, 1 << 16
 #: Pivots of the rounds of verification; later rounds take so many times as many as the one before.
 FIRST_PIVOTS, MORE_PIVOTS = 1, 64
+#: Bands that a round of their own looks at first, so that a large group isn't linked once for every band.
+EARLY_BANDS = 3
 
 _GOLDEN, _NONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASHES: list[WordHashes] = []
@@ -253,10 +255,11 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, words_per_shingle:
     named = shared.select("node", "doc_id", "text_hash")
     longs = len(shared.select("sketch").first()["sketch"]) if shared.limit(1).count() else 0
     sets, edges, pivots = materialize(sets_of(docs, named, words_per_shingle)), None, first
+    early = True
     while members.limit(1).count():
         # The smallest member of each of so many parts of a bucket.
         part = F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("_part")
-        chosen = materialize(members.groupBy("band", "key", part).agg(F.min(F.struct("node", "label", "n_shingles", "sketch")).alias("p")).select("band", "key", "p.*"))
+        chosen = materialize(members.where(F.col("band") < EARLY_BANDS if early else F.lit(True)).groupBy("band", "key", part).agg(F.min(F.struct("node", "label", "n_shingles", "sketch")).alias("p")).select("band", "key", "p.*"))
         other = chosen.select("band", "key", F.col("node").alias("v"), F.col("label").alias("_l"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_s"))
         sized = (100 * F.least("n_shingles", "_m") >= percent * F.greatest("n_shingles", "_m")) & (F.col("label") != F.col("_l"))
         differ = sum((_differing(F.get("sketch", F.lit(i)), F.get("_s", F.lit(i))) for i in range(longs)), F.lit(0))
@@ -276,7 +279,9 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, words_per_shingle:
         after = materialize(rest.join(open_, ["band", "key"], "left_semi"))
         for x in (members, chosen, rest, found):
             discard(x)
-        members, pivots = after, pivots * MORE_PIVOTS
+        members = after
+        # The first number of pivots is used twice: on the early bands, then on all.
+        pivots, early = pivots * (1 if early else MORE_PIVOTS), False
     discard(sets)
     discard(members)
     return edges
