@@ -26,6 +26,20 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+#: Ranges of characters that NFKC leaves as they are, next to whatever: ASCII, Latin letters, Cyrillic,
+#: punctuation of East Asian texts, kana without the marks that join them, ideographs.
+UNCHANGED = [
+    (0x00, 0x7F), (0xC0, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x400, 0x45F), (0x2010, 0x2010),
+    (0x2012, 0x2016), (0x2018, 0x2023), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FE), (0x4E00, 0x9FFF),
+]
+MAY_CHANGE = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNCHANGED) + "]"
+
+
+def compatible(s: Column) -> Column:
+    """``nfkc``, where only texts with a character that may change leave the JVM; for others a null goes."""
+    return F.coalesce(nfkc(F.when(s.rlike(MAY_CHANGE), s)), s)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
@@ -62,7 +76,7 @@ def drop_noise(s: Column, fillers: Sequence[str] = lx.FILLERS, tags: Sequence[st
 
 def normalize(s: Column, **how) -> Column:
     """NFKC, white space, bullets, sound tags, hesitations and lone fillers."""
-    return drop_noise(nfkc(s), **how)
+    return drop_noise(compatible(s), **how)
 
 
 def ends_with_mark(s: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,29 +55,44 @@ def number_chapters(paragraphs: DataFrame, threshold: int = 2, min_gap_ms: int =
     return rows.select(*paragraphs.columns, "score", (1 + F.col("_breaks") + so_far).alias("chapter_id"))
 
 
+def chapter_heads(rows: DataFrame, topics: Sequence[str] = lx.TITLE_TOPICS, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:
+    """One row per chapter of ``rows`` (from ``number_chapters``, the table of items), without its texts: ``title``, times
+    and ``paragraphs``, how many it has.
+
+    The title is the topic of the first paragraph that has one, else what follows the first
+    opening phrase, else the number.
+    """
+    return _headed(rows, topics, phrases)
+
+
+def _headed(rows: DataFrame, topics: Sequence[str], phrases: Sequence[str], *more: Column) -> DataFrame:
+    rows = rows.select("*", tx.title_topic(F.col("text"), topics).alias("_topic"), tx.title_tail(F.col("text"), phrases).alias("_tail"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("paragraph_id")))
+    return rows.groupBy("video_id", "chapter_id").agg(
+        F.coalesce(first("_topic"), first("_tail"), F.concat(F.lit("Chapter "), F.first("chapter_id").cast("string"))).alias("title"),
+        F.min(F.struct("paragraph_id", "start_ms"))["start_ms"].alias("start_ms"),
+        F.max(F.struct("paragraph_id", "start_ms", "end_ms"))["end_ms"].alias("end_ms"),
+        F.count(F.lit(1)).alias("paragraphs"),
+        *more,
+    )
+
+
+def nest_chapters(rows: DataFrame, topics: Sequence[str] = lx.TITLE_TOPICS, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:
+    """Chapters of ``rows`` (from ``number_chapters``) with their paragraphs as ``items``: a row holds a whole chapter."""
+    item = F.struct("paragraph_id", "start_ms", "end_ms", "text")
+    whole = _headed(rows, topics, phrases, F.array_sort(F.collect_list(item)).alias("_items"))
+    items = F.transform("_items", lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text")))
+    return whole.select("video_id", "chapter_id", "title", "start_ms", "end_ms", items.alias("items"))
+
+
 def segment_chapters(
     paragraphs: DataFrame, threshold: int = 2, phrases: Sequence[str] = lx.CHAPTER_PHRASES, topics: Sequence[str] = lx.TITLE_TOPICS, **how
 ) -> DataFrame:
-    """Chapters with their paragraphs as ``items``, and a title: the topic of the first paragraph
-    that has one, else what follows the first opening phrase, else the number."""
-    rows = number_chapters(paragraphs, threshold, phrases=phrases, **how).select(
-        "*", tx.title_topic(F.col("text"), topics).alias("_topic"), tx.title_tail(F.col("text"), phrases).alias("_tail")
-    )
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("paragraph_id")))
-    item = F.struct("paragraph_id", "start_ms", "end_ms", "text")
-    chapters = rows.groupBy("video_id", "chapter_id").agg(
-        first("_topic").alias("_topic"), first("_tail").alias("_tail"), F.array_sort(F.collect_list(item)).alias("_items")
-    )
-    return chapters.select(
-        "video_id",
-        "chapter_id",
-        F.coalesce("_topic", "_tail", F.concat(F.lit("Chapter "), F.col("chapter_id").cast("string"))).alias("title"),
-        F.get("_items", F.lit(0))["start_ms"].alias("start_ms"),
-        F.element_at("_items", -1)["end_ms"].alias("end_ms"),
-        F.transform("_items", lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text"))).alias("items"),
-    )
+    """Titled chapters with their paragraphs as ``items``."""
+    return nest_chapters(number_chapters(paragraphs, threshold, phrases=phrases, **how), topics, phrases)
 
 
 def chapter_sizes(chapters: DataFrame) -> DataFrame:
-    """``paragraphs`` and ``duration_ms`` of each chapter."""
-    return chapters.select("video_id", "chapter_id", F.size("items").cast("long").alias("paragraphs"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    """``paragraphs`` and ``duration_ms`` of each chapter, nested or head."""
+    count = F.col("paragraphs") if "paragraphs" in chapters.columns else F.size("items")
+    return chapters.select("video_id", "chapter_id", count.cast("long").alias("paragraphs"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))

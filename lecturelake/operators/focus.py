@@ -70,10 +70,15 @@ def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool =
     keys = ["video_id", "paragraph_id", "start_ms", "end_ms"]
     # Paragraphs without a sentence give no row by themselves: a filter would split every text twice.
     rows = paragraphs.select(*keys, tx.sentences(F.col("text"), words.question_particles).alias("_s"))
-    given = responses.groupBy("video_id", "paragraph_id").agg(F.array_sort(F.collect_set("content")).alias("_c"))
-    found = given.select("video_id", "paragraph_id", F.transform("_c", tx.json_array).alias("_c"))
-    fits = lambda a: a.isNotNull() & ((F.size(a) == F.size("_s")) if strict else F.lit(True))
-    rows = rows.join(found, ["video_id", "paragraph_id"], "left").select(*keys, "_s", F.get(F.filter("_c", fits), F.lit(0)).alias("_a"))
+    # Of the answers to a paragraph only the first of each number of elements stays, however many there are.
+    parsed = responses.withColumn("_k", F.size(tx.json_array(F.col("content")))).where("_k >= 0")
+    if strict:
+        first = parsed.groupBy("video_id", "paragraph_id", "_k").agg(F.min("content").alias("_c")).groupBy("video_id", "paragraph_id")
+        found = first.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_c"))).alias("_by"))
+        chosen = F.try_element_at("_by", F.size("_s"))
+    else:
+        found, chosen = parsed.groupBy("video_id", "paragraph_id").agg(F.min("content").alias("_by")), F.col("_by")
+    rows = rows.join(found, ["video_id", "paragraph_id"], "left").select(*keys, "_s", tx.json_array(chosen).alias("_a"))
     names = ["类别", "总结", "重要性说明", "非重点原因", "type"]
 
     def model(v: Column) -> Column:

@@ -12,10 +12,24 @@ from .. import lexicon as lx
 from ..functions import text as tx
 
 
-def chapter_summaries(chapters: DataFrame, line: int = 80, paragraph: int = 240) -> DataFrame:
-    """``one_line`` and ``one_paragraph`` of each chapter."""
-    text = F.array_join(F.transform("items", lambda x: x["text"]), "。")
-    rows = chapters.select("video_id", "chapter_id", "title", text.alias("_t"))
+def chapter_texts(chapters: DataFrame, items: DataFrame | None) -> DataFrame:
+    """``video_id, chapter_id, pos, text`` from the table of items (of ``number_chapters``), or from nested chapters."""
+    if items is not None:
+        return items.select("video_id", "chapter_id", F.col("paragraph_id").alias("pos"), "text")
+    return chapters.select("video_id", "chapter_id", F.posexplode("items").alias("pos", "item")).select("video_id", "chapter_id", "pos", F.col("item.text").alias("text"))
+
+
+def chapter_summaries(chapters: DataFrame, line: int = 80, paragraph: int = 240, items: DataFrame | None = None) -> DataFrame:
+    """``one_line`` and ``one_paragraph`` of each chapter.
+
+    ``chapters`` nest their items, or are heads beside a table of ``items``; then no row holds a whole
+    chapter, as only texts up to the second sentence are joined.
+    """
+    if items is None:
+        rows = chapters.select("video_id", "chapter_id", "title", F.array_join(F.transform("items", lambda x: x["text"]), "。").alias("_t"))
+    else:
+        per = first_sentences(chapter_texts(chapters, items), ["video_id", "chapter_id"], ["pos"])
+        rows = chapters.select("video_id", "chapter_id", "title").join(per, ["video_id", "chapter_id"])
     return rows.select(
         "video_id", "chapter_id", "title",
         tx.short_summary(F.col("_t"), line).alias("one_line"),
@@ -51,15 +65,14 @@ def first_sentences(rows: DataFrame, group: list[str], order: list[str], *others
     return per.withColumn("_t", text).drop("_s", "_whole")
 
 
-def global_summary(chapters: DataFrame, line: int = 100, paragraph: int = 360, exam: bool = False, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
+def global_summary(chapters: DataFrame, line: int = 100, paragraph: int = 360, exam: bool = False, words: lx.Lexicon = lx.DEFAULT, items: DataFrame | None = None) -> DataFrame:
     """One row per lecture: ``one_paragraph``, ``one_line`` and, with ``exam``, the exam lists over all
     its text (empty lists without).
 
     A summary uses two sentences at most, so only the items up to the second sentence are joined,
     and rules, which never span items, are looked for item by item.
     """
-    rows = chapters.select("video_id", "chapter_id", F.posexplode("items").alias("pos", "item")).select("video_id", "chapter_id", "pos", F.col("item.text").alias("text"))
-    rows = rows.where(F.length("text") > 0)
+    rows = chapter_texts(chapters, items).where(F.length("text") > 0)
     per = first_sentences(rows, ["video_id"], ["chapter_id", "pos"], *exam_lists(exam, words))
     # A lecture whose chapters hold no text still has its row.
     per = chapters.select("video_id").distinct().join(per, "video_id", "left")
@@ -84,9 +97,23 @@ def collapse_items(items: Column, max_len: int = 3000) -> Column:
     return F.array_join(F.aggregate(items, start, add)["a"], "。")
 
 
-def rule_summaries(chapters: DataFrame, style: str = "exam", max_len: int = 3000, words: lx.Lexicon = lx.DEFAULT) -> DataFrame:
-    """``summary_title`` and ``bullets`` of each chapter; for ``exam`` four lists more."""
-    rows = chapters.select("video_id", "chapter_id", "title", collapse_items(F.col("items"), max_len).alias("_t"))
+def collapsed_texts(chapters: DataFrame, items: DataFrame, max_len: int = 3000) -> DataFrame:
+    """``video_id, chapter_id, _t``: what ``collapse_items`` gives, from a table of items."""
+    before = W.partitionBy("video_id", "chapter_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = chapter_texts(chapters, items).withColumn("text", tx.strip(F.col("text"))).where(F.length("text") > 0)
+    near = rows.withColumn("_n", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("_n") < max_len)
+    own = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return near.groupBy("video_id", "chapter_id").agg(F.array_join(F.transform(own, lambda x: x["text"]), "。").alias("_t"))
+
+
+def rule_summaries(chapters: DataFrame, style: str = "exam", max_len: int = 3000, words: lx.Lexicon = lx.DEFAULT, items: DataFrame | None = None) -> DataFrame:
+    """``summary_title`` and ``bullets`` of each chapter; for ``exam`` four lists more.  ``items``: as for
+    ``chapter_summaries``."""
+    if items is None:
+        rows = chapters.select("video_id", "chapter_id", "title", collapse_items(F.col("items"), max_len).alias("_t"))
+    else:
+        rows = chapters.select("video_id", "chapter_id", "title").join(collapsed_texts(chapters, items, max_len), ["video_id", "chapter_id"], "left")
+        rows = rows.withColumn("_t", F.coalesce("_t", F.lit("")))
     title, text = F.col("title"), F.col("_t")
     named = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(lx.UNTITLED)
     names = ["exam_points", "question_patterns", "pitfalls", "tips"]

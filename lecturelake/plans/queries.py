@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -299,22 +298,20 @@ def paragraphs_roundtrip(spark, d):
 
 
 def report_roundtrip(spark, d):
-    """Reports as text files, read back line by line."""
+    """Reports as text files by lecture, read back line by line."""
     path = _scratch(spark)
     jsonl.write_report(chapter_report(spark, d), path)
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return jsonl.read_reports(spark, path).groupBy("video_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def media_list(spark, d):
-    """The listing of files of twenty groups of lectures, taken for media: the folder that a path names,
-    and its place in the listing."""
+    """The listing of one file for every fifty lectures, taken for media: the folder that a path names,
+    and how many files it holds."""
     path = _scratch(spark)
-    folder = F.concat(F.lit("group-"), F.lpad((F.substr("video_id", F.lit(2)).cast("long") % 20).cast("string"), 2, "0"))
+    folder = F.concat(F.lit("group-"), F.floor(F.substr("video_id", F.lit(2)).cast("long") / 50).cast("string"))
     fx.media(spark, d).withColumn("folder", folder).repartition("folder").write.partitionBy("folder").json(path)
     found = media.list_media(spark, path, ["json"]).where("bytes > 0")
-    # A listing has one row a file, so its rows may be numbered in one place.
-    place = F.row_number().over(W.orderBy(F.monotonically_increasing_id()))
-    return found.select(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder"), place.cast("long").alias("place"))
+    return found.groupBy(F.regexp_extract("path", "/folder=([^/]*)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pipeline_chapters(spark, d):

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def _parsed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+#: The lecture of rows that name none.
+UNKNOWN = "unknown"
+
+
+def _parsed(spark: SparkSession, paths: str | Sequence[str], *more: Column) -> DataFrame:
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    return lines.where(F.length(F.trim("value")) > 0).select("value", F.try_parse_json("value").alias("v"))
+    return lines.where(F.length(F.trim("value")) > 0).select("value", F.try_parse_json("value").alias("v"), *more)
 
 
 def _field(name: str, kind: str) -> Column:
@@ -32,11 +36,12 @@ def _split(rows: DataFrame, good: Column, columns: Sequence[Column]) -> tuple[Da
     return rows.where(good).select(*columns), rows.where(~good).select("value")
 
 
-def parse_segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments from lines (``value, v``), and the lines that are none."""
+def parse_segments(lines: DataFrame, nameless: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Segments from lines (``value, v``), and the lines that are none; ``nameless`` names the lecture of
+    those without one."""
     columns = [
         _field("id", "string").alias("id"),
-        F.coalesce(_field("video_id", "string"), F.lit("unknown")).alias("video_id"),
+        F.coalesce(_field("video_id", "string"), F.lit(UNKNOWN) if nameless is None else nameless).alias("video_id"),
         _field("segment_id", "string").alias("segment_id"),
         F.coalesce(_field("start_ms", "bigint"), F.lit(0)).cast("long").alias("start_ms"),
         F.coalesce(_field("end_ms", "bigint"), F.lit(0)).cast("long").alias("end_ms"),
@@ -45,10 +50,17 @@ def parse_segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(lines, _field("src", "string").isNotNull(), columns)
 
 
-def read_segments(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def read_segments(spark: SparkSession, paths: str | Sequence[str], by_file: bool = False) -> tuple[DataFrame, DataFrame]:
     """Objects with ``src``: ``video_id`` defaults to ``unknown`` and times to 0.  Second: the lines
-    left out."""
-    return parse_segments(_parsed(spark, paths))
+    left out.
+
+    With ``by_file``, segments without ``video_id`` belong to a lecture of their file, ``unknown:`` and its path:
+    otherwise those of a whole corpus are one lecture.
+    """
+    if not by_file:
+        return parse_segments(_parsed(spark, paths))
+    lines = _parsed(spark, paths, F.col("_metadata.file_path").alias("_file"))
+    return parse_segments(lines, F.concat(F.lit(f"{UNKNOWN}:"), "_file"))
 
 
 def read_paragraphs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +86,21 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.option("ignoreNullFields", False).partitionBy(*partition_by).json(path)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """One string a row, as text files."""
-    lines.select(lines.columns[-1]).write.text(path)
+def report_lines(reports: DataFrame, text: str = "report", key: str = "video_id") -> DataFrame:
+    """``key, line_no, line``: reports (one string a lecture in ``text``) as a table of lines, from 1."""
+    lines = reports.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("_n", "line"))
+    return lines.select(key, (F.col("_n") + 1).cast("long").alias("line_no"), "line")
+
+
+def write_report(reports: DataFrame, path: str, text: str = "report", key: str = "video_id") -> None:
+    """Reports as text files, a folder ``key=...`` for each lecture, so that each is found by its lecture.
+
+    Lectures are dealt out by ranges of their names, and lines are written in order as they stream by.
+    """
+    lines = report_lines(reports, text, key).repartitionByRange(key).sortWithinPartitions(key, "line_no")
+    lines.select(key, F.col("line").alias("value")).write.partitionBy(key).text(path)
+
+
+def read_reports(spark: SparkSession, path: str, key: str = "video_id") -> DataFrame:
+    """``key, line`` of written reports."""
+    return spark.read.schema(f"value string, `{key}` string").text(path).select(key, F.col("value").alias("line"))

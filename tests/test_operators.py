@@ -251,3 +251,65 @@ def test_plans_have_no_hidden_single_task(spark, sf_dir):
         plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "Exchange SinglePartition" not in plan
+
+
+def test_captions_are_planned_without_a_job(spark):
+    """Nothing runs until rows are asked for, and captions of all lengths are found as by comparing all."""
+    rng = random.Random(6)
+    caps = [(f"v{i % 3}", a := rng.randrange(10**7), a + rng.choice([0, 10, 5000, 10**5, 10**7, 10**10]), f"c{i}") for i in range(200)]
+    ticks = [(f"v{i % 4}", rng.randrange(3 * 10**7)) for i in range(300)]
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    out = captions.captions_at(spark.createDataFrame(caps, "video_id string, start_ms long, end_ms long, text string"), spark.createDataFrame(ticks, "video_id string, t_ms long"))
+    assert len(jobs.getJobIdsForGroup(None)) == before
+    want = {(v, t): min(((a, b, x) for w, a, b, x in caps if w == v and a <= t <= b), default=(0, 0, ""))[2] for v, t in ticks}
+    assert {(r["video_id"], r["t_ms"]): r["text"] for r in out.collect()} == want
+
+
+def test_summaries_of_heads_and_items_are_those_of_nested_chapters(spark, sf_dir):
+    from lecturelake.plans import fixtures
+
+    paras = fixtures.paragraphs(spark, sf_dir)
+    blank = spark.createDataFrame([("blank", i, i, i + 1, t) for i, t in enumerate(["", " ", "", "x。y", "", "z。" * 900, "tail"])], "video_id string, paragraph_id long, start_ms long, end_ms long, text string")
+    paras = paras.unionByName(blank)
+    nested, items = chapters.segment_chapters(paras), chapters.number_chapters(paras)
+    heads = chapters.chapter_heads(items)
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert plain(summaries.chapter_summaries(nested)) == plain(summaries.chapter_summaries(heads, items=items))
+    assert plain(summaries.global_summary(nested, exam=True)) == plain(summaries.global_summary(heads, exam=True, items=items))
+    for style in ("plain", "exam"):
+        assert plain(summaries.rule_summaries(nested, style)) == plain(summaries.rule_summaries(heads, style, items=items))
+    assert plain(chapters.chapter_sizes(nested)) == plain(chapters.chapter_sizes(heads))
+
+
+def test_many_answers_to_one_paragraph(spark):
+    """The first in text order that fits counts, with thousands of others about."""
+    paras = spark.createDataFrame([("v", 0, 0, 1, "一句。两句。"), ("v", 1, 0, 1, "三句。")], "video_id string, paragraph_id long, start_ms long, end_ms long, text string")
+    fit = [f'[{{"text":"s{i}","type":"meta"}},{{"text":"t{i}","type":"meta"}}]' for i in range(2000)]
+    rows = [("v", 0, x) for x in [*fit, "[]", "no list", '[{"text":"one","type":"meta"}]', None]] + [("v", 1, "nothing here")]
+    answers = spark.createDataFrame(rows, "video_id string, paragraph_id long, content string").repartition(4)
+    got = sorted((r["paragraph_id"], r["pos"], r["sentence"], r["origin"]) for r in focus.align_responses(paras, answers).collect())
+    assert got == [(0, 0, "s0", "model"), (0, 1, "t0", "model"), (1, 0, "三句。", "rule")]
+    got = sorted((r["paragraph_id"], r["pos"], r["sentence"], r["origin"]) for r in focus.align_responses(paras, answers, strict=False).collect())
+    assert got == [(1, 0, "三句。", "rule")]  # any list counts, and the empty one comes first
+
+
+def test_all_outputs_of_a_run_in_one_call(spark, sf_dir, tmp_path):
+    from lecturelake.plans import fixtures
+    from lecturelake.plans.pipeline import write_outputs
+    from lecturelake.sources import jsonl
+
+    seg = fixtures.segments(spark, sf_dir).where("video_id in ('v1', 'v2', 'v3')")
+    tables = run_pipeline(seg, exam=True, focus=True)
+    written = write_outputs(tables, str(tmp_path / "out"), with_reports=True)
+    assert sorted(written) == sorted(["paragraphs", "chapters", "micro_summaries", "chapter_summaries", "global_summary", "rules_exam", "rules_plain", "focus_items",
+        "chapters_report", "micro_summaries_report", "chapter_summaries_report", "global_summary_report", "rules_exam_report", "rules_plain_report", "focus_items_report"])
+    assert jsonl.read_paragraphs(spark, written["paragraphs"])[0].count() == tables["paragraphs"].count()
+    assert jsonl.read_chapters(spark, written["chapters"])[0].count() == tables["chapters"].count()
+    whole = {r["video_id"]: r["report"] for r in reports.chapter_report(tables["chapters"]).collect()}
+    read = {}
+    for r in jsonl.read_reports(spark, written["chapters_report"]).collect():
+        read.setdefault(r["video_id"], []).append(r["line"])
+    assert {k: "\n".join(v) for k, v in read.items()} == whole and len(whole) == 3
+    assert set(write_outputs({"paragraphs": tables["paragraphs"]}, str(tmp_path / "p"), form="parquet")) == {"paragraphs"}
+    assert spark.read.parquet(str(tmp_path / "p/clean_paragraphs")).count() == tables["paragraphs"].count()

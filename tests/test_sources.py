@@ -70,3 +70,28 @@ def test_stream(spark, tmp_path):
     q = stream_segments(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("heard").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("heard").count() == 3
+
+
+def test_nameless_segments_by_file(spark, tmp_path):
+    """Many files whose rows name no lecture are as many lectures, if asked; else one."""
+    for i in range(12):
+        (tmp_path / f"{i}.jsonl").write_text('{"src":"x"}\n{"src":"y","video_id":"named"}\n' * 3)
+    one = jsonl.read_segments(spark, str(tmp_path))[0]
+    assert {r["video_id"]: r["count"] for r in one.groupBy("video_id").count().collect()} == {"unknown": 36, "named": 36}
+    each = {r["video_id"]: r["count"] for r in jsonl.read_segments(spark, str(tmp_path), by_file=True)[0].groupBy("video_id").count().collect()}
+    assert each.pop("named") == 36
+    assert len(each) == 12 and set(each.values()) == {3} and all(k.startswith("unknown:") and k.endswith(".jsonl") for k in each)
+
+
+def test_reports_are_found_by_lecture_in_order(spark, tmp_path):
+    rows = [(f"v/{i}", "\n".join(f"line {k} of {i}" for k in range(i)), "other") for i in range(1, 40)] + [("12", "a\n\nb", "other")]
+    df = spark.createDataFrame(rows, "video_id string, report string, more string").repartition(5)
+    jsonl.write_report(df, str(tmp_path / "r"))
+    got = {}
+    for r in jsonl.read_reports(spark, str(tmp_path / "r")).collect():
+        got.setdefault(r["video_id"], []).append(r["line"])
+    assert {k: "\n".join(v) for k, v in got.items()} == {v: t for v, t, _ in rows}
+    folder = next(tmp_path.glob("r/video_id=12"))
+    assert "".join(p.read_text() for p in sorted(folder.glob("part*"))) == "a\n\nb\n"
+    jsonl.write_report(df, str(tmp_path / "m"), "more")
+    assert {r["line"] for r in jsonl.read_reports(spark, str(tmp_path / "m")).collect()} == {"other"}

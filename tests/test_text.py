@@ -123,3 +123,23 @@ def test_title_candidates(spark):
 def test_json_array(spark, raw, n):
     size = one(spark, lambda c: F.when(tx.json_array(c).isNotNull(), F.size(tx.json_array(c))).cast("string"), raw)
     assert size == (None if n is None else str(n))
+
+
+def test_characters_taken_for_unchanged_are():
+    """None changes under NFKC, combines with what is before it, or is reordered."""
+    import unicodedata
+
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    second = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")}
+    for a, b in tx.UNCHANGED:
+        for c in range(a, b + 1):
+            assert unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in second, hex(c)
+
+
+def test_only_texts_that_may_change_leave(spark):
+    import unicodedata
+
+    texts = [None, "", "plain", "（掌声）！", "e\u0301", "\u1100\u1161", "ｱｲ", "ﬁ ½", "中文，。", "中文、。《》", "é", "\u3000x", "か\u3099", "a\u00a0b", "①", "Ж", "\x1c", "😀"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", tx.compatible(F.col("s")).alias("t"), F.col("s").rlike(tx.MAY_CHANGE).alias("leaves")).collect()
+    assert [r["t"] for r in rows] == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert {r["s"] for r in rows if r["leaves"] is False} >= {"", "plain", "中文、。《》", "é", "Ж"}
