@@ -42,9 +42,11 @@ from .tokens import Places, slices
 #: Bands and places in each: two sets of similarity 0.85 share no band once in 10 ** 8 pairs.
 BANDS, PLACES = 32, 5
 #: Words whose hashes a worker keeps before it starts afresh.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 #: Texts of more bytes than this are hashed alone, this many words at a time.
 LONG_TEXT, HASHED_AT_ONCE = 1 << 20, 1 << 16
+#: Elements whose orders are held at once; a larger set needs none, as its first draws fill all places.
+ORDERED_AT_ONCE = 1 << 16
 #: Pivots of the rounds of verification; later rounds take so many times as many as the one before.
 FIRST_PIVOTS, MORE_PIVOTS = 1, 64
 #: Bands that a round of their own looks at first, so that a large group isn't linked once for every band.
@@ -129,6 +131,12 @@ def shingle_sets(texts: list[str | None], words_per_shingle: int = 5) -> list[np
 
 def signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     """A row of ``places`` values for every set: the rank above 32 bits of fraction; all ones for empty sets."""
+    group = np.cumsum([len(s) for s in sets]) // ORDERED_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sets)] if len(sets) else [0, 0]
+    return np.concatenate([_signatures(sets[i:j], places) for i, j in zip(cuts, cuts[1:], strict=False)])
+
+
+def _signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     sig = np.full((len(sets), places), _NONE, np.uint64)
     flat, element = sig.reshape(-1), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row, order = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), None
