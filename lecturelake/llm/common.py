@@ -53,6 +53,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_folder(spark: SparkSession, name: str = "lecturelake") -> str:
+    """A folder of its own in the shared folder, noted for ``clean_up``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    noted = getattr(spark.sparkContext, "_lecturelake_written", None)
+    if noted is None:
+        noted = spark.sparkContext._lecturelake_written = []
+    noted.append(path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove all tables and files that operations of this session have written to the shared folder.
+
+    Results read them, so call it once these are written; gives the number of folders.
+    """
+    noted = getattr(spark.sparkContext, "_lecturelake_written", [])
+    for path in noted:
+        _remove(spark, path)
+    n = len(noted)
+    noted.clear()
+    return n
+
+
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -60,7 +88,7 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     plan runs once, not once to count and once to write.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lecturelake-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
@@ -71,6 +99,6 @@ def discard(df: DataFrame) -> None:
     """Remove the files of a ``materialize``d frame that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _remove(df.sparkSession, path)
+        df.sparkSession.sparkContext._lecturelake_written.remove(path)
+        df._shared_path = None

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, new_folder
 from .tokens import chunks
 
 #: Words that no text can contain: the start context and the end token.
@@ -326,7 +326,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, shard_entries: int = 1 << 20) -> dict:
     """Count the rows that are not held out and write the model; what is returned is a few numbers."""
     spark = docs.sparkSession
-    folder = f"{local(shared_dir(spark))}/ngram-{uuid.uuid4().hex}"
+    folder = local(new_folder(spark, "ngram"))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = _texts(docs.where(crc % 10 != 0))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -23,10 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .common import shared_dir
+    from .common import new_folder
     from .warc import archive_of, read_warc, resolve, write_warc
 
-    path = f"{shared_dir(spark)}/lecturelake-warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_warc(archive_of(table(spark, sf_dir, "pages")), path)
     found = resolve(read_warc(spark, path, bodies=False))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
@@ -74,10 +72,9 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import materialize
-    from .sharding import assign, with_slots
+    from .sharding import assign_with_slots
 
-    return with_slots(materialize(assign(table(spark, sf_dir, "documents"), SHARD_BYTES)))
+    return assign_with_slots(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ are kept; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import new_folder
 from .tokens import chunks, encoder, gather
 
 MAGIC, NO_ID = b"RPR1", -(1 << 63)
@@ -282,6 +281,6 @@ def read_token_shards(spark: SparkSession, path: str, end_id: int = 2, keep_ids:
 def token_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, **how) -> DataFrame:
     """Write the shards into the shared folder and read every document back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    path = new_folder(spark, "token-shards")
     write_token_shards(docs, path, vocabulary, end_id, **how)
     return read_token_shards(spark, path, end_id)

@@ -54,6 +54,17 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
     ``shard`` is the bucket's prefix as text (``-`` at depth 0).  Cells are made about
     ``2 ** spread`` times smaller than the limit; where that is not enough, ``more`` bits follow.
     """
+    return _assigned(docs, limit, columns, spread, more)[0]
+
+
+def assign_with_slots(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), spread: int = 6, more: int = 10) -> DataFrame:
+    """``with_slots`` of ``assign``, with the global depth read from the buckets instead of the rows."""
+    placed, depth = _assigned(docs, limit, columns, spread, more)
+    return with_slots(placed, depth)
+
+
+def _assigned(docs: DataFrame, limit: int, columns: Sequence[str], spread: int, more: int) -> tuple[DataFrame, int]:
+    """The rows of ``assign``, and the largest depth."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     place = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
@@ -62,7 +73,7 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
     rows = materialize(docs.select(*kept, size.alias("_bytes"), _hash(name).alias("_h0"), _hash(place).alias("_h1"), F.lit("").alias("_base")))
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
     bits = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + spread)
-    out, used = [], 0
+    out, used, deepest = [], 0, 0
     while True:
         h, last = ("_h0", used) if used < BITS else ("_h1", used - BITS)
         bits = min(bits, BITS - last)
@@ -80,13 +91,14 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
         # Above the shallowest prefix that fits there is nothing to find, so no prefix is looked
         # up by more than the few cells below it.
         deep = F.explode(F.sequence(F.lit(bits if least is None else least), F.lit(bits))).alias("_d")
-        leaves = (
+        leaves = materialize(
             cells.select("_base", "_cell", deep)
             .select("_base", "_cell", "_d", prefix)
             .join(nodes, ["_base", "_d", "_p"])
             .groupBy("_base", "_cell")
             .agg(F.min(F.struct("_d", "_p", "_nb", "_nn")).alias("_leaf"))
         )
+        deepest = max(deepest, used + (leaves.agg(F.max("_leaf._d")).first()[0] or 0))
         found = open_rows.join(leaves, ["_base", "_cell"], "left")
         code = F.concat("_base", F.when(F.col("_leaf._d") > 0, F.expr("lpad(bin(_leaf._p), _leaf._d, '0')")).otherwise(""))
         settled = found.where(F.col("_leaf").isNotNull()).select(
@@ -100,16 +112,17 @@ def assign(docs: DataFrame, limit: int, columns: Sequence[str] = ("doc_id",), sp
         out.append(settled)
         over = cells.where((F.col("_b") > limit) & (F.col("_n") > 1)).limit(1).count()
         if final or not over:
-            return reduce(DataFrame.unionByName, out)
+            return reduce(DataFrame.unionByName, out), deepest
         rest = found.where(F.col("_leaf").isNull()).withColumn("_base", F.concat("_base", F.expr(f"lpad(bin(_cell), {bits}, '0')")))
         rows = materialize(rest.select(*[f"_k{i}" for i in range(len(columns))], "_bytes", "_h0", "_h1", "_base"))
         used, bits = used + bits, more
 
 
-def with_slots(placed: DataFrame) -> DataFrame:
+def with_slots(placed: DataFrame, depth: int | None = None) -> DataFrame:
     """``placed`` (from ``assign``) with its place in the directory: ``global_depth`` (bits that index
-    it), and the bucket's ``first_slot`` (as bits) and number of ``slots`` (null past a long)."""
-    depth = placed.agg(F.max("depth")).first()[0] or 0
+    it), and the bucket's ``first_slot`` (as bits) and number of ``slots`` (null past a long).  ``depth``: the global depth, where it
+    is known."""
+    depth = (placed.agg(F.max("depth")).first()[0] or 0) if depth is None else depth
     spare = F.lit(depth) - F.col("depth")
     bits = F.when(F.col("shard") == "-", "").otherwise(F.col("shard"))
     return placed.select(

@@ -27,7 +27,7 @@ import gzip
 import io
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
@@ -176,14 +176,29 @@ def parse(parts: DataFrame) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip", records_per_file: int = 10_000) -> None:
-    """Write ``records`` (as ``serialize`` takes them) as files of a bounded number of records."""
-    lines = serialize(records).select(F.col("warc").alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+#: Bytes of records in a file at most, and the classes of record sizes by which that is kept.
+FILE_BYTES, SIZE_CLASSES = 1 << 29, (1 << 16, 1 << 22)
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", records_per_file: int = 8192, file_bytes: int = FILE_BYTES, classes: Sequence[int] = SIZE_CLASSES) -> None:
+    """Write ``records`` (as ``serialize`` takes them) as files of at most ``file_bytes`` before compression, and
+    of at most so many records.
+
+    Records are written by classes of size, each with as many to a file as fit if all have the largest
+    size of the class; those above the last class have a file each.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("http", "body", "url")), F.lit(1024))
+    sized = records.withColumn("_class", sum(((size > c).cast("int") for c in classes), F.lit(0)))
+    for k in sorted(r["_class"] for r in sized.select("_class").distinct().collect()) or [0]:
+        fit = max(1, file_bytes // classes[k]) if k < len(classes) else 1
+        lines = serialize(sized.where(F.col("_class") == k).drop("_class")).select(F.col("warc").alias("value"))
+        writer = lines.write.mode("append").option("lineSep", CRLF * 2).option("compression", compression)
+        writer.option("maxRecordsPerFile", min(records_per_file, fit)).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
-    """Records of files, plain or gzipped; a file is read by one task and must be smaller than 2 GB."""
+    """Records of files, plain or gzipped; a file is read by one task and must be smaller than 2 GB (those of
+    ``write_warc`` are, unless one record is larger)."""
     return parse(cut_files(spark.read.format("binaryFile").load(path), bodies))
 
 

@@ -85,3 +85,23 @@ def test_carried_columns_keep_clear_of_the_results(clashing, spark, tmp_path):
     s.write_shards(clashing, str(tmp_path / "out"), 100)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == clashing.count() and back.where("_shard = 'x' and _bytes = 'x'").count() == back.count()
+
+
+def test_global_depth_is_that_of_the_rows(docs, rows):
+    from lecturelake.llm.sharding import assign, assign_with_slots, with_slots
+
+    for limit in (1 << 12, 1 << 16, 1 << 40):
+        assert rows(assign_with_slots(docs, limit)) == rows(with_slots(assign(docs, limit)))
+
+
+def test_what_a_session_has_written_can_be_removed(spark, docs):
+    from pathlib import Path
+
+    from lecturelake.llm.common import clean_up, discard, materialize
+
+    one, two = (materialize(docs.limit(5)) for _ in range(2))
+    paths = [Path(x._shared_path.removeprefix("file://")) for x in (one, two)]
+    discard(one)
+    assert not paths[0].exists() and paths[1].exists() and two.count() == 5
+    assert clean_up(spark) >= 1 and not paths[1].exists()
+    assert clean_up(spark) == 0

@@ -163,3 +163,18 @@ def test_odd_dates_leave_slices_even(spark, intervals):
     dated = sorted((r["date_ms"], r["_slice"]) for r in found if r["date_ms"] is not None)
     assert len(found) == 2003 and [x[1] for x in dated] == sorted(x[1] for x in dated)
     assert max(Counter(x[1] for x in dated).values()) <= max(150, 2000 // intervals + 50)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Records of all sizes: no file holds more bytes than the bound, unless it holds one record."""
+    sizes = [10] * 300 + [3000] * 40 + [9000] * 12 + [90_000] * 3
+    random.Random(1).shuffle(sizes)
+    rows = [(i, "response", "http://a/", 0, "ETag: x", "b" * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, RECORDS).repartition(2)
+    w.write_warc(df, f"{tmp_path}/w", "none", file_bytes=40_000, classes=(2000, 6000, 20_000))
+    files = [p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    held = [x.count(b"WARC-Record-ID") for x in files]
+    assert sum(held) == len(sizes) and all(n == 1 or len(x) <= 40_000 for n, x in zip(held, files, strict=True))
+    assert max(held) > 10
+    got = {r["record_id"]: len(r["body"]) for r in w.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert got == dict(enumerate(sizes))
