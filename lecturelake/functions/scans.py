@@ -3,12 +3,15 @@
 Rows are dealt out by lecture and block: an hour, or a run of paragraph numbers.  Values run inside
 blocks, and what earlier blocks add comes from a window over one row per block.
 
-Both levels read the same dealt rows.  ``block_rows`` touches every column, so that the engine finds one
-exchange to reuse and the rows are made once.
+Both levels read the same dealt rows.  ``block_rows`` touches the columns that the rows themselves carry
+on (all, or those named), so that the engine finds one exchange to reuse and the rows are made once;
+where more or fewer are carried on, they are made twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,17 +51,18 @@ def before() -> W:
     return along().rowsBetween(W.unboundedPreceding, -1)
 
 
-def block_rows(dealt: DataFrame, *values: Column) -> DataFrame:
+def block_rows(dealt: DataFrame, *values: Column, touch: Sequence[str] | None = None) -> DataFrame:
     """One row per block."""
-    plain = [f.name for f in dealt.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    plain = touch or [f.name for f in dealt.schema if not isinstance(f.dataType, (MapType, VariantType))]
     touched = F.max(F.xxhash64(*[f"`{c}`" for c in plain])).isNotNull()
     return dealt.groupBy(*KEYS).agg(*values, touched.alias("_touched")).where("_touched").drop("_touched")
 
 
-def numbered(rows: DataFrame, block: Column, order: list[Column | str], name: str, total: str | None = None, key: str = "video_id") -> DataFrame:
-    """``rows`` with ``name``, from 1 in each lecture, and ``total``, the lecture's number of rows."""
+def numbered(rows: DataFrame, block: Column, order: list[Column | str], name: str, of: Sequence[str], total: str | None = None, key: str = "video_id") -> DataFrame:
+    """``rows`` with ``name``, from 1 in each lecture, and ``total``, the lecture's number of rows; ``of``
+    names the columns that ``order`` is made of."""
     dealt = deal(rows, block, key)
-    sizes = block_rows(dealt, F.count(F.lit(1)).alias("_n"))
+    sizes = block_rows(dealt, F.count(F.lit(1)).alias("_n"), touch=[key, *of])
     ahead = [F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_ahead")]
     if total:
         ahead.append(F.sum("_n").over(W.partitionBy(LECTURE)).alias("_all"))

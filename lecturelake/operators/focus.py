@@ -119,15 +119,15 @@ def focus_rank(items: DataFrame) -> DataFrame:
     key = is_key() | F.coalesce(F.col("type") == lx.KEY_TYPE, F.lit(False))
     rows = items.withColumn("is_key", key)
     block = F.when(F.col("is_key"), 0).otherwise(1 << 50) + by_number()
-    return numbered(rows, block, [F.col("is_key").desc(), "paragraph_id", "pos"], "rank")
+    return numbered(rows, block, [F.col("is_key").desc(), "paragraph_id", "pos"], "rank", ["is_key", "paragraph_id", "pos"])
 
 
 def key_list(items: DataFrame) -> DataFrame:
     """Key sentences, numbered within each lecture."""
-    return numbered(items.where(is_key()), by_number(), ["paragraph_id", "pos"], "number")
+    return numbered(items.where(is_key()), by_number(), ["paragraph_id", "pos"], "number", ["paragraph_id", "pos"])
 
 
 def non_key_examples(items: DataFrame, first: int = 10) -> DataFrame:
     """The first other sentences of each lecture, numbered, and ``rest``: how many are left out."""
-    rows = numbered(items.where(~is_key()), by_number(), ["paragraph_id", "pos"], "number", "rest")
+    rows = numbered(items.where(~is_key()), by_number(), ["paragraph_id", "pos"], "number", ["paragraph_id", "pos"], "rest")
     return rows.where(F.col("number") <= first).withColumn("rest", F.greatest(F.col("rest") - first, F.lit(0)))

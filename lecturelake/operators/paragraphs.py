@@ -14,7 +14,7 @@ from ..schemas import segment_order
 
 def order_segments(segments: DataFrame) -> DataFrame:
     """``segments`` with ``seq``, from 1 within each lecture."""
-    return numbered(segments, by_time(), segment_order(), "seq")
+    return numbered(segments, by_time(), segment_order(), "seq", ["start_ms", "end_ms", "segment_id"])
 
 
 def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int = 1500, style: str = "student", words: lx.Lexicon = lx.DEFAULT) -> DataFrame:

@@ -89,7 +89,8 @@ def micro_summaries(segments: DataFrame, window_sec: int = 60, max_len: int = 60
     what the summary can show is joined, so a window may hold any number of segments.
     """
     width = window_sec * 1000
-    rows = number_windows(segments, window_sec).withColumnRenamed("src", "text")
+    needed = segments.select("video_id", "segment_id", "start_ms", "end_ms", "src")
+    rows = number_windows(needed, window_sec).withColumnRenamed("src", "text")
     bounds = F.min("first_ms").alias("first_ms"), (F.min("seq") == 0).alias("_opens")
     found = first_sentences(rows, ["video_id", "window_idx"], ["seq"], *bounds, *exam_lists(exam, words))
     found = found.withColumn("_w", F.when(F.col("_opens") & (F.col("window_idx") == 1), F.array(F.lit(0).cast("long"), "window_idx")).otherwise(F.array("window_idx")))

@@ -140,12 +140,12 @@ def test_numbers_over_blocks(spark):
     rng = random.Random(2)
     rows = [(f"v{i % 2}" if i % 7 else None, rng.randrange(5000), i) for i in range(4000)]
     df = spark.createDataFrame(rows, "video_id string, paragraph_id long, pos long").repartition(3)
-    got = numbered(df, by_number(), ["paragraph_id", "pos"], "n", "all").collect()
+    got = numbered(df, by_number(), ["paragraph_id", "pos"], "n", ["paragraph_id", "pos"], "all").collect()
     by = {}
     for r in sorted(rows, key=lambda r: r[1:]):
         by.setdefault(r[0], []).append(r)
     assert {(r["video_id"], r["paragraph_id"], r["pos"], r["n"], r["all"]) for r in got} == {(*r, i + 1, len(own)) for own in by.values() for i, r in enumerate(own)}
-    assert numbered(df.limit(0), by_number(), ["pos"], "n").collect() == []
+    assert numbered(df.limit(0), by_number(), ["pos"], "n", ["pos"]).collect() == []
 
 
 def test_chapters_over_blocks(spark):
