@@ -85,6 +85,21 @@ def test_sketches_of_near_sets_stay_within_their_bound():
     assert max(found[1::2]) <= bound < min(found[::2])
 
 
+def test_odd_sketches_never_differ_in_more_bits_than_the_sets_in_elements():
+    rng = np.random.default_rng(7)
+    for n, apart in [(1, 0), (3, 3), (60, 7), (60, 60), (300, 40), (5000, 9), (5000, 5000)] * 20:
+        x = np.unique(rng.integers(0, 1 << 63, n + apart).astype(np.uint64))
+        sets = [x[:n], x[apart:]]
+        a, b = s.odd_sketches(sets).view(np.uint64)
+        bits, differ = int(np.bitwise_count(a ^ b).sum()), len(np.setxor1d(*sets))
+        assert bits <= differ and bits % 2 == differ % 2
+        # Few differing elements seldom meet at a bit, however large the sets are.
+        assert differ > 80 or bits >= 0.6 * differ
+    assert s.odd_sketches([]).shape == (0, s.PARITY_BITS // 64)
+    many = [np.arange(i, dtype=np.uint64) for i in range(s.COUNTED_AT_ONCE + 2)]
+    assert (s.odd_sketches(many)[-1] == s.odd_sketches(many[-1:])[0]).all() and not s.odd_sketches(many)[0].any()
+
+
 def test_sets(edge):
     rng = random.Random(1)
     gaps = [" ", "  ", "\n", "\t \r\n", "\x0b", "\x0c"]
@@ -161,7 +176,7 @@ def test_a_hot_group_makes_few_pairs(spark):
     texts = [" ".join(edited(rng, words, 1)) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = s.signed(df)
-    classes = materialize(rows.select("doc_id", "text_hash", "n_shingles", "bands", "sketch", F.monotonically_increasing_id().alias("node")))
+    classes = materialize(rows.select("doc_id", "text_hash", "n_shingles", "bands", "sketch", "odd", F.monotonically_increasing_id().alias("node")))
     pairs, plain = [], s.verified
     try:
         s.verified = lambda p, *how: pairs.append(p.count()) or plain(p, *how)
@@ -172,6 +187,29 @@ def test_a_hot_group_makes_few_pairs(spark):
     assert len({r["v"] for r in edges.collect()}) == 1 and edges.count() == 600
 
 
+def test_a_hot_group_just_beyond_the_limit_is_seldom_verified(spark):
+    """Texts that share buckets throughout while few are near: the bits leave most others out, and no link is lost."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(rng, words, rng.choice([1, 3, 4]))) for _ in range(400)]
+    pairs, near, plain = [], [], s.verified
+
+    def counted(p, *how):
+        found = plain(p, *how)
+        pairs.append(p.count())
+        near.append(found.count())
+        return found
+
+    try:
+        s.verified = counted
+        got = s.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    finally:
+        s.verified = plain
+    assert [r["component_id"] for r in got] == plain_groups(texts)
+    # Most pairs whose full sets are read are links.
+    assert sum(near) > 0.5 * sum(pairs)
+
+
 def test_edges(spark, edge, empty, clashing, rows):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in s.near_duplicates(edge).collect()}
     n = len(plain_set(edge.where("doc_id = 5").first()["text"]))
