@@ -372,7 +372,8 @@ SELECT video_id, '《学习笔记》' || chr(10) || chr(10) || '一句话 KPI：
         "chapters_roundtrip": chs + "SELECT video_id, chapter_id, title, n_items, array_to_string(texts, '|') AS texts FROM ch",
         "paragraphs_roundtrip": par + "SELECT video_id, paragraph_id, start_ms, end_ms, text FROM par",
         "report_roundtrip": chs + "SELECT video_id, line, count(*) AS n FROM (SELECT video_id, unnest(string_split(report, chr(10))) AS line FROM (" + report(["=== 课程章节分割结果 ===", ""], "ch", "chapter_id", CHAPTER_BLOCK) + ")) GROUP BY video_id, line",
-        "media_list": "SELECT 'group-' || CAST(doc_id // 50 AS VARCHAR) AS folder, CAST(1 AS BIGINT) AS n FROM documents GROUP BY ALL",
+        "media_list": f"WITH {SEGMENTS}, files AS (SELECT 'group-' || CAST(doc_id // 50 AS VARCHAR) AS folder, doc_id // 10 AS file, CAST(sum(strlen(src) + 1) AS BIGINT) AS bytes FROM s3 GROUP BY ALL) "
+        "SELECT folder, file, count(*) OVER (PARTITION BY folder) AS n, row_number() OVER (ORDER BY folder, CAST(file AS VARCHAR)) AS place, bytes FROM files",
         "pipeline_chapters": job + chapter_ctes("pp") + " SELECT video_id, chapter_id, title, start_ms, end_ms, n_items FROM ch",
         "pipeline_global": job + chapter_ctes("pp") + f", {GLOBAL} SELECT video_id, one_line, {flat('exam_points')} FROM g",
         "focus_job": f"WITH {ITEMS}{RESPONSES}, al AS (SELECT * FROM (" + aligned("listed AND k = len(ss)", "category / CAST(NULL AS VARCHAR)").split(RESPONSES, 1)[1] + ")) " + stats("al"),

@@ -22,3 +22,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert QUERIES.keys() <= __spark_entry__.queries().keys()
+
+
+def test_media_list_holds_every_transcript_in_order(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lecturelake.plans import fixtures as fx
+
+    lines = fx.segments(spark, sf_dir).select(F.substr("video_id", F.lit(2)).cast("long").alias("d"), F.octet_length("src").alias("n"))
+    want = {r["file"]: r["bytes"] for r in lines.groupBy(F.expr("d div 10").alias("file")).agg(F.sum(F.col("n") + 1).alias("bytes")).collect()}
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        rows = QUERIES["media_list"](spark, sf_dir).orderBy("place").collect()
+    finally:
+        spark.conf.unset(key)
+    assert {r["file"]: r["bytes"] for r in rows} == want
+    assert [r["place"] for r in rows] == [*range(1, len(want) + 1)]
+    assert [f"{r['folder']}/{r['file']}" for r in rows] == sorted(f"group-{f // 5}/{f}" for f in want)
