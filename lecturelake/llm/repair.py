@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .tokens import chunks, encoder, gather
+from .tokens import encoder, gather, slices
 
 MAGIC, NO_ID = b"RPR1", -(1 << 63)
 SYMBOLS = 1 << 16
@@ -50,7 +50,7 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
     Ends when no pair occurs ``least`` times (or all symbols are used) and no pair that has a rule
     is left.  ``passes``: an earlier end, for callers that want one.
     """
-    end, rules, bar = terminals - 1, [], None
+    end, rules, n_rules, bar = terminals - 1, [np.zeros(0, np.uint32)], 0, None
     known, symbols, mark = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.uint32(end * 65537)
     while len(seq) > 1 and passes != 0:
         key = seq[:-1].astype(np.uint32)
@@ -58,7 +58,7 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         key |= seq[1:]
         ends = np.flatnonzero(seq == end)
         key[ends[ends < len(key)]] = key[ends[ends > 0] - 1] = mark
-        free = SYMBOLS - terminals - len(rules)
+        free = SYMBOLS - terminals - n_rules
         best = np.zeros(0, np.uint32)
         if free:
             ordered = np.sort(key)
@@ -79,8 +79,9 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         best, fresh = best[order], fresh[order]
         hit = np.zeros(1 << 20, bool)
         hit[_slots(best)] = True
-        at = np.flatnonzero(hit.take(_slots(key)))
-        found, place = _among(key[at], best)
+        slots = _slots(key)
+        at = np.flatnonzero(hit.take(slots))
+        found, place = _known(key[at], slots[at], best)
         at, place = at[found], place[found]
         if not len(at):
             break
@@ -101,10 +102,11 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         new = fresh & (used >= max(1, min(bar, used[fresh].max(initial=0)) // 2))
         new &= np.cumsum(new) <= free
         symbol = np.zeros(len(best), np.uint16)
-        symbol[new] = terminals + len(rules) + np.arange(np.count_nonzero(new))
+        symbol[new] = terminals + n_rules + np.arange(np.count_nonzero(new))
         if not fresh.all():
             symbol[~fresh] = symbols[_among(best[~fresh], known)[1]]
-        rules += [(x >> 16, x & 0xFFFF) for x in best[new].tolist()]
+        rules.append(best[new])
+        n_rules += len(rules[-1])
         known, symbols = np.concatenate([known, best[new]]), np.concatenate([symbols, symbol[new]])
         order = np.argsort(known)
         known, symbols = known[order], symbols[order]
@@ -117,7 +119,8 @@ def replace_pairs(seq: np.ndarray, terminals: int, passes: int | None = None, pe
         if np.count_nonzero(new) < 1024:
             bar = max(least, bar // 4)
         passes = None if passes is None else passes - 1
-    return seq, np.array(rules, np.int64).reshape(-1, 2)
+    pairs = np.concatenate(rules).astype(np.int64)
+    return seq, np.stack([pairs >> 16, pairs & 0xFFFF], axis=1)
 
 
 def _often(ordered: np.ndarray, bar: int, known: np.ndarray, mark: np.uint32) -> np.ndarray:
@@ -129,6 +132,20 @@ def _often(ordered: np.ndarray, bar: int, known: np.ndarray, mark: np.uint32) ->
     return pairs[(pairs != mark) & ~_among(pairs, known)[0]]
 
 
+def _known(pairs: np.ndarray, slots: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_among``, by the pairs' slots; only where several of ``ordered`` share one, by order."""
+    own, numbers, table = _slots(ordered), np.arange(len(ordered)), np.zeros(1 << 20, np.intp)
+    table[own] = numbers
+    place = table[slots]
+    found = ordered[place] == pairs
+    hidden = np.flatnonzero(table[own] != numbers)
+    if len(hidden):
+        rest = np.flatnonzero(~found)
+        found[rest], which = _among(pairs[rest], ordered[hidden])
+        place[rest] = hidden[which]
+    return found, place
+
+
 def _among(pairs: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each pair is one of ``ordered`` (ascending), and where."""
     if not len(ordered):
@@ -228,11 +245,11 @@ def write_token_shards(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
-        for doc_ids, texts in chunks(batches):
-            found, counts = enc.encode(texts)
+        for b in slices(batches):
+            found, counts = enc.encode(b.column("text"))
             own.append(np.insert(found.astype(np.uint16), np.cumsum(counts), terminals - 1))
             sizes.append(counts + 1)
-            ids += doc_ids
+            ids += b.column("doc_id").to_pylist()
             held += len(own[-1])
             if held >= shard_ids:
                 yield flush()

@@ -12,9 +12,13 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import attrgetter
+from string import ascii_lowercase
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose ids a worker keeps before it starts afresh, and bytes of text worked on at once.
 WORDS_KEPT = 1_000_000
@@ -72,6 +76,9 @@ class Encoder:
         self.ends: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
+        # Place 0: no word, no ids.
+        self.place[b""]
+        self.place.new = []
 
     def letters(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Ids of words of Latin letters, straight from the model, and how many each has (-1: none, as
@@ -83,15 +90,18 @@ class Encoder:
         latin = [w for w in words if not w.isascii() and max(w) <= LATIN_END and "İ" not in w and unicodedata.is_normalized("NFC", w)]
         shown = "\n".join(latin).lower().encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[10])
         as_bytes = dict(zip(latin, shown, strict=True)) if latin else {}
-        tokenize, ids, sizes = self.model.tokenize, [], []
-        for w in words:
-            w = w if w.isascii() else as_bytes.get(w)
-            if w is None:
-                sizes.append(-1)
-                continue
-            found = tokenize(w)
-            sizes.append(len(found))
-            ids += [x.id for x in found]
+        known = [w if w.isascii() else as_bytes.get(w) for w in words]
+        ids, sizes = self.modelled([w for w in known if w is not None])
+        sizes = iter(sizes)
+        return ids, [-1 if w is None else next(sizes) for w in known]
+
+    def modelled(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of words as the model takes them, and how many each has; a few words' tokens are held at once."""
+        ids, sizes, number = [], [], attrgetter("id")
+        for k in range(0, len(words), 128):
+            found = list(map(self.model.tokenize, words[k : k + 128]))
+            sizes += map(len, found)
+            ids += map(number, chain.from_iterable(found))
         return ids, sizes
 
     def learn(self) -> None:
@@ -104,7 +114,13 @@ class Encoder:
         first = len(self.place) - len(new)
         texts = b"\n".join(new).decode("utf-8").split("\n")
         plain, odd, marked, cores, runs = [], [], [], [], []
-        for i, t in enumerate(texts):
+        simple = np.zeros(len(texts), bool)
+        if self.plain_letters:
+            raw = pa.array(texts, pa.string())
+            simple = pc.and_(pc.string_is_ascii(raw), pc.ascii_is_alpha(raw)).to_numpy(zero_copy_only=False)
+            self.keep(first + np.flatnonzero(simple), *self.modelled(list(compress(texts, simple))))
+        for i in np.flatnonzero(~simple).tolist():
+            t = texts[i]
             core = t.rstrip(MARKS)
             if not core.isalpha() or not core.isascii() and not unicodedata.normalize("NFC", core).lower()[-1].isalpha():
                 # Not letters, or what they become ends in a sign, which belongs to the marks behind.
@@ -169,13 +185,37 @@ class Encoder:
                 out += [w if self.special.search(w.lower()) else w.lower() for w in part.split()]
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, texts: list[str | None] | pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts (see ``words``), one after the other, and how many each has."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.string())
+        low = pc.ascii_lower(texts)
+        if self.special is not None and pc.any(pc.match_substring(low, self.hint)).as_py():
+            found = [self.words(t or b"") for t in texts.cast(pa.large_binary()).to_pylist()]
+            return pa.array(chain.from_iterable(found), pa.string()), np.fromiter(map(len, found), np.int64, len(found))
+        lists = pc.ascii_split_whitespace(low)
+        words, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        full = pc.not_equal(pc.binary_length(words), 0)
+        return words.filter(full), np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > WORDS_KEPT:
             self.reset()
-        split = [self.words((t or "").encode("utf-8", "replace")) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if self.place.new:
+        words, counts = self.split(texts)
+        # Each word of these texts is looked up once, and one of plain letters without the marks behind it.
+        words = words.dictionary_encode()
+        at, words = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        core = pc.ascii_rtrim(words, MARKS)
+        plain = pc.and_(pc.string_is_ascii(core), pc.ascii_is_alpha(core))
+        keys = pc.if_else(plain, core, words).dictionary_encode()
+        runs = pc.if_else(plain, pc.ascii_ltrim(words, ascii_lowercase), "").dictionary_encode()
+        known = keys.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.place.get, known, repeat(-1)), np.int64, len(known))
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            places[fresh] = len(self.place) + np.arange(len(fresh))
+            self.place.new = known[fresh].tolist()
+            self.place.update(zip(self.place.new, places[fresh].tolist(), strict=True))
             # Very many small objects and no cycles: the collector would only walk over them.
             running = gc.isenabled()
             gc.disable()
@@ -184,10 +224,14 @@ class Encoder:
             finally:
                 if running:
                     gc.enable()
-        sizes = self.sizes[at]
-        ids = gather(self.flat, self.starts[at], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)] if len(split) else np.zeros(0, np.int64)
-        return ids, np.diff(ends, prepend=0)
+        ends = np.array([self.marks(r) if r else 0 for r in runs.dictionary.to_pylist()], np.int64)
+        pairs = np.stack([places[keys.indices.to_numpy(zero_copy_only=False)], ends[runs.indices.to_numpy(zero_copy_only=False)]], axis=1)
+        sizes = self.sizes[pairs]
+        flat, sizes = gather(self.flat, self.starts[pairs].ravel(), sizes.ravel()), sizes.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        sizes = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        return gather(flat, starts[at], sizes), np.diff(ends, prepend=0)
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

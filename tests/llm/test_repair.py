@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lecturelake.llm import repair as r
@@ -103,3 +104,26 @@ def test_special_tokens_capitals_and_one_id_for_many_rows(spark):
     assert Counter((x[0], x[3]) for x in got) == Counter(want)
     assert [x[1] for x in got] == [0, *itertools.accumulate(x[2] for x in got)][:-1]
     assert [x[0] for x in got] == [None] * 30 + [1] * 30
+
+
+def test_pairs_that_share_a_slot_are_found_by_order():
+    pairs = np.unique(np.random.default_rng(5).integers(0, 1 << 32, 60_000).astype(np.uint32))
+    some = pairs[::2]
+    assert len(set(r._slots(some).tolist())) < len(some)
+    found, place = r._known(pairs, r._slots(pairs), some)
+    want, at = r._among(pairs, some)
+    assert (found == want).all() and found.sum() == len(some) and (place[found] == at[want]).all()
+
+
+def test_words_with_marks_are_kept_once():
+    enc, marks = type(encoder(vocabulary()))(vocabulary()), ["", ".", ",", "!?", "***", ".,;:"]
+    texts = [" ".join(f"{w}{m}" for m in marks for w in ("alpha", "gamma", "words")), None, " \n ", "alpha\x0bGAMMA.\x1cx  don't. x1. ... ñu.. a|b"]
+    before = len(enc.place)
+    ids, counts = enc.encode(texts[:1])
+    assert len(enc.place) - before == 3 + len(marks) - 1
+    ids, counts = enc.encode(texts)
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for t in want for x in t] and counts.tolist() == [len(t) for t in want]
+    again, sizes = enc.encode(pa.array(texts))
+    assert again.tolist() == ids.tolist() and sizes.tolist() == counts.tolist()
+    assert [len(x) for x in enc.encode([])] == [0, 0]
