@@ -2,6 +2,10 @@
 
 White space is Unicode-wide: ``(?U)`` makes ``\\s`` so in Java, and U+001C-1F are added.  Lengths
 and cuts count code points.  All but ``nfkc`` are built-in expressions.
+
+Texts are mostly clean and mostly ASCII letters, and a pattern costs by the character.  So one look
+spares clean texts the chains of replacements, and patterns that begin with other characters say so
+first (``ahead``), as one range is tested many times faster than a set or a list of words.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql.types import StringType
 from .. import lexicon as lx
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of ``SPACE``.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.arrow_udf(StringType())
@@ -32,7 +38,7 @@ UNCHANGED = [
     (0x00, 0x7F), (0xC0, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x400, 0x45F), (0x2010, 0x2010),
     (0x2012, 0x2016), (0x2018, 0x2023), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FE), (0x4E00, 0x9FFF),
 ]
-MAY_CHANGE = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNCHANGED) + "]"
+MAY_CHANGE = r"[^\x00-\x7f](?<=[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNCHANGED) + "])"
 
 
 def compatible(s: Column) -> Column:
@@ -46,7 +52,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def squeeze(s: Column) -> Column:
@@ -58,20 +64,38 @@ def any_of(words: Sequence[str]) -> str:
     return "|".join(f"\\Q{w}\\E" for w in words)
 
 
+def ahead(firsts: Sequence[str]) -> str:
+    """What a pattern that begins with one of ``firsts`` may say first: it begins with no printable ASCII character."""
+    return "(?=[^ -~])" if all(w and not " " <= w[0] <= "~" for w in firsts) else ""
+
+
 def contains_any(s: Column, words: Sequence[str]) -> Column:
-    return s.rlike(any_of(words))
+    return s.rlike(f"{ahead(words)}(?:{any_of(words)})")
+
+
+def noisy(s: Column, fillers: Sequence[str], tags: Sequence[str], hesitations: str, marks: str = "") -> Column:
+    """Whether ``drop_noise`` may change the text, or a sentence of it where ``marks`` end sentences."""
+    lone = f"(?<=^|[ {marks}])(?:{any_of(fillers)})(?:$| {f'|(?<=[{marks}])' if marks else ''})"
+    firsts = [*fillers, *hesitations, *lx.BULLETS]
+    odd = f"(?U){ahead(firsts)}(?:[{lx.BULLETS}]|[{hesitations}]{{2}}|{lone}|{SPACE}(?<! ))"
+    tagged = rf"[\[(](?:{any_of(tags)})[\])]"
+    return s.contains("  ") | (strip(s) != s) | s.rlike(odd) | s.rlike(tagged)
 
 
 def drop_noise(s: Column, fillers: Sequence[str] = lx.FILLERS, tags: Sequence[str] = lx.SOUND_TAGS, hesitations: str = lx.HESITATIONS) -> Column:
     """The part of ``normalize`` after NFKC."""
-    s = F.regexp_replace(squeeze(s), f"[{lx.BULLETS}]+", "")
-    for left, right in (r"\[", r"\]"), (r"\(", r"\)"):
-        s = F.regexp_replace(s, f"{left}(?:{any_of(tags)}){right}", "")
-    s = F.regexp_replace(s, f"[{hesitations}]{{2,}}", "")
     alone = lambda w: rf"(?:^| )(?:{w})(?:$| )"
     chain = lambda s: reduce(lambda x, w: F.regexp_replace(x, alone(any_of([w])), " "), fillers, s)
-    # Most texts hold no filler that stands alone: one look spares them the chain.
-    return squeeze(let(s, lambda x: F.when(x.rlike(alone(any_of(fillers))), chain(x)).otherwise(x)))
+
+    def clean(s: Column) -> Column:
+        s = F.regexp_replace(squeeze(s), f"[{lx.BULLETS}]+", "")
+        for left, right in (r"\[", r"\]"), (r"\(", r"\)"):
+            s = F.regexp_replace(s, f"{left}(?:{any_of(tags)}){right}", "")
+        s = F.regexp_replace(s, f"[{hesitations}]{{2,}}", "")
+        # Most texts hold no filler that stands alone: one look spares them the chain.
+        return squeeze(let(s, lambda x: F.when(x.rlike(alone(any_of(fillers))), chain(x)).otherwise(x)))
+
+    return let(s, lambda x: F.when(noisy(x, fillers, tags, hesitations), clean(x)).otherwise(x))
 
 
 def normalize(s: Column, **how) -> Column:
@@ -80,20 +104,31 @@ def normalize(s: Column, **how) -> Column:
 
 
 def ends_with_mark(s: Column) -> Column:
-    return s.rlike(f"[{lx.TERMINATORS}]$")
+    return _at_end(s, lx.TERMINATORS)
+
+
+def _at_end(s: Column, characters: str) -> Column:
+    """One of ``characters`` at the end, or before a last line break (two characters at most)."""
+    return F.right(s, F.lit(3)).rlike(f"[{characters}]$")
 
 
 def autopunct(s: Column, particles: str = lx.QUESTION_PARTICLES) -> Column:
     """Close an open sentence: with ？ after a question particle, else with 。; empty stays so."""
-    asks = s.rlike(f"[{particles}]$")
+    asks = _at_end(s, particles)
     return F.when((s == "") | ends_with_mark(s), s).when(asks, F.concat(s, F.lit("？"))).otherwise(F.concat(s, F.lit("。")))
 
 
 def sentences(s: Column, particles: str = lx.QUESTION_PARTICLES) -> Column:
     """Each mark closes a sentence; an open rest is closed by ``autopunct``."""
-    marks = lx.TERMINATORS
-    parts = F.regexp_extract_all(s, F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+$"), F.lit(0))
-    return F.transform(F.filter(F.transform(parts, strip), lambda x: x != ""), lambda x: autopunct(x, particles))
+    cut = let(let(strip(s), lambda x: autopunct(x, particles)), _cut)
+    return F.filter(F.transform(cut, strip), lambda x: x != "")
+
+
+def _cut(s: Column) -> Column:
+    """A text behind each of its marks; a text that holds U+0000 itself goes the slower way."""
+    marks, cut = lx.TERMINATORS, "\x00"
+    behind = F.split(F.regexp_replace(s, f"([{marks}])", f"$1{cut}"), cut)
+    return F.when(s.contains(cut), F.regexp_extract_all(s, F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+$"), F.lit(0))).otherwise(behind)
 
 
 def full_width(s: Column) -> Column:
@@ -106,19 +141,29 @@ def student_style(s: Column, connectives: Sequence[str] = lx.CONNECTIVES) -> Col
     """Full-width marks, commas before connectives, no white space, no repeated marks."""
     comma = lambda s: reduce(lambda x, w: F.regexp_replace(x, f"(?<![，。！？])\\Q{w}\\E", f"，{w}"), connectives, s)
     s = let(full_width(s), lambda x: F.when(contains_any(x, connectives), comma(x)).otherwise(x))
-    return F.regexp_replace(F.regexp_replace(s, f"(?U){SPACE}+", ""), r"([，。！？])\1+", "$1")
+    return F.regexp_replace(F.regexp_replace(s, f"(?U){SPACE}+", ""), rf"{ahead('，。！？')}([，。！？])\1+", "$1")
 
 
-def finalize(s: Column, style: str = "plain", words: lx.Lexicon = lx.DEFAULT) -> Column:
-    """Sentences of a normalized text, cleaned and closed again, joined; ``student`` styles them.
+def finalize(s: Column, style: str = "plain", words: lx.Lexicon = lx.DEFAULT, times: int = 1) -> Column:
+    """Sentences of a normalized text, cleaned and closed again, joined; ``student`` styles them.  With
+    ``times``, what has been joined is taken apart and cleaned again before it is styled.
 
     The text is NFKC already, so of that form only ？, which closing a sentence may have added, is
-    left to change.
+    left to change.  Where no sentence has noise, only the spaces between them go, and another time changes nothing.
     """
     noise, particles = (words.fillers, words.sound_tags, words.hesitations), words.question_particles
-    clean = F.transform(sentences(squeeze(s), particles), lambda x: drop_noise(F.translate(x, "？", "?"), *noise))
-    joined = F.array_join(F.transform(clean, lambda x: autopunct(x, particles)), "")
-    return student_style(joined, words.connectives) if style == "student" else joined
+    closed = lambda s: F.translate(let(squeeze(s), lambda x: autopunct(x, particles)), "？", "?")
+
+    def clean(s: Column) -> Column:
+        parts = F.transform(sentences(s, particles), lambda x: drop_noise(x, *noise))
+        return F.array_join(F.transform(parts, lambda x: autopunct(x, particles)), "")
+
+    def joined(s: Column) -> Column:
+        again = reduce(lambda x, _: clean(closed(x)), range(times - 1), clean(s))
+        return F.when(noisy(s, *noise, lx.TERMINATORS), again).otherwise(F.regexp_replace(s, f"([{lx.TERMINATORS}]) ", "$1"))
+
+    out = let(closed(s), joined)
+    return student_style(out, words.connectives) if style == "student" else out
 
 
 def _pieces(s: Column) -> Column:
@@ -180,9 +225,9 @@ def sentence_type(s: Column, kinds: Sequence[tuple] = lx.SENTENCE_TYPES) -> Colu
     return out
 
 
-def focus_item(s: Column, words: Sequence[str] = lx.KEY_WORDS) -> list[Column]:
-    """``category, summary, importance, reason`` of a sentence, by key words."""
-    key = contains_any(s, words)
+def focus_item(s: Column, words: Sequence[str] = lx.KEY_WORDS, key: Column | None = None) -> list[Column]:
+    """``category, summary, importance, reason`` of a sentence, by key words; ``key``: whether it holds one, if known."""
+    key = contains_any(s, words) if key is None else key
     both = lambda a, b: F.when(key, a).otherwise(b)
     return [
         both(lx.KEY, lx.NOT_KEY).alias("category"),

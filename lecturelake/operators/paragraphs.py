@@ -48,5 +48,5 @@ def merge_segments(segments: DataFrame, min_chars: int = 200, max_gap_ms: int =
         "paragraph_id",
         F.get("s", F.lit(0))["_o0"].alias("start_ms"),
         last["_o1"].alias("end_ms"),
-        tx.finalize(tx.finalize(text, words=words), style, words).alias("text"),
+        tx.finalize(text, style, words, times=2).alias("text"),
     )

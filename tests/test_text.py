@@ -1,8 +1,11 @@
 """Text rules, by hand: expected values are written out."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
+from lecturelake import lexicon as lx
 from lecturelake.functions import text as tx
 
 
@@ -143,3 +146,45 @@ def test_only_texts_that_may_change_leave(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", tx.compatible(F.col("s")).alias("t"), F.col("s").rlike(tx.MAY_CHANGE).alias("leaves")).collect()
     assert [r["t"] for r in rows] == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
     assert {r["s"] for r in rows if r["leaves"] is False} >= {"", "plain", "中文、。《》", "é", "Ж"}
+
+
+NOISE = ["就是", "嗯", "嗯嗯", " ", "  ", "\t", "　", "[音乐]", "(掌声)", "·", "。", "?", "？", ".", "吗", "呢", "abc", "x y", "，，", "\x00", "\r\n", "\x85", "é", "所以", "。 呢 。", " 呢"]
+
+
+def mixed(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(NOISE) for _ in range(rng.randint(0, 9))) for _ in range(n)] + ["", "a. b c. d", "No noise here. None there", None]
+
+
+def test_texts_without_noise_are_spared_and_no_others(spark):
+    """A text that the look takes for clean is what the chain of replacements would leave."""
+    df = spark.createDataFrame([(t,) for t in mixed(3000, 1)], "s string")
+    noise = (lx.FILLERS, lx.SOUND_TAGS, lx.HESITATIONS)
+    seen = df.select("s", tx.noisy(F.col("s"), *noise).alias("noisy"), tx.drop_noise(F.concat("s", F.lit(" "))).alias("t")).collect()
+    assert not [r for r in seen if r["noisy"] is False and r["t"] != r["s"]]
+    assert {r["s"] for r in seen if r["noisy"] is False} >= {"", "a. b c. d", "No noise here. None there", "abc"}
+
+
+def test_finalizing_twice_is_finalizing_what_was_joined(spark):
+    own = dataclasses.replace(lx.DEFAULT, fillers=("you know", "x", "呢?"), hesitations="mh", question_particles="ab", sound_tags=("A.", "x y"))
+    df = spark.createDataFrame([(t,) for t in mixed(3000, 2)], "s string")
+    s = F.col("s")
+    for words in (lx.DEFAULT, own):
+        noise, particles = (words.fillers, words.sound_tags, words.hesitations), words.question_particles
+
+        def plain(x, noise=noise, particles=particles):
+            """Each sentence by itself, with no look at the whole."""
+            cut = F.filter(F.transform(F.regexp_extract_all(x, F.lit("[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$"), F.lit(0)), tx.strip), lambda p: p != "")
+            clean = F.transform(cut, lambda p: tx.drop_noise(F.translate(tx.autopunct(p, particles), "？", "?"), *noise))
+            return F.array_join(F.transform(clean, lambda p: tx.autopunct(p, particles)), "")
+
+        once = df.select("s", plain(tx.squeeze(s)).alias("a"), tx.finalize(s, words=words).alias("once"), tx.finalize(s, words=words, times=2).alias("twice"))
+        rows = once.select("s", "a", "once", "twice", plain(tx.squeeze(F.col("a"))).alias("b")).collect()
+        assert not [r for r in rows if (r["once"], r["twice"]) != (r["a"], r["b"])][:2]
+
+
+def test_white_space_is_all_of_it(spark):
+    rows = spark.range(0x3400).where("id < 55296").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'utf-16be')").alias("c"))
+    assert {r["c"] for r in rows.where(F.col("c").rlike(f"(?U)^{tx.SPACE}$")).collect()} == set(tx.WHITE)
