@@ -13,7 +13,7 @@ from ..operators.focus import align_responses, focus_items, focus_rank, focus_st
 from ..operators.paragraphs import merge_segments
 from ..operators.summaries import chapter_summaries, global_summary, rule_summaries
 from ..operators.windows import micro_summaries
-from ..sources.jsonl import write_jsonl, write_report
+from ..sources.jsonl import pack_reports, write_jsonl, write_report
 
 
 def run_pipeline(
@@ -77,11 +77,11 @@ def report_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {k: make(tables[k]) for k, make in makers.items() if k in tables}
 
 
-def write_outputs(tables: dict[str, DataFrame], path: str, with_reports: bool = False, form: str = "jsonl") -> dict[str, str]:
+def write_outputs(tables: dict[str, DataFrame], path: str, with_reports: bool = False, form: str = "jsonl", packed: bool = False) -> dict[str, str]:
     """Write the outputs of a run below ``path``; gives the folder of each.
 
     Tables as JSON Lines, or as Parquet with ``form="parquet"``; focus items are written one row a
-    paragraph.  ``with_reports`` adds the readable reports, a folder for each lecture.
+    paragraph.  ``with_reports`` adds the readable reports, a folder for each lecture, or ``packed``, many lectures to a file.
     """
     written = {}
     for name, folder in OUTPUTS.items():
@@ -94,7 +94,7 @@ def write_outputs(tables: dict[str, DataFrame], path: str, with_reports: bool =
                 write_jsonl(rows, written[name])
     for name, lines in (report_frames(tables) if with_reports else {}).items():
         written[f"{name}_report"] = f"{path}/{OUTPUTS[name]}_text"
-        write_report(lines, written[f"{name}_report"])
+        (pack_reports if packed else write_report)(lines, written[f"{name}_report"])
     return written
 
 

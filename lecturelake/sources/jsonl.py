@@ -104,3 +104,24 @@ def write_report(reports: DataFrame, path: str, text: str = "report", key: str =
 def read_reports(spark: SparkSession, path: str, key: str = "video_id") -> DataFrame:
     """``key, line`` of written reports."""
     return spark.read.schema(f"value string, `{key}` string").text(path).select(key, F.col("value").alias("line"))
+
+
+def pack_reports(reports: DataFrame, path: str, text: str = "report", key: str = "video_id") -> None:
+    """Reports of a whole corpus as text files of many lectures each; ``write_report`` makes a folder and files for every
+    lecture, which takes longer than the reports themselves where lectures are many.
+
+    Each line stands behind its lecture's name, as JSON, and a tab.  A report is one row, so its lines stream into one
+    file, together and in order, without another shuffle.
+    """
+    name = F.to_json(F.array(F.col(key).cast("string")))
+    named = F.concat(F.substr(name, F.lit(2), F.length(name) - 2), F.lit("\t"))
+    lines = reports.select(named.alias("_k"), F.explode(F.split(F.col(text), "\n")).alias("line"))
+    lines.select(F.concat("_k", "line").alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def read_packed(spark: SparkSession, path: str, key: str = "video_id") -> DataFrame:
+    """``key, line`` of packed reports."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    at = F.instr("value", "\t")
+    name = F.from_json(F.concat(F.lit("["), F.left("value", at - 1), F.lit("]")), "array<string>")
+    return lines.select(F.get(name, F.lit(0)).alias(key), F.substr("value", at + 1).alias("line"))

@@ -95,3 +95,28 @@ def test_reports_are_found_by_lecture_in_order(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted(folder.glob("part*"))) == "a\n\nb\n"
     jsonl.write_report(df, str(tmp_path / "m"), "more")
     assert {r["line"] for r in jsonl.read_reports(spark, str(tmp_path / "m")).collect()} == {"other"}
+
+
+def test_packed_reports_of_many_lectures(spark, tmp_path):
+    """Every line of every lecture comes back in order from a few files, not from a folder for each lecture."""
+    names = [f"v{i}" for i in range(200)] + ["a/b", "t\ta", 'q"\\', "l\nf", "null", "", "名", None]
+    rows = [(v, "\n".join(f"{k}\t of {i}" for k in range(i % 7)) + ("\n\r x\n" if i % 3 else ""), "other") for i, v in enumerate(names)]
+    df = spark.createDataFrame(rows, "video_id string, report string, more string").repartition(3)
+    jsonl.pack_reports(df, str(tmp_path / "r"))
+    assert 0 < len([*(tmp_path / "r").glob("**/part-*")]) <= 3
+    got = {}
+    for r in jsonl.read_packed(spark, str(tmp_path / "r")).collect():
+        got.setdefault(r["video_id"], []).append(r["line"])
+    assert {k: "\n".join(v) for k, v in got.items()} == {v: t for v, t, _ in rows}
+
+
+def test_the_report_round_trip_writes_few_files(spark, sf_dir):
+    from pathlib import Path
+
+    from lecturelake.plans.queries import queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*shared.glob("lectures-*")}
+    queries()["report_roundtrip"](spark, sf_dir)
+    (made,) = {*shared.glob("lectures-*")} - before
+    assert 0 < len([*made.glob("**/part-*")]) <= 8
