@@ -18,10 +18,10 @@ def sentence_table(paragraphs: DataFrame, words: lx.Lexicon = lx.DEFAULT) -> Dat
     return paragraphs.select(*keys, F.posexplode(tx.sentences(F.col("text"), words.question_particles)).alias("_p", "sentence")).select(*keys, F.col("_p").cast("long").alias("pos"), "sentence")
 
 
-def by_rule(sentence: Column, kind: str, words: lx.Lexicon = lx.DEFAULT) -> list[Column]:
+def by_rule(sentence: Column, kind: str, words: lx.Lexicon = lx.DEFAULT, key: Column | None = None) -> list[Column]:
     """The fields of a sentence by key words (``category``), by kind of sentence (``type``), or both."""
     none = F.lit(None).cast("string")
-    by_words = tx.focus_item(sentence, words.key_words) if kind != "type" else [none.alias(c) for c in FIELDS[:4]]
+    by_words = tx.focus_item(sentence, words.key_words, key) if kind != "type" else [none.alias(c) for c in FIELDS[:4]]
     return [*by_words, (tx.sentence_type(sentence, words.sentence_types) if kind != "category" else none).alias("type")]
 
 
@@ -71,7 +71,9 @@ def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool =
     # Paragraphs without a sentence give no row by themselves: a filter would split every text twice.
     rows = paragraphs.select(*keys, tx.sentences(F.col("text"), words.question_particles).alias("_s"))
     # Of the answers to a paragraph only the first of each number of elements stays, however many there are.
-    parsed = responses.withColumn("_k", F.size(tx.json_array(F.col("content")))).where("_k >= 0")
+    # Exploding parses an answer once: a filter on the number itself would parse it again.
+    number = F.explode(F.array(F.size(tx.json_array(F.col("content")))))
+    parsed = responses.select("video_id", "paragraph_id", "content", number.alias("_k")).where("_k >= 0")
     if strict:
         first = parsed.groupBy("video_id", "paragraph_id", "_k").agg(F.min("content").alias("_c")).groupBy("video_id", "paragraph_id")
         found = first.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_c"))).alias("_by"))
@@ -86,7 +88,10 @@ def align_responses(paragraphs: DataFrame, responses: DataFrame, strict: bool =
         own = [field(n).alias(c) for n, c in zip(names, FIELDS, strict=True)]
         return F.struct(F.coalesce(field("句子"), field("text")).alias("sentence"), *own, F.lit("model").alias("origin"))
 
-    rule = lambda s: F.struct(s.alias("sentence"), *by_rule(s, "category" if strict else "type", words), F.lit("rule").alias("origin"))
+    def rule(s: Column) -> Column:
+        fields = lambda key: F.struct(s.alias("sentence"), *by_rule(s, "category" if strict else "type", words, key), F.lit("rule").alias("origin"))
+        return tx.let(tx.contains_any(s, words.key_words), fields) if strict else fields(None)
+
     answered = F.col("_a").isNotNull() & (F.size("_s") > 0)
     items = F.when(answered, F.transform("_a", model)).otherwise(F.transform("_s", rule))
     rows = rows.select(*keys, F.posexplode(items).alias("_p", "_i"))

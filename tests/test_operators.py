@@ -313,3 +313,23 @@ def test_all_outputs_of_a_run_in_one_call(spark, sf_dir, tmp_path):
     assert {k: "\n".join(v) for k, v in read.items()} == whole and len(whole) == 3
     assert set(write_outputs({"paragraphs": tables["paragraphs"]}, str(tmp_path / "p"), form="parquet")) == {"paragraphs"}
     assert spark.read.parquet(str(tmp_path / "p/clean_paragraphs")).count() == tables["paragraphs"].count()
+
+
+def test_stored_answers_are_parsed_once_to_count_them(spark):
+    """No filter repeats what an answer's number of elements takes."""
+    rows = spark.createDataFrame([("v", 1, 0, 5, "a。b。")], "video_id string, paragraph_id long, start_ms long, end_ms long, text string")
+    given = spark.createDataFrame([("v", 1, '[{"text":"a"},{"text":"b"}]'), ("v", 1, '{"a":1}')], "video_id string, paragraph_id long, content string")
+    for strict in (True, False):
+        out = focus.align_responses(rows, given, strict)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(array(size(" in plan
+        assert not [x for x in plan.splitlines() if "Filter" in x and "try_variant_get" in x]
+        assert [(r["sentence"], r["origin"]) for r in out.orderBy("pos").collect()] == [("a", "model"), ("b", "model")]
+
+
+def test_stored_answers_of_the_queries_are_made_once(spark, sf_dir):
+    from lecturelake.plans.queries import queries
+
+    for name in ("model_align", "model_align_loose"):
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("documents.parquet") + plan.count("Relation [") <= 2, name
