@@ -47,12 +47,16 @@ def score_breaks(paragraphs: DataFrame, min_gap_ms: int = 10000, min_len_chars:
     return _placed(paragraphs, 0, min_gap_ms, min_len_chars, phrases).select(*paragraphs.columns, "score")
 
 
-def number_chapters(paragraphs: DataFrame, threshold: int = 2, min_gap_ms: int = 10000, min_len_chars: int = 100, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:
-    """Paragraphs with ``score`` and ``chapter_id`` from 1: a new one at each score of ``threshold`` or more."""
+def number_chapters(paragraphs: DataFrame, threshold: int = 2, min_gap_ms: int = 10000, min_len_chars: int = 100, phrases: Sequence[str] = lx.CHAPTER_PHRASES, dealt: bool = False) -> DataFrame:
+    """Paragraphs with ``score`` and ``chapter_id`` from 1: a new one at each score of ``threshold`` or more.
+
+    ``dealt`` keeps the columns ``KEYS`` by which rows are dealt out, so that summaries can drop what they
+    don't show before they shuffle texts.
+    """
     cut = F.coalesce(F.col("score") >= threshold, F.lit(False)).cast("long")
     so_far = F.sum(cut).over(inside("paragraph_id").rowsBetween(W.unboundedPreceding, 0))
     rows = _placed(paragraphs, threshold, min_gap_ms, min_len_chars, phrases)
-    return rows.select(*paragraphs.columns, "score", (1 + F.col("_breaks") + so_far).alias("chapter_id"))
+    return rows.select(*paragraphs.columns, "score", (1 + F.col("_breaks") + so_far).alias("chapter_id"), *(KEYS if dealt else []))
 
 
 def chapter_heads(rows: DataFrame, topics: Sequence[str] = lx.TITLE_TOPICS, phrases: Sequence[str] = lx.CHAPTER_PHRASES) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import text as tx
+from ..functions.scans import KEYS
 
 
 def chapter_texts(chapters: DataFrame, items: DataFrame | None) -> DataFrame:
-    """``video_id, chapter_id, pos, text`` from the table of items (of ``number_chapters``), or from nested chapters."""
+    """``video_id, chapter_id, pos, text`` from the table of items (of ``number_chapters``; with ``KEYS``, if it has them), or
+    from nested chapters."""
     if items is not None:
-        return items.select("video_id", "chapter_id", F.col("paragraph_id").alias("pos"), "text")
+        return items.select("video_id", "chapter_id", F.col("paragraph_id").alias("pos"), "text", *[k for k in KEYS if k in items.columns])
     return chapters.select("video_id", "chapter_id", F.posexplode("items").alias("pos", "item")).select("video_id", "chapter_id", "pos", F.col("item.text").alias("text"))
 
 
@@ -40,25 +42,38 @@ def chapter_summaries(chapters: DataFrame, line: int = 80, paragraph: int = 240,
 LISTS = ("exam_points", "pitfalls", "tips")
 
 
+def exam_flags(exam: bool, words: lx.Lexicon) -> dict[str, Column]:
+    """Whether a row's ``text`` meets each exam rule, for ``exam_lists``."""
+    own = (words.exam_points, words.exam_pitfalls, words.exam_tips)
+    return {f"_{n}{i}": F.col("text").rlike(p) for r, n in zip(own, LISTS, strict=True) for i, (p, _) in enumerate(r)} if exam else {}
+
+
 def exam_lists(exam: bool, words: lx.Lexicon) -> list[Column]:
-    """The exam lists over all ``text`` of a group; empty where they are not asked for."""
+    """The exam lists over all rows of a group, from ``exam_flags``; empty where they are not asked for."""
     none = F.array().cast("array<string>")
 
-    def found(rules: Sequence[tuple[str, str]]) -> Column:
-        return F.array_compact(F.array(*[F.when(F.bool_or(F.col("text").rlike(p)), F.lit(x)) for p, x in rules]))
+    def found(rules: Sequence[tuple[str, str]], name: str) -> Column:
+        return F.array_compact(F.array(*[F.when(F.bool_or(f"_{name}{i}"), F.lit(x)) for i, (_, x) in enumerate(rules)]))
 
     own = (words.exam_points, words.exam_pitfalls, words.exam_tips)
-    return [(found(r) if exam and r else F.first(none)).alias(n) for r, n in zip(own, LISTS, strict=True)]
+    return [(found(r, n) if exam and r else F.first(none)).alias(n) for r, n in zip(own, LISTS, strict=True)]
 
 
 def first_sentences(rows: DataFrame, group: list[str], order: list[str], *others: Column) -> DataFrame:
     """Per group, ``_t``: its ``text`` in order, joined by 。, up to the second sentence; and ``others``.
 
-    That is all of it that a short summary shows.
+    That is all of it that a short summary shows.  Rows that are dealt out by ``KEYS`` are looked through where they are:
+    only those texts are shuffled that have fewer than two sentences before them there.
     """
     before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     count = F.size(F.filter(F.split(F.regexp_replace("text", f"(?U)^{tx.SPACE}+", ""), f"(?U)[。！？]{tx.SPACE}*"), lambda x: x != ""))
-    rows = rows.withColumn("_n", F.greatest(count, F.lit(0))).withColumn("_near", F.coalesce(F.sum("_n").over(before), F.lit(0)) < 2)
+    rows = rows.withColumn("_n", F.greatest(count, F.lit(0)))
+    if set(KEYS) <= set(rows.columns):
+        here = W.partitionBy(*KEYS, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("_kept", F.coalesce(F.sum("_n").over(here), F.lit(0)) < 2).drop(*KEYS)
+        # What is left out counts nothing: its block has two sentences before it.  So the next sum stands on this one, after it.
+        rows = rows.withColumns({"text": F.when(F.col("_kept"), F.col("text")), "_n": F.when(F.col("_kept"), F.col("_n")).otherwise(0)}).drop("_kept")
+    rows = rows.withColumn("_near", F.coalesce(F.sum("_n").over(before), F.lit(0)) < 2)
     own = F.array_sort(F.collect_list(F.when(F.col("_near"), F.struct(*order, "text"))))
     per = rows.groupBy(*group).agg(own.alias("_s"), F.bool_and("_near").alias("_whole"), *others)
     text = F.concat(F.array_join(F.transform("_s", lambda x: x["text"]), "。"), F.when(F.col("_whole"), "").otherwise("。"))
@@ -72,7 +87,7 @@ def global_summary(chapters: DataFrame, line: int = 100, paragraph: int = 360, e
     A summary uses two sentences at most, so only the items up to the second sentence are joined,
     and rules, which never span items, are looked for item by item.
     """
-    rows = chapter_texts(chapters, items).where(F.length("text") > 0)
+    rows = chapter_texts(chapters, items).where(F.length("text") > 0).withColumns(exam_flags(exam, words))
     per = first_sentences(rows, ["video_id"], ["chapter_id", "pos"], *exam_lists(exam, words))
     # A lecture whose chapters hold no text still has its row.
     per = chapters.select("video_id").distinct().join(per, "video_id", "left")

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions.helpers import step_windows
 from ..functions.scans import KEYS, LECTURE, along, before, block_rows, by_time, deal, inside
 from ..schemas import segment_order
-from .summaries import LISTS, exam_lists, first_sentences
+from .summaries import LISTS, exam_flags, exam_lists, first_sentences
 
 
 def number_windows(segments: DataFrame, window_sec: int = 60) -> DataFrame:
@@ -90,7 +90,7 @@ def micro_summaries(segments: DataFrame, window_sec: int = 60, max_len: int = 60
     """
     width = window_sec * 1000
     needed = segments.select("video_id", "segment_id", "start_ms", "end_ms", "src")
-    rows = number_windows(needed, window_sec).withColumnRenamed("src", "text")
+    rows = number_windows(needed, window_sec).withColumnRenamed("src", "text").withColumns(exam_flags(exam, words))
     bounds = F.min("first_ms").alias("first_ms"), (F.min("seq") == 0).alias("_opens")
     found = first_sentences(rows, ["video_id", "window_idx"], ["seq"], *bounds, *exam_lists(exam, words))
     found = found.withColumn("_w", F.when(F.col("_opens") & (F.col("window_idx") == 1), F.array(F.lit(0).cast("long"), "window_idx")).otherwise(F.array("window_idx")))

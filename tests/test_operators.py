@@ -333,3 +333,16 @@ def test_stored_answers_of_the_queries_are_made_once(spark, sf_dir):
     for name in ("model_align", "model_align_loose"):
         plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("documents.parquet") + plan.count("Relation [") <= 2, name
+
+
+def test_texts_that_no_summary_shows_are_not_shuffled(spark):
+    """Dealt items give the summaries of others, and leave texts behind the second sentence where they are."""
+    rows = [(f"v{v}", i, i * 1000, i * 1000 + 900, "一句。二句。三" if i % 2 else f"{lexicon.CHAPTER_PHRASES[0]}x" + "y" * 100 * (i % 5 == 0) + " 导数") for v in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "video_id string, paragraph_id long, start_ms long, end_ms long, text string").repartition(3)
+    plain, dealt = chapters.number_chapters(df), chapters.number_chapters(df, dealt=True)
+    heads = chapters.chapter_heads(plain)
+    for make in (lambda x: summaries.global_summary(heads, exam=True, items=x), lambda x: summaries.chapter_summaries(heads, items=x)):
+        assert sorted(make(dealt).collect(), key=str) == sorted(make(plain).collect(), key=str)
+    plan = summaries.global_summary(heads, items=dealt)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {k: [n for n, x in enumerate(plan) if "Window [sum(_n" in x and k in x] for k in ("__block", "")}
+    assert at["__block"] and min(at[""]) < min(at["__block"])  # the sum inside blocks stands below the one along lectures
