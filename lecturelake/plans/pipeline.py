@@ -40,7 +40,7 @@ def run_pipeline(
     """
     paragraphs = hold(merge_segments(segments, min_chars, style=style, words=words))
     lists = {"phrases": words.chapter_phrases, "topics": words.title_topics}
-    items = hold(number_chapters(paragraphs, threshold, min_gap_ms=min_gap_ms, min_len_chars=min_len_chars, phrases=words.chapter_phrases))
+    items = hold(number_chapters(paragraphs, threshold, min_gap_ms=min_gap_ms, min_len_chars=min_len_chars, phrases=words.chapter_phrases, dealt=True))
     heads = chapter_heads(items, **lists)
     out = {
         "paragraphs": paragraphs,
